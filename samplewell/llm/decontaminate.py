@@ -94,7 +94,7 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
 
 def _matches(docs: DataFrame, items: DataFrame, size: int, similarity: float) -> DataFrame:
     anchors = items.select("m", F.posexplode("shingles").alias("q", "h")).distinct()
-    rows = docs.select("id", _shingles("w", size).alias("s")).where("size(s) > 0")
+    rows = docs.select("id", _shingles("w", size).alias("s"))  # no filter here: pushed down, it would compute the words anew for each shingle
     at = rows.select("id", "s", F.posexplode("s").alias("p", "h"))
     n = F.size("s")
     start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), n - F.col("m")))

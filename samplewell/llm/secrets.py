@@ -90,6 +90,10 @@ def judged(found: DataFrame) -> DataFrame:
     return keyed.join(counts.withColumn("salt", F.explode(salts)), ["value_hash", "salt"]).drop("salt")
 
 
+def _is(kind: str):
+    return lambda s: s["kind"] == kind
+
+
 def _few(df: DataFrame, most: int = 100_000) -> bool:
     return df.limit(most + 1).count() <= most
 
@@ -116,7 +120,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_co
     out = ids.join(by.withColumnRenamed("id", "found_id"), F.col("id").eqNullSafe(F.col("found_id")), "left")
     none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint,live:boolean>>")
     out = out.withColumn("all", F.coalesce("all", none)).withColumn("base", F.coalesce("base", none))
-    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in KINDS[:3]]
+    count = [F.size(F.filter("base", _is(k))).cast("bigint").alias(f"n_{k}") for k in KINDS[:3]]
     return out.select(
         F.col("id").alias(id_col), *count, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"),
         F.size(F.filter("all", lambda s: s["live"])).cast("bigint").alias("n_live"), F.size(F.filter("all", lambda s: ~s["live"])).cast("bigint").alias("n_copied"),
