@@ -95,11 +95,11 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
 def _matches(docs: DataFrame, items: DataFrame, size: int, similarity: float) -> DataFrame:
     anchors = items.select("m", F.posexplode("shingles").alias("q", "h")).distinct()
     rows = docs.select("id", _shingles("w", size).alias("s"))  # no filter here: pushed down, it would compute the words anew for each shingle
-    at = rows.select("id", "s", F.posexplode("s").alias("p", "h"))
+    at = rows.select("id", "s", F.posexplode_outer("s").alias("p", "h"))  # the inner form brings such a filter with it
     n = F.size("s")
     start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), n - F.col("m")))
     windows = at.join(F.broadcast(anchors), "h").select("id", "m", start.alias("start"), F.slice("s", start + 1, F.col("m")).alias("window")).distinct()
-    windows = windows.withColumn("fp", _simhash("window"))
+    windows = windows.withColumn("fp", F.coalesce(_simhash("window"), F.lit(0).cast("bigint")))  # never null: no test for null is pushed down and computed for every shared shingle
     index = items.select("item_id", "m", "shingles", "fingerprint", F.explode(_blocks("fingerprint")).alias("b")).select("item_id", "m", "shingles", "fingerprint", "b.block", "b.value")
     pairs = windows.withColumn("b", F.explode(_blocks("fp"))).select("id", "m", "start", "window", "fp", "b.block", "b.value").join(F.broadcast(index), ["m", "block", "value"])
     pairs = pairs.withColumn("x", F.expr("fp ^ fingerprint")).where((F.bit_count("x") <= RADIUS) & (_first_block("x") == F.col("block")))

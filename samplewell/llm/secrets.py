@@ -66,9 +66,9 @@ def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ow
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), F.col(repo_col or id_col).cast("string").alias("repo"))
     found = docs.where("text is not null").select("id", "owner", F.coalesce("repo", F.lit("")).alias("repo"), F.concat(*base).alias("base"), generic.alias("more"))
     outside = F.filter("more", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return found.select("id", "owner", "repo", F.explode(F.concat("base", outside)).alias("s")).select(
-        "id", "owner", "repo", "s.kind", "s.start", "s.end", F.sha2("s.value", 256).alias("value_hash")
-    )
+    # The outer form: the inner one would add a filter that is pushed down and runs all patterns a second time.
+    spans = found.select("id", "owner", "repo", F.explode_outer(F.concat("base", outside)).alias("s")).where("s is not null")
+    return spans.select("id", "owner", "repo", "s.kind", "s.start", "s.end", F.sha2("s.value", 256).alias("value_hash"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
