@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 
 from samplewell.llm.shared import map_columns
 
-#: Labelled texts of a class in the fitting sample, at most about; least toxic texts for an entry; entries at most.
-SAMPLE, LEAST, ENTRIES = 3000, 3, 2000
+#: Labelled texts of a class in the fitting sample, at most about; least toxic texts for an entry, as a number and as a share; entries at most.
+SAMPLE, LEAST, SHARE, ENTRIES = 3000, 3, 0.02, 2000
 #: Lengths of stems; least share of toxic texts among those that have an entry (classes weighted alike); least clean texts for an exception.
-STEMS, PURITY, LEAST_CLEAN = (4, 5, 6, 7), 0.95, 3
+STEMS, PURITY, LEAST_CLEAN = (4, 5, 6, 7), 0.8, 3
 THRESHOLD = 0.7
 
 #: Letters of other scripts that look like Latin ones.
@@ -45,7 +45,7 @@ class _Fold(dict):
     def __missing__(self, code: int) -> str:
         c = chr(code).lower()
         plain = "".join(LOOK_ALIKE.get(x, x) for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        value = plain if plain and all(x.isalnum() for x in plain) else plain if plain in AS_LETTER else "" if code in (0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD) or unicodedata.combining(chr(code)) else " "
+        value = plain if plain and all(x.isalnum() or x in AS_LETTER for x in plain) else "" if code in (0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD) or unicodedata.combining(chr(code)) else " "
         self[code] = value
         return value
 
@@ -98,7 +98,7 @@ class Lexicon:
         return out
 
     def features(self, folded: str) -> tuple[float, float]:
-        total = sum(w for w, x, y in self.hits(folded) if x not in self.exceptions and y not in self.exceptions)
+        total = distinct_weight(self.hits(folded), self.exceptions)
         words = max(1, folded.count(" ") - 1)
         return math.log1p(total), math.log1p(100 * total / words)
 
@@ -111,6 +111,11 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
+def distinct_weight(hits, exceptions) -> float:
+    """Sum of the weights of the matched words, each word once; a word counts if any of its places is no exception."""
+    return sum({x.rpartition(" ")[2]: w for w, x, y in hits if x not in exceptions and y not in exceptions}.values())
+
+
 def _terms(folded: str) -> set[str]:
     words = set(folded.split())
     return {f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in STEMS if len(w) > k}
@@ -159,7 +164,7 @@ def learn(df: DataFrame, labels: DataFrame, allowed, id_col: str = "doc_id", tex
         for k in STEMS if term.endswith(" ") else ():
             alone[term[: k + 1]] = max(t, alone.get(term[: k + 1], 0))
     for term, (t, c) in sorted(by.items(), key=lambda x: (-x[1][0], len(x[0]), x[0])):
-        if purity(t, c) < PURITY or any(term[:k] in entries for k in range(5, len(term))):
+        if t < SHARE * nt or purity(t, c) < PURITY or any(term[:k] in entries for k in range(5, len(term))):
             continue
         if not term.endswith(" ") and alone.get(term, 0) >= 0.9 * t:
             continue
@@ -173,12 +178,12 @@ def learn(df: DataFrame, labels: DataFrame, allowed, id_col: str = "doc_id", tex
         return [[y for y in ys], [max(1, fold(t).count(" ") - 1) for t in texts], ["|".join(f"{w!r};{a};{b}" for w, a, b in hits) for hits in out]]
 
     found = map_columns(texts, matched, "y int, words bigint, hits string").collect()  # the sample is bounded, and so is a text's list of hits by its length
-    parsed = [(r["y"], r["words"], [h.split(";") for h in r["hits"].split("|") if h]) for r in found]
+    parsed = [(r["y"], r["words"], [(float(w), a, b) for w, a, b in (h.split(";") for h in r["hits"].split("|") if h)]) for r in found]
     toxic, clean = Counter(), Counter()
     for y, _, hits in parsed:
         (toxic if y else clean).update({p for h in hits for p in h[1:]})
     exceptions = frozenset(p for p, n in clean.items() if n >= LEAST_CLEAN and not toxic[p])
-    x = [[math.log1p(s := sum(float(h[0]) for h in hits if h[1] not in exceptions and h[2] not in exceptions)), math.log1p(100 * s / words)] for _, words, hits in parsed]
+    x = [[math.log1p(s := distinct_weight(hits, exceptions)), math.log1p(100 * s / words)] for _, words, hits in parsed]
     return Lexicon(entries, exceptions, _fit(np.array(x), np.array([p[0] for p in parsed], float)))
 
 
