@@ -151,8 +151,10 @@ class Codec:
         return ",".join(ids)
 
     def digest(self, text: str) -> tuple[int, str, str]:
+        return self.digest_of(self.listed(text))
+
+    def digest_of(self, listed: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids, SHA-256 of the text decoded from them."""
-        listed = self.listed(text)
         ids = listed.split(",") if listed else []
         back = b"".join(map(self.by_text.__getitem__, ids)).decode("utf-8", "replace")
         return len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
@@ -184,12 +186,18 @@ def decode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_c
     return shared.map_columns(df.select(df[id_col].cast("bigint"), df[ids_col]), run, f"{id_col} bigint, text string", lambda: once(Codec, raw.value))
 
 
-def digests(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_tokens, ids_sha256, decoded_sha256, through a real encode and decode of the whole text."""
+def digests(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """One row per input row: id, n_tokens, ids_sha256, decoded_sha256, through a real encode and decode of the whole text; with_ids adds ids.
+
+    Null and empty texts have no ids. Repeated rows and null ids stay; other columns are left out.
+    """
     raw = _vocabulary(df, path)
 
     def run(codec, keys, texts):
-        found = [codec.digest(t or "") for t in texts]
-        return [keys, [x[0] for x in found], [x[1] for x in found], [x[2] for x in found]]
+        listed = [codec.listed(t or "") for t in texts]
+        found = [codec.digest_of(x) for x in listed]
+        out = [keys, [x[0] for x in found], [x[1] for x in found], [x[2] for x in found]]
+        return [*out, [list(map(int, x.split(","))) if x else [] for x in listed]] if with_ids else out
 
-    return shared.map_columns(df.select(df[id_col].cast("bigint"), df[text_col]), run, f"{id_col} bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", lambda: once(Codec, raw.value))
+    schema = f"{id_col} bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<bigint>" * with_ids
+    return shared.map_columns(df.select(df[id_col].cast("bigint"), df[text_col]), run, schema, lambda: once(Codec, raw.value))

@@ -125,3 +125,26 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_co
         F.col("id").alias(id_col), *count, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"),
         F.size(F.filter("all", lambda s: s["live"])).cast("bigint").alias("n_live"), F.size(F.filter("all", lambda s: ~s["live"])).cast("bigint").alias("n_copied"),
     )
+
+
+def mask(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None) -> DataFrame:
+    """The rows with each live span replaced by `*` for each code point, so that offsets stay.
+
+    Widely copied values stay. Live generic spans are masked as well. Rows without secrets, null texts and rows with null ids
+    are unchanged; rows that share an id are masked alike, each where its own text has the value's place.
+    """
+    found = cut(candidates(df.where(F.col(id_col).isNotNull()), id_col, text_col, owner_col, repo_col))
+    spans = judged(found).where("live").groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    spans = cut(spans)
+    joined = df.join(F.broadcast(spans) if _few(spans) else spans, df[id_col] == spans["id"], "left")
+
+    def cover(state, s):
+        # Spans are sorted by start and may overlap: only what lies after the last masked place is added.
+        at = F.greatest(state["at"], s["start"])
+        end = F.greatest(at, s["end"])
+        text = F.col(text_col)
+        kept = F.substr(text, (state["at"] + 1).cast("int"), (at - state["at"]).cast("int"))
+        return F.struct(end.alias("at"), F.concat(state["out"], kept, F.repeat(F.lit("*"), (end - at).cast("int"))).alias("out"))
+
+    done = F.aggregate("spans", F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")), cover, lambda s: F.concat(s["out"], F.substr(F.col(text_col), (s["at"] + 1).cast("int"), F.char_length(text_col))))
+    return joined.withColumn(text_col, F.when(F.col("spans").isNotNull() & F.col(text_col).isNotNull(), done).otherwise(F.col(text_col))).drop("id", "spans")

@@ -36,11 +36,18 @@ def ship(spark: SparkSession) -> None:
     sc._samplewell_shipped = sc.applicationId
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder that the cluster names; a folder of our own only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; one of our own only where none is set, as in tests."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and sc.getCheckpointDir() is None:
         sc.setCheckpointDir("/tmp/checkpoints/samplewell")
+    return named or sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
