@@ -74,3 +74,19 @@ def frames(lines: DataFrame, line: str, order: list[str], missing_channels: list
         yield {"type": "chunk", "data": b"".join(held)}
     yield {"type": "summary", "bytes": total + size, "missing": sorted(missing_channels)}
     yield {"type": "complete"}
+
+
+def csv_rows(rows: DataFrame) -> DataFrame:
+    """Export rows as text columns: RFC 3339 time, chNN, shortest numbers."""
+    return rows.select(
+        timefmt.rfc3339(F.col("timestamp_unix_ns")).alias("timestamp"), keys.padded_channel(F.col("channel")).alias("channel"), timefmt.float_text(F.col("raw_value")).alias("raw_value"),
+        timefmt.float_text(F.col("calibrated_value")).alias("calibrated_value"), "calibration_id",
+    )
+
+
+def write(rows: DataFrame, path: str, kind: str = "csv") -> None:
+    """Export rows to CSV with a header (or to Parquet), in order of channel and time."""
+    if kind == "parquet":
+        rows.write.parquet(path)
+    else:
+        csv_rows(rows).write.option("header", "true").csv(path)
