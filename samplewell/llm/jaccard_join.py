@@ -106,7 +106,7 @@ def _tokens(df: DataFrame, size: int, num: int, den: int, hot, full: bool) -> Da
 
 
 def _prefixes(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """rows (sig, id, n, pool, token, df), sorted by sig: for each set with a live prefix, one row per token of its first order, with the other orders' prefixes."""
+    """rows (sig, id, n, pool, token, df), sorted by sig: one row for each set with a live prefix: sig, id, n and its prefix tokens under each order."""
 
     def group(sig, ids, n, pool, token, df):
         keep = np.unique(token, return_index=True)[1]  # other copies of the set bring the same rows
@@ -135,15 +135,15 @@ def _prefixes(rows: DataFrame, num: int, den: int) -> DataFrame:
 
     def _emit(found):
         found = [f for f in found if f]
-        rows = [(int(t), f[0], f[1], f[2], f[3][1], f[3][2]) for f in found for t in f[3][0]]
+        rows = [(*f[:3], *f[3]) for f in found]
         return [list(c) for c in zip(*rows)] if rows else [[] for _ in range(6)]
 
     import pyarrow as pa
     from pyspark.sql import types as T
 
-    names = ["token", "sig", "id", "n", "second", "third"]
-    arrow = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in names[:4]] + [T.StructField(c, T.ArrayType(T.LongType())) for c in names[4:]])
+    names = ["sig", "id", "n", "first", "second", "third"]
+    arrow = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 3
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in names[:3]] + [T.StructField(c, T.ArrayType(T.LongType())) for c in names[3:]])
 
     def batches(it):
         state = {}
@@ -161,25 +161,35 @@ def _prefixes(rows: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _bucket_pairs(buckets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of each bucket row (size, members): all for a small bucket, ring neighbours for a large one, after the length filter and the other orders' filters."""
+    """Pairs of each bucket row (size, sigs, ns) that pass the length filter: all for a small bucket, ring neighbours for a large one."""
 
-    def run(state, size, members):
+    def run(state, size, sigs, ns):
         a, b = [], []
-        for total, rows in zip(size, members):
-            rows = sorted(rows, key=lambda r: r["sig"])
-            second, third = [set(r["second"]) for r in rows], [set(r["third"]) for r in rows]
-            m = len(rows)
-            for i in range(m):
-                ahead = range(i + 1, m) if total <= SMALL_BUCKET else {(i + d) % m for d in range(1, min(RING, m - 1) + 1)}
-                for j in ahead:
-                    x, y = sorted((rows[i]["n"], rows[j]["n"]))
-                    if x * den >= y * num and not second[i].isdisjoint(second[j]) and not third[i].isdisjoint(third[j]):
-                        p = sorted((rows[i]["sig"], rows[j]["sig"]))
-                        a.append(p[0])
-                        b.append(p[1])
-        return [a, b]
-
-    return map_columns(buckets.select("size", "members"), run, "a bigint, b bigint").distinct()
+        for total, sig, n in zip(size, sigs, ns):
+            sig, n = np.array(sig, np.int64), np.array(n, np.int64)
+            order = np.argsort(sig, kind="stable")
+            sig, n = sig[order], n[order]
+            m = len(sig)
+            if total <= SMALL_BUCKET:
+                x, y = np.triu_indices(m, 1)
+            else:
+                steps = np.arange(1, min(RING, m - 1) + 1)
+                x = np.repeat(np.arange(m), len(steps))
+                y = (x + np.tile(steps, m)) % m
+            ok = np.minimum(n[x], n[y]) * den >= np.maximum(n[x], n[y]) * num
+            x, y = sig[x[ok]], sig[y[ok]]
+            a.append(np.minimum(x, y))
+            b.append(np.maximum(x, y))
+        return [np.concatenate(a), np.concatenate(b)]
+
+    return map_columns(buckets.select("size", "sigs", "ns"), run, "a bigint, b bigint").distinct()
+
+
+def _filtered(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """The pairs that share a prefix token under each of the further orders too."""
+    x = prefixes.select(F.col("sig").alias("a"), F.col("second").alias("x2"), F.col("third").alias("x3"))
+    y = prefixes.select(F.col("sig").alias("b"), F.col("second").alias("y2"), F.col("third").alias("y3"))
+    return pairs.join(x, "a").join(y, "b").where(F.arrays_overlap("x2", "y2") & F.arrays_overlap("x3", "y3")).select("a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -210,14 +220,16 @@ def jaccard_components(df: DataFrame, size: int = 3, num: int = 90, den: int = 1
     keyed = frequency.withColumn("salt", F.explode(salts))
     rows = _tokens(texts, size, num, den, spark.sparkContext.broadcast(hot), True).join(keyed, ["token", "salt"])
     prefixes = cut(_prefixes(rows.repartition("sig").sortWithinPartitions("sig"), num, den))
-    sizes = cut(prefixes.groupBy("token").agg(F.count("*").alias("size")).where("size >= 2"))
-    members = prefixes.join(sizes, "token")
+    postings = prefixes.select("sig", "n", F.explode("first").alias("token"))
+    sizes = cut(postings.groupBy("token").agg(F.count("*").alias("size")).where("size >= 2"))
+    members = postings.join(sizes, "token")
     block = F.pmod(F.xxhash64("sig"), F.ceil(F.col("size") / BLOCK))
-    buckets = members.groupBy("token", "size", block.alias("block")).agg(F.collect_list(F.struct("sig", "n", "second", "third")).alias("members"))
-    pairs = cut(_bucket_pairs(buckets, num, den))
+    buckets = members.groupBy("token", "size", block.alias("block")).agg(F.collect_list(F.struct("sig", "n")).alias("m")).select("size", F.col("m.sig").alias("sigs"), F.col("m.n").alias("ns"))
+    pairs = cut(_filtered(_bucket_pairs(buckets, num, den), prefixes))
 
-    large = cut(members.where(F.col("size") > SMALL_BUCKET).select("token", "sig", "n", "second", "third"))
-    ids = cut(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(large.select("sig")).distinct().join(prefixes.select("sig", "id").distinct(), "sig").groupBy("sig").agg(F.min("id").alias("id")))
+    large = cut(members.where(F.col("size") > SMALL_BUCKET).select("token", "sig", "n"))
+    ids = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(large.select("sig")).distinct()
+    ids = cut(ids.join(prefixes.select("sig", "id"), "sig").groupBy("sig").agg(F.min("id").alias("id")))
     wanted = ids.select("id").distinct()
     if ids.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
@@ -232,7 +244,7 @@ def jaccard_components(df: DataFrame, size: int = 3, num: int = 90, den: int = 1
     links = cut(_verified(pairs, sets, num, den))
     roots = cut(components(links))
     if not large.isEmpty():
-        rest = _across(large, roots, num, den).join(pairs, ["a", "b"], "left_anti")
+        rest = _filtered(_across(large, roots, num, den).join(pairs, ["a", "b"], "left_anti"), prefixes)
         found = cut(_verified(rest, sets, num, den))
         if not found.isEmpty():
             roots = cut(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)))
@@ -252,9 +264,9 @@ def _across(large: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame
     known = cut(large.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig")))
     shares = known.groupBy("token", "root").agg(F.count("*").alias("k"))
     main = cut(shares.groupBy("token").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("token", "main"))
-    x = known.join(main, "token").where("root <> main").select("token", *[F.col(c).alias(f"x_{c}") for c in ("sig", "n", "root", "second", "third")])
-    y = known.join(main, "token").select("token", "main", *[F.col(c).alias(f"y_{c}") for c in ("sig", "n", "root", "second", "third")])
+    x = known.join(main, "token").where("root <> main").select("token", *[F.col(c).alias(f"x_{c}") for c in ("sig", "n", "root")])
+    y = known.join(main, "token").select("token", "main", *[F.col(c).alias(f"y_{c}") for c in ("sig", "n", "root")])
     # A pair of two outsiders is met from both sides: keep one.
     on = (F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("main")) | (F.col("x_sig") < F.col("y_sig")))
-    on &= (F.least("x_n", "y_n") * den >= F.greatest("x_n", "y_n") * num) & F.arrays_overlap("x_second", "y_second") & F.arrays_overlap("x_third", "y_third")
+    on &= (F.least("x_n", "y_n") * den >= F.greatest("x_n", "y_n") * num)
     return x.join(y, "token").where(on).select(F.least("x_sig", "y_sig").alias("a"), F.greatest("x_sig", "y_sig").alias("b")).distinct()
