@@ -2,9 +2,11 @@
 
 A document is the set of its distinct word shingles (64-bit hashes). Under any global order of the tokens, two sets with
 Jaccard >= t share one of their first n - ceil(t n) + 1 tokens. The orders here put rare tokens first: a fixed fifth of
-the hash space is the pool; pool tokens come before others, by document frequency (counted over all documents) and then
-by a hash that differs between the orders. Tokens of frequency 1 fill most prefixes and match nothing, so most documents
-drop out before any join. Candidates must share a prefix token under every order; then the sets are compared exactly.
+the hash space is the pool; its tokens are counted over all documents and come first, by document frequency and then by a hash
+that differs between the orders. Tokens of frequency 1 fill most prefixes and match nothing, so most documents drop out
+before any join. Sets whose prefix is not filled by rare pool tokens are read again: their other tokens come next, by
+frequency among these sets, and the pool's common tokens last, so that a passage that many documents share hardly ever gets
+into a prefix. Candidates must share a prefix token under every order; then the sets are compared exactly.
 
 Documents with equal sets are one class from the start. In a bucket of many documents (a prefix token that many share)
 each member first meets a few ring neighbours; the links found give components, and only pairs from different
@@ -22,10 +24,12 @@ from samplewell.llm.graph import components
 from samplewell.llm.shared import cut, map_columns
 from samplewell.llm.textkit import WordHashes, mix, shingles
 
-#: Part of the token hash space whose frequencies are counted.
+#: Part of the token hash space whose frequencies are counted over all documents.
 POOL = 0.2
-#: Different orders besides the first.
-MORE_ORDERS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
+#: The orders: by what the hash is changed before it breaks ties.
+SEEDS = (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F)
+#: Pool tokens of so many documents come last in every order.
+HOT_DF = 64
 #: Buckets of more members are compared in rings first.
 SMALL_BUCKET, RING, BLOCK = 64, 8, 4096
 #: At most so many tokens count as hot; the rows of each are spread over so many salts.
@@ -63,24 +67,18 @@ class _Seen:
         return True
 
 
-def _emitted(tokens: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
-    """The tokens that can be in the set's prefix: the pool's, and for small sets the least others; how many are in the pool."""
-    m = int(np.searchsorted(tokens, _EDGE))
-    return tokens[: max(m, _prefix_length(len(tokens), num, den))], m
-
-
 def document_sets(df: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, sig): the number of distinct shingles and the set's signature (null without words)."""
+    """(id, n, sig, pool): the number of distinct shingles, the set's signature (null without words), how many shingles are in the pool."""
 
     def run(table, ids, texts):
         sets = [shingles(t or "", size, table) for t in texts]
-        return [ids, [len(s) for s in sets], [_signature(s) if len(s) else None for s in sets]]
+        return [ids, [len(s) for s in sets], [_signature(s) if len(s) else None for s in sets], [int(np.searchsorted(s, _EDGE)) for s in sets]]
 
-    return map_columns(df.select(F.col(id_col).cast("bigint"), F.col(text_col)), run, "id bigint, n bigint, sig bigint", WordHashes)
+    return map_columns(df.select(F.col(id_col).cast("bigint"), F.col(text_col)), run, "id bigint, n bigint, sig bigint, pool bigint", WordHashes)
 
 
-def _tokens(df: DataFrame, size: int, num: int, den: int, hot, full: bool) -> DataFrame:
-    """Rows of prefix tokens; full: with salt, signature, id and sizes."""
+def _tokens(df: DataFrame, size: int, hot, full: bool) -> DataFrame:
+    """Rows of the pool's tokens of each set; full: with salt, signature, id and sizes."""
 
     def run(state, ids, texts):
         if state.__dict__.get("hot") is None:
@@ -90,8 +88,8 @@ def _tokens(df: DataFrame, size: int, num: int, den: int, hot, full: bool) -> Da
             s = shingles(t or "", size, state.table)
             if not len(s) or not state.new(sig := _signature(s)):
                 continue
-            tokens, m = _emitted(s, num, den)
-            out.append(_signed(tokens))
+            m = int(np.searchsorted(s, _EDGE))
+            out.append(_signed(s[:m]))
             rows.append((sig, i, len(s), m))
         k = [len(x) for x in out]
         tokens = np.concatenate(out) if out else np.empty(0, np.int64)
@@ -105,59 +103,106 @@ def _tokens(df: DataFrame, size: int, num: int, den: int, hot, full: bool) -> Da
     return map_columns(df, run, cols, _Seen)
 
 
+def _orders(n: int, pool: int, p: int, token, df, further=None, further_df=None) -> list[np.ndarray] | None:
+    """Shared tokens of a set's prefix under each order; None if the tokens outside the pool have to be known for that.
+
+    The classes of every order: pool tokens of frequency 1; rarer pool tokens (below HOT_DF) by frequency and hash; tokens
+    outside the pool by their frequency among the sets that need them, and hash; the other pool tokens. token, df: the pool's
+    tokens of frequency 2 or more. further: tokens outside the pool of frequency 2 or more, if known.
+    """
+    rare = df < HOT_DF
+    left = p - (pool - len(token))  # what the tokens of frequency 1 leave
+    if left > rare.sum() and further is None:
+        return None
+    out = []
+    for seed in SEEDS:
+        parts, rest = [], left
+        for k, (t, f) in enumerate(((token[rare], df[rare]), (further, further_df), (token[~rare], df[~rare]))):
+            if rest <= 0 or t is None:
+                break
+            if k == 1:
+                rest -= n - pool - len(t)  # tokens outside the pool that no other such set has
+            h = mix(t ^ np.uint64(seed)) if seed else t
+            parts.append(t[np.lexsort((h, f))[: max(0, rest)]])
+            rest -= len(parts[-1])
+        out.append(np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64))
+    return out
+
+
 def _prefixes(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """rows (sig, id, n, pool, token, df), sorted by sig: one row for each set with a live prefix: sig, id, n and its prefix tokens under each order."""
+    """rows (sig, id, n, pool, token, df), sorted by sig: one row for each set that has shared tokens in its prefix: sig, id, n, pool, its prefix tokens under each order.
+
+    Sets whose prefix goes beyond the pool's rare tokens have null prefixes; the pool's shared tokens and their frequencies are in shared and freq.
+    """
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    names = ["sig", "id", "n", "pool", "first", "second", "third", "shared", "freq"]
+    arrow = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 5
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in names[:4]] + [T.StructField(c, T.ArrayType(T.LongType())) for c in names[4:]])
 
     def group(sig, ids, n, pool, token, df):
         keep = np.unique(token, return_index=True)[1]  # other copies of the set bring the same rows
         token, df = token[keep].view(np.uint64), df[keep]
-        inside = token < _EDGE
-        extra, token, df = token[~inside], token[inside], df[inside]
-        need = _prefix_length(n, num, den) - (pool - len(token))
-        if pool < _prefix_length(n, num, den):
-            need = len(token)
-        if need <= 0 and not len(extra):
-            return None
-        orders = []
-        for seed in (0, *MORE_ORDERS):
-            h = mix(token ^ np.uint64(seed)) if seed else token
-            orders.append(np.concatenate([token[np.lexsort((h, df))[: max(0, need)]], extra]).view(np.int64))
-        return sig, int(min(ids)), n, orders
-
-    def run(state, sig, ids, n, pool, token, df):
-        cols = [np.array(x, np.int64) for x in (sig, ids, n, pool, token, df)]
-        if state.get("rest") is not None:
-            cols = [np.concatenate(x) for x in zip(state["rest"], cols)]
-        starts = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])
-        last = starts[-1]
-        state["rest"] = [c[last:] for c in cols]
-        return _emit([group(int(cols[0][a]), cols[1][a:b], int(cols[2][a]), int(cols[3][a]), cols[4][a:b], cols[5][a:b]) for a, b in zip(starts, starts[1:])])
-
-    def _emit(found):
+        p = _prefix_length(n, num, den)
+        orders = _orders(n, pool, p, token, df) if pool >= p else None
+        if orders is None:
+            return sig, int(min(ids)), n, pool, None, None, None, token.view(np.int64), df
+        return (sig, int(min(ids)), n, pool, *orders, None, None) if len(orders[0]) else None
+
+    def made(found):
         found = [f for f in found if f]
-        rows = [(*f[:3], *f[3]) for f in found]
-        return [list(c) for c in zip(*rows)] if rows else [[] for _ in range(6)]
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], type=t) for k, t in enumerate(arrow)], names=names)
 
-    import pyarrow as pa
-    from pyspark.sql import types as T
+    def batches(it):
+        rest = None
+        for b in it:
+            if not b.num_rows:
+                continue
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            if rest is not None:
+                cols = [np.concatenate(x) for x in zip(rest, cols)]
+            starts = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])
+            rest = [c[starts[-1] :] for c in cols]
+            yield made([group(int(cols[0][a]), cols[1][a:b], int(cols[2][a]), int(cols[3][a]), cols[4][a:b], cols[5][a:b]) for a, b in zip(starts, starts[1:])])
+        if rest is not None:
+            yield made([group(int(rest[0][0]), rest[1], int(rest[2][0]), int(rest[3][0]), rest[4], rest[5])])
+
+    return rows.select("sig", "id", "n", "pool", "token", "df").mapInArrow(batches, schema)
 
-    names = ["sig", "id", "n", "first", "second", "third"]
-    arrow = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 3
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in names[:3]] + [T.StructField(c, T.ArrayType(T.LongType())) for c in names[3:]])
 
-    def batches(it):
-        state = {}
+def _completed(found: DataFrame, named: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """All prefixes (sig, id, n, first, second, third): those found, and those of the sets that need tokens outside the pool, which are read again."""
+    p = F.col("n") - F.ceil(F.col("n") * num / den).cast("bigint") + 1
+    small = named.where(F.col("pool") < p).groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("pool").alias("pool"))
+    none = F.array().cast("array<bigint>")
+    bare = small.join(found.select("sig"), "sig", "left_anti").select("sig", "id", "n", "pool", none.alias("shared"), none.alias("freq"))
+    needy = cut(found.where("first is null").select("sig", "id", "n", "pool", "shared", "freq").union(bare))
+    ids = needy.select("id").distinct()
+    wanted = F.broadcast(ids) if needy.count() <= BROADCAST_IDS else ids
+
+    def outside(state, texts):
+        out, sigs = [], []
+        for t in texts:
+            s = shingles(t or "", size, state.table)
+            if len(s) and state.new(sig := _signature(s)):
+                out.append(_signed(s[np.searchsorted(s, _EDGE) :]))
+                sigs.append(np.full(len(out[-1]), sig, np.int64))
+        return [np.concatenate(out), np.concatenate(sigs)] if out else [[], []]
 
-        def made(cols):
-            return pa.RecordBatch.from_arrays([pa.array(v, type=k) for v, k in zip(cols, arrow)], names=names)
+    further = map_columns(texts.join(wanted, "id", "left_semi").select("text"), outside, "token bigint, sig bigint", _Seen)
+    counts = cut(further.groupBy("token").agg(F.count("*").alias("df")).where("df >= 2"))
+    listed = further.join(counts, "token").groupBy("sig").agg(F.collect_set(F.struct("token", "df")).alias("f"))
+    rows = needy.join(listed, "sig", "left").select("sig", "id", "n", "pool", "shared", "freq", F.coalesce("f.token", none).alias("t"), F.coalesce("f.df", none).alias("f"))
 
-        for b in it:
-            if b.num_rows:
-                yield made(run(state, *[c.to_numpy(zero_copy_only=False) for c in b.columns]))
-        if (c := state.get("rest")) is not None:
-            yield made(_emit([group(int(c[0][0]), c[1], int(c[2][0]), int(c[3][0]), c[4], c[5])]))
+    def finish(_, sig, ids, n, pool, shared, freq, t, f):
+        array = lambda x: np.array(x, np.int64)
+        out = [_orders(k, m, _prefix_length(k, num, den), array(s).view(np.uint64), array(d), array(x).view(np.uint64), array(y)) for k, m, s, d, x, y in zip(n, pool, shared, freq, t, f)]
+        return [sig, ids, n, *[[o[j] for o in out] for j in range(3)]]
 
-    return rows.select("sig", "id", "n", "pool", "token", "df").mapInArrow(batches, schema)
+    cols = "sig bigint, id bigint, n bigint, first array<bigint>, second array<bigint>, third array<bigint>"
+    done = map_columns(rows, finish, cols).where("size(first) > 0")
+    return found.where("first is not null").select("sig", "id", "n", "first", "second", "third").union(done)
 
 
 def _bucket_pairs(buckets: DataFrame, num: int, den: int) -> DataFrame:
@@ -213,13 +258,14 @@ def jaccard_components(df: DataFrame, size: int = 3, num: int = 90, den: int = 1
     total = named.agg(F.sum("n")).first()[0] or 0
     texts = docs.where("id is not null")
     # Document frequency of every emitted token; those of frequency 1 match nothing.
-    frequency = cut(_tokens(texts, size, num, den, None, False).groupBy("token").agg(F.count("*").alias("df")).where("df >= 2"))
+    frequency = cut(_tokens(texts, size, None, False).groupBy("token").agg(F.count("*").alias("df")).where("df >= 2"))
     floor = max(1000, int(POOL * total) // HOT_TOKENS)
     hot = np.sort(np.array([r[0] for r in frequency.where(F.col("df") >= floor).select("token").collect()], np.int64))  # at most about HOT_TOKENS by the choice of floor
     salts = F.when(F.col("df") >= floor, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     keyed = frequency.withColumn("salt", F.explode(salts))
-    rows = _tokens(texts, size, num, den, spark.sparkContext.broadcast(hot), True).join(keyed, ["token", "salt"])
-    prefixes = cut(_prefixes(rows.repartition("sig").sortWithinPartitions("sig"), num, den))
+    rows = _tokens(texts, size, spark.sparkContext.broadcast(hot), True).join(keyed, ["token", "salt"])
+    found = cut(_prefixes(rows.repartition("sig").sortWithinPartitions("sig"), num, den))
+    prefixes = cut(_completed(found, named, texts, size, num, den))
     postings = prefixes.select("sig", "n", F.explode("first").alias("token"))
     sizes = cut(postings.groupBy("token").agg(F.count("*").alias("size")).where("size >= 2"))
     members = postings.join(sizes, "token")
