@@ -9,15 +9,15 @@ frequency among these sets, and the pool's common tokens last, so that a passage
 into a prefix. Candidates must share a prefix token under every order; then the sets are compared exactly.
 
 Documents with equal sets are one class from the start. In a bucket of many documents (a prefix token that many share)
-each member first meets a few ring neighbours; the links found give components, and only pairs from different
-components are compared after that. That loses no connection, yet a large group of near copies needs no square of pairs.
+each member first meets a few ring neighbours, then the members with most links; the links found give components, and only
+pairs from different components are compared after that. That loses no connection, yet a large group of near copies needs no square of pairs.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from samplewell.llm.graph import components
@@ -30,8 +30,8 @@ POOL = 0.2
 SEEDS = (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F)
 #: Pool tokens of so many documents come last in every order.
 HOT_DF = 64
-#: Buckets of more members are compared in rings first.
-SMALL_BUCKET, RING, BLOCK = 64, 8, 4096
+#: Buckets of more members are compared in rings first, then with the members that have most links; blocks of a ring.
+SMALL_BUCKET, RING, HUBS, BLOCK = 64, 8, 12, 4096
 #: At most so many tokens count as hot; the rows of each are spread over so many salts.
 HOT_TOKENS, SALTS = 2000, 64
 #: Id lists up to this length (16 MB) are broadcast; longer ones are joined by a shuffle.
@@ -290,6 +290,10 @@ def jaccard_components(df: DataFrame, size: int = 3, num: int = 90, den: int = 1
     links = cut(_verified(pairs, sets, num, den))
     roots = cut(components(links))
     if not large.isEmpty():
+        near = cut(_filtered(_to_hubs(large, links, roots, num, den).join(pairs, ["a", "b"], "left_anti"), prefixes))
+        pairs = cut(pairs.union(near))
+        links = cut(links.union(_verified(near, sets, num, den)))
+        roots = cut(components(links))
         rest = _filtered(_across(large, roots, num, den).join(pairs, ["a", "b"], "left_anti"), prefixes)
         found = cut(_verified(rest, sets, num, den))
         if not found.isEmpty():
@@ -305,6 +309,16 @@ def jaccard_components(df: DataFrame, size: int = 3, num: int = 90, den: int = 1
     )
 
 
+def _to_hubs(large: DataFrame, links: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of each member of a large bucket with the HUBS members that have most links so far, where their components differ."""
+    degree = links.select(F.col("a").alias("sig")).union(links.select("b")).groupBy("sig").agg(F.count("*").alias("degree"))
+    known = large.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    ranked = known.join(degree, "sig").withColumn("nth", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("degree"), "sig")))
+    hubs = ranked.where(F.col("nth") <= HUBS).select("token", F.col("sig").alias("h_sig"), F.col("n").alias("h_n"), F.col("root").alias("h_root"))
+    on = (F.col("root") != F.col("h_root")) & (F.least("n", "h_n") * den >= F.greatest("n", "h_n") * num)
+    return known.join(hubs, "token").where(on).select(F.least("sig", "h_sig").alias("a"), F.greatest("sig", "h_sig").alias("b")).distinct()
+
+
 def _across(large: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of different components that share a large bucket: those outside a bucket's largest component, against all of it."""
     known = cut(large.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig")))
