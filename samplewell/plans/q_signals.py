@@ -105,7 +105,7 @@ def _grid(spark, sf):
     """Channels a and a + 1 side by side by row number: a grid of equal steps."""
     s = samples(spark, sf)
     w = Window.partitionBy("channel").orderBy("timestamp_unix_ns")
-    g = s.select("channel", "value", (F.row_number().over(w) - 1).cast("bigint").alias("i")).where("i < 200")
+    g = s.select("channel", "value", (F.row_number().over(w) - 1).cast("bigint").alias("i"))
     y = g.select(F.pmod(F.col("channel") + 13, F.lit(14)).alias("channel"), "i", F.col("value").alias("y"))
     return g.select("channel", "i", F.col("value").alias("x")).join(y, ["channel", "i"])
 
@@ -125,7 +125,7 @@ _WIN = "st AS (SELECT DISTINCT unnest(list_append(range(0, greatest(n - 64 + 1,
 @query("window_lag", _GRID + "," + _WIN + _LAG.format(k="channel, window_start", ka="channel, window_start", z="zw", n=16))
 def window_lag(spark, sf):
     d = series.windows(_grid(spark, sf).withColumnRenamed("i", "o"), "channel", "o", 64)
-    return series.best_lag(d, ["channel", "window_start"], "i", "x", "y", 16)
+    return series.best_lag(d, ["channel", "window_start"], "i", "x", "y", 63)  # all lags of 64 rows
 
 
 @query("window_amplitude", _GRID + "," + _WIN + " SELECT channel, window_start, round(avg(i), 6) center, round(stddev_pop(y) / stddev_pop(x), 6) ratio FROM zw GROUP BY ALL")
