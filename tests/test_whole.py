@@ -14,3 +14,10 @@ def test_grid_queries_use_whole_channels(spark, name):
     brute = ORACLES[name].replace(" QUALIFY i < 200", "").replace(" WHERE abs(a.i - b.i) <= 200", "").replace(" WHERE abs(a.i - b.i) <= 16", "")
     assert "QUALIFY" not in brute and "abs(" not in brute
     assert difference(QUERIES[name](spark, SF), connection(SF).sql(brute)) is None
+
+
+def test_all_configurations_are_validated(spark):
+    brute = ORACLES["config_validate"].replace(" WHERE event_id % 50 < 3", "")
+    got = QUERIES["config_validate"](spark, SF)
+    assert "% 50" not in brute and got.count() == spark.read.parquet(f"{SF}/events.parquet").count()
+    assert difference(got, connection(SF).sql(brute)) is None
