@@ -201,7 +201,7 @@ def next_part_index(spark, sf):
 
 @query("export_day_plan", "SELECT user_id, CAST(strftime(ts + to_days(CAST(u.d AS INTEGER)), '%Y-%m-%d') AS VARCHAR) AS \"day\" FROM events, unnest(range(3)) u(d) WHERE event_id % 10 = 0")
 def export_day_plan(spark, sf):
-    d = table(spark, sf, "events").where("event_id % 10 = 0").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("a"))
+    d = table(spark, sf, "events").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("a"))
     return export.day_plan(d, F.col("a"), F.col("a") + 2 * 86_400_000_000_000).select("user_id", F.col("day").cast("string").alias("day"))
 
 

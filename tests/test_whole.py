@@ -21,3 +21,10 @@ def test_all_configurations_are_validated(spark):
     got = QUERIES["config_validate"](spark, SF)
     assert "% 50" not in brute and got.count() == spark.read.parquet(f"{SF}/events.parquet").count()
     assert difference(got, connection(SF).sql(brute)) is None
+
+
+def test_all_requests_have_a_day_plan(spark):
+    brute = ORACLES["export_day_plan"].replace(" WHERE event_id % 10 = 0", "")
+    got = QUERIES["export_day_plan"](spark, SF)
+    assert "% 10" not in brute and got.count() == 3 * spark.read.parquet(f"{SF}/events.parquet").count()
+    assert difference(got, connection(SF).sql(brute)) is None
