@@ -2,7 +2,7 @@
 
 Base kinds are found by pattern. A further kind, `generic`, takes long random-looking tokens with no telling word before
 them. Every candidate value is hashed; the hash is counted over the whole corpus by distinct owners (the column that names
-a row's source) and by distinct repositories (rows, or another column). A value that many owners have is a widely copied
+a row's source) and by distinct repositories (another column, if one is given; else documents, which decide nothing). A value that many owners have is a widely copied
 example; one that a few owners have is a live-looking credential of theirs. The method's own spans are the generic
 candidates that are live by this count and lie outside base spans.
 """
@@ -25,7 +25,7 @@ BASE = (
 #: The added kind: 20 or more characters of a token alphabet, with lower and upper case and digits among them.
 GENERIC = ("generic", r"[A-Za-z0-9+/_-]{20,}", 0, 20)
 KINDS = (*[k[0] for k in BASE], GENERIC[0])
-#: A value that at most so many owners, and so many repositories, have is live-looking.
+#: A value that at most so many owners have is live-looking; where a column names repositories, at most so many of these as well.
 LIVE_OWNERS, LIVE_REPOSITORIES = 2, 8
 #: Values with more rows than this are joined through so many salts.
 HOT_ROWS, SALTS = 10_000, 64
@@ -71,18 +71,19 @@ def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ow
     return spans.select("id", "owner", "repo", "s.kind", "s.start", "s.end", F.sha2("s.value", 256).alias("value_hash"))
 
 
-def ownership(found: DataFrame) -> DataFrame:
-    """One row per candidate value: value_hash, rows, owners, repositories (distinct), live. Counted in two steps, so that a hot value is added up before any shuffle brings its rows together."""
+def ownership(found: DataFrame, repos: bool = False) -> DataFrame:
+    """One row per candidate value: value_hash, rows, owners, repositories (distinct), live (by owners, and by repositories if repos). Counted in two steps, so that a hot value is added up before any shuffle brings its rows together."""
     by = found.groupBy("value_hash", "owner", "repo").agg(F.count("*").alias("rows"))
     owners = by.groupBy("value_hash", "owner").agg(F.sum("rows").alias("rows"), F.count("*").alias("repos"))
     # A repository belongs to an owner, so distinct repositories add up over owners.
     out = owners.groupBy("value_hash").agg(F.sum("rows").alias("rows"), F.count("*").alias("owners"), F.sum("repos").alias("repositories"))
-    return out.withColumn("live", (F.col("owners") <= LIVE_OWNERS) & (F.col("repositories") <= LIVE_REPOSITORIES))
+    few = F.col("owners") <= LIVE_OWNERS
+    return out.withColumn("live", few & (F.col("repositories") <= LIVE_REPOSITORIES) if repos else few)
 
 
-def judged(found: DataFrame) -> DataFrame:
+def judged(found: DataFrame, repos: bool = False) -> DataFrame:
     """The candidates with the corpus counts of their values; rows of hot values are spread over salts."""
-    counts = ownership(found)
+    counts = ownership(found, repos)
     salts = F.when(F.col("rows") > HOT_ROWS, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     hot = counts.where(F.col("rows") > HOT_ROWS).select("value_hash", F.lit(1).alias("hot"))  # at most one in HOT_ROWS candidates
     keyed = found.join(F.broadcast(hot) if _few(hot) else hot, "value_hash", "left")
@@ -113,7 +114,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_co
     found = cut(candidates(df, id_col, text_col, owner_col, repo_col))
     rank = reduce(lambda c, k: c.when(F.col("kind") == k[1], k[0]), enumerate(KINDS), F.when(F.lit(False), 0))
     base = F.col("kind") != GENERIC[0]
-    kept = judged(found).where(base | F.col("live"))
+    kept = judged(found, repo_col is not None).where(base | F.col("live"))
     by = kept.groupBy("id").agg(F.collect_set(F.struct("start", rank.alias("rank"), "kind", "end", "live")).alias("all"))
     by = by.withColumn("base", F.filter("all", lambda s: s["kind"] != GENERIC[0]))
     ids = df.select(F.col(id_col).cast("bigint").alias("id")).distinct()
@@ -134,7 +135,7 @@ def mask(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_co
     are unchanged; rows that share an id are masked alike, each where its own text has the value's place.
     """
     found = cut(candidates(df.where(F.col(id_col).isNotNull()), id_col, text_col, owner_col, repo_col))
-    spans = judged(found).where("live").groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    spans = judged(found, repo_col is not None).where("live").groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
     spans = cut(spans)
     joined = df.join(F.broadcast(spans) if _few(spans) else spans, df[id_col] == spans["id"], "left")
 

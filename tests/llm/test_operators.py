@@ -50,6 +50,14 @@ def test_ownership_tells_copied_from_live(spark):
     assert masked[0] == copied and set(masked[99]) <= set("* and") and len(masked[99]) == len(f"{live} and abcDEF0123456789ghiJKL")
 
 
+def test_one_owner_with_many_documents_is_live(spark):
+    own = "token=Real9876543210ZyxwKey and abcDEF0123456789ghiJKL"
+    d = spark.createDataFrame([(i, own, "owner1", f"r{i}") for i in range(12)], "doc_id bigint, text string, source string, repo string")
+    assert all(r["n_live"] == 2 and "generic:" in r["spans"] for r in secrets.scan(d).collect())
+    assert all(set(r["text"]) <= set("* and") for r in secrets.mask(d).collect())
+    assert all(r["n_live"] == 0 and r["n_copied"] == 1 for r in secrets.scan(d, repo_col="repo").collect())
+
+
 def test_secrets_odd(odd, none):
     assert secrets.scan(odd).count() == 11 and secrets.scan(none).count() == 0 and secrets.mask(odd).count() == odd.count() and secrets.mask(none).count() == 0
 
