@@ -2,9 +2,10 @@
 
 Markup is stripped and each block element's text becomes a line. Parts that are never article (scripts, styles, menus,
 page headers and footers, side bars, notices, adverts, forms, reader comments: by element or by a telling class, id or
-role) leave empty lines, as do lines outside <article> or <main> where a page has one. The lengths of the text outside links
-are summed over a sliding window of lines. A surge is where the sum reaches a threshold, a dive is where it falls to 0;
-all lines between a surge and its dive are kept.
+role) leave empty lines. The lengths of the text outside links are summed over a sliding window of lines. A surge is where the sum
+reaches a threshold, a dive is where it falls to 0; all lines between a surge and its dive are kept. Lines inside <article> or
+<main> and the lines outside have distributions of their own: inside, any text is a surge; outside, none is where a page has a landmark. Where no surge is found, the
+run between dives around the best window is kept.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from samplewell.llm.shared import map_columns
 
-#: Lines in a window; characters that make a surge on pages without <article> or <main>.
+#: Lines in a window; characters that make a surge outside <article> and <main>.
 LINES, SURGE = 3, 80
 
 _MARK = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
@@ -115,28 +116,41 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     return out, has
 
 
-def main_text(page: str | None) -> str:
-    """The kept lines, joined by one space; empty for null and empty pages."""
-    if not page:
-        return ""
-    found, has = lines(page)
-    size = [n if inside or not has else 0 for _, n, inside in found]
-    if has:  # inside a landmark a line of links alone is text as well
-        size = [max(s, len(t)) if inside else 0 for s, (t, _, inside) in zip(size, found)]
-    least = 1 if has else SURGE
+def _runs(size: list[int], least: int) -> list[tuple[int, int]]:
+    """The runs of lines from each surge to its dive."""
     sums = [sum(size[i : i + LINES]) for i in range(len(size))]
-    kept, i = [], 0
-    while i < len(found):
+    out, i = [], 0
+    while i < len(size):
+        start = i
         if size[i] and sums[i] >= least:  # surge
-            while i < len(found) and sums[i]:  # until the dive
-                if found[i][0] and (size[i] or not has):
-                    kept.append(found[i][0])
+            while i < len(size) and sums[i]:  # until the dive
                 i += 1
+            out.append((start, i))
         else:
             i += 1
-    if not kept and any(size):  # a short page: its longest line alone
-        kept = [found[max(range(len(size)), key=lambda k: size[k])][0]]
-    return " ".join(kept)
+    return out
+
+
+def _around_best(size: list[int]) -> list[tuple[int, int]]:
+    """The run of lines, between dives, that holds the window with the greatest sum."""
+    sums = [sum(size[i : i + LINES]) for i in range(len(size))]
+    best = max(range(len(size)), key=lambda k: sums[k])
+    return [(a, b) for a, b in _runs(size, 1) if a <= best < b or best < a < best + LINES][:1]
+
+
+def main_text(page: str | None) -> str:
+    """The kept lines, joined by one space; empty for null and empty pages."""
+    if not page:
+        return ""
+    found, has = lines(page)
+    # Inside a landmark any text is a surge, and a line of links alone is text as well; elsewhere a surge needs SURGE characters.
+    size = [max(n, len(t)) if inside else 0 for t, n, inside in found]
+    other = [0 if has else n for _, n, _ in found]
+    kept = {i for a, b in _runs(size, 1) for i in range(a, b) if size[i]}
+    kept |= {i for a, b in _runs(other, SURGE) for i in range(a, b) if not found[i][2] and (other[i] or not has)}
+    if not kept and any(other):  # a short page
+        kept = {i for a, b in _around_best(other) for i in range(a, b)}
+    return " ".join(found[i][0] for i in sorted(kept) if found[i][0])
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -120,6 +120,10 @@ def test_html_main_text():
     assert html_text.main_text("<article><p>kept</p><div class=ad>never closed<article><p>also</p>") != ""
 
 
+def test_html_short_page_is_kept_whole():
+    assert html_text.main_text("<body><h1>Tiny news</h1><p>One short line.</p><p>Another one.</p></body>") == "Tiny news One short line. Another one."
+
+
 def test_html_query_and_odd(spark):
     d = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<p>" + "long text " * 50_000 + "</p>", "y"), (1, None, None, "x")], "page_id bigint, url string, html string, text string")
     got = html_text.extract(d).collect()
