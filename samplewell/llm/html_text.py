@@ -4,7 +4,7 @@ Markup is stripped and each block element's text becomes a line. Parts that are
 page headers and footers, side bars, notices, adverts, forms, reader comments: by element or by a telling class, id or
 role) leave empty lines. The lengths of the text outside links are summed over a sliding window of lines. A surge is where the sum
 reaches a threshold, a dive is where it falls to 0; all lines between a surge and its dive are kept. Lines inside <article> or
-<main> and the lines outside have distributions of their own: inside, any text is a surge; outside, none is where a page has a landmark. Where no surge is found, the
+<main> and the lines outside have distributions of their own: inside, any text is a surge. Where no surge is found, the
 run between dives around the best window is kept.
 """
 
@@ -145,7 +145,7 @@ def main_text(page: str | None) -> str:
     found, has = lines(page)
     # Inside a landmark any text is a surge, and a line of links alone is text as well; elsewhere a surge needs SURGE characters.
     size = [max(n, len(t)) if inside else 0 for t, n, inside in found]
-    other = [0 if has else n for _, n, _ in found]
+    other = [0 if inside else n for _, n, inside in found]
     kept = {i for a, b in _runs(size, 1) for i in range(a, b) if size[i]}
     kept |= {i for a, b in _runs(other, SURGE) for i in range(a, b) if not found[i][2] and (other[i] or not has)}
     if not kept and any(other):  # a short page

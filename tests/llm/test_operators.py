@@ -124,6 +124,12 @@ def test_html_short_page_is_kept_whole():
     assert html_text.main_text("<body><h1>Tiny news</h1><p>One short line.</p><p>Another one.</p></body>") == "Tiny news One short line. Another one."
 
 
+def test_html_body_outside_a_landmark_is_kept():
+    page = "<body><article><h2>Teaser</h2></article><p>Short by-line</p><hr>" + "<div>" + "word " * 30 + "</div><p>End.</p></body>"
+    assert html_text.main_text(page) == "Teaser Short by-line " + "word " * 30 + "End."
+    assert html_text.main_text("<article><p>Body text.</p></article><p>Tag line</p>") == "Body text."
+
+
 def test_html_query_and_odd(spark):
     d = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<p>" + "long text " * 50_000 + "</p>", "y"), (1, None, None, "x")], "page_id bigint, url string, html string, text string")
     got = html_text.extract(d).collect()
