@@ -25,8 +25,6 @@ RULES = (
 )
 #: Least share of labelled URLs that have a rule's tokens and verdict, least confidence, most tokens of a rule.
 SUPPORT, CONFIDENCE, TOKENS = 0.01, 0.8, 3
-#: The mining takes all labelled URLs up to so many, and an evenly hashed sample of about so many beyond.
-FIT_ROWS = 2_000_000
 #: Rules kept at most, by confidence, support and tokens (their index is broadcast: some 3,000 short rows).
 KEPT_RULES = 1000
 
@@ -66,13 +64,10 @@ def tokens() -> Column:
 
 
 def mine(labelled: DataFrame) -> DataFrame:
-    """labelled (tokens, verdict) -> rules (rule_id, antecedent, verdict, confidence, support), pruned. No labels give no rules."""
+    """labelled (tokens, verdict) -> rules (rule_id, antecedent, verdict, confidence, support) mined from all rows, pruned. No labels give no rules."""
     spark = labelled.sparkSession
-    n = labelled.count()
-    if not n:
+    if labelled.isEmpty():
         return spark.createDataFrame([], "rule_id bigint, antecedent array<string>, verdict string, confidence double, support double")
-    if n > FIT_ROWS:
-        labelled = labelled.where(F.pmod(F.xxhash64("tokens"), F.lit(1 << 20)) < int(FIT_ROWS / n * (1 << 20)))
     items = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("v:"), "verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=SUPPORT, minConfidence=CONFIDENCE).fit(items)
     found = model.associationRules.where(F.col("consequent")[0].startswith("v:") & (F.size("antecedent") <= TOKENS) & ~F.exists("antecedent", lambda x: x.startswith("v:")))

@@ -179,6 +179,14 @@ def test_mined_rules_against_counts(spark):
     assert {tuple(r["antecedent"]) for r in rules} == {("p:x",), ("p:y",), ("p:z",)}
 
 
+def test_all_labels_are_mined(spark, monkeypatch):
+    monkeypatch.setattr(url_rules, "FIT_ROWS", 50, raising=False)  # the bound beyond which labels were left out by token set
+    rows = [([f"d:{i}", "p:x"], "block") for i in range(60) for _ in range(1 + i % 3)] + [(["d:hot", "p:y"], "allow")] * 100
+    rules = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string")).collect()
+    got = {tuple(r["antecedent"]): (r["verdict"], r["confidence"], r["support"]) for r in rules}
+    assert got["p:x",] == ("block", 1.0, pytest.approx(120 / 220)) and got["p:y",] == ("allow", 1.0, pytest.approx(100 / 220))
+
+
 # 7 and 9
 
 
