@@ -41,6 +41,15 @@ def test_each_stage(spark, results):
     assert all(list(encoded[i]["ids"]) == lib.encode(masked[i]["text"], add_special_tokens=False).ids for i in masked)
 
 
+def test_near_duplicates_of_five_words_at_four_fifths(spark):
+    words = [f"w{i}" for i in range(100)]
+    changed = [w if i not in (20, 60) else "other" for i, w in enumerate(words)]  # 5 words: 86 of 106; 3 words: 92 of 104, below 0.9
+    rows = [(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(words[::-1]))]
+    rows = [(i, t, "en", f"s{i}", len(t)) for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()} == {1, 3}
+
+
 def test_odd_rows(spark, odd, none):
     rows = odd.select(*corpus_pipeline.COLUMNS)
     for _, stage in corpus_pipeline.STAGES:
