@@ -11,7 +11,7 @@ from samplewell.llm.shared import cut
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b): links between node ids (bigint). Returns (node, root): every linked node with its component's least id.
 
-    Self links and repeated links do no harm; null ends are dropped; no links give no rows. Each step is checkpointed, so
+    Self links and repeated links do no harm; null ends are dropped; no links give no rows. Each step is written, so
     a lost executor costs at most one step, and the number of steps grows with the logarithm of the longest chain.
     """
     star = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -20,7 +20,6 @@ def components(edges: DataFrame) -> DataFrame:
         both = star.union(star.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = cut(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).where("u <> v").distinct()
         star = cut(small)

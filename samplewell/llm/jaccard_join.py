@@ -1,59 +1,53 @@
 """Exact n-gram Jaccard join by filtering under several global token orders.
 
-A document is the set of its distinct word shingles (64-bit hashes). Under any global order of the tokens, two sets with
-Jaccard >= t share one of their first n - ceil(t n) + 1 tokens. The orders here put rare tokens first: a fixed fifth of
-the hash space is the pool; its tokens are counted over all documents and come first, by document frequency and then by a hash
-that differs between the orders. Tokens of frequency 1 fill most prefixes and match nothing, so most documents drop out
-before any join. Sets whose prefix is not filled by rare pool tokens are read again: their other tokens come next, by
-frequency among these sets, and the pool's common tokens last, so that a passage that many documents share hardly ever gets
-into a prefix. Candidates must share a prefix token under every order; then the sets are compared exactly.
-
-Documents with equal sets are one class from the start. In a bucket of many documents (a prefix token that many share)
-each member first meets a few ring neighbours, then the members with most links; the links found give components, and only
-pairs from different components are compared after that. That loses no connection, yet a large group of near copies needs no square of pairs.
+A document is the set of its distinct word shingles (64-bit hashes); every text is split and hashed once, and documents with
+equal sets are one class from the start. Under any global order of the tokens, two sets with Jaccard >= t share one of their
+first n - ceil(t n) + 1 tokens. The orders here put rare tokens first: a fixed part of the hash space is the pool; its
+tokens are counted over all distinct sets and come first, by frequency and then by a hash that differs between the orders.
+Tokens of frequency 1 fill most prefixes and match nothing, so most documents drop out before any join. Sets whose prefix is not filled
+by rare pool tokens are read again: their other tokens come next, by frequency among these sets, and the pool's common
+tokens last, so that a passage that many documents share hardly ever gets into a prefix. Candidates must share a prefix
+token under every order; then the sets are compared exactly.
+
+A prefix token that many sets share would make a square of candidates. Each such bucket gets a hub h, and each member x is
+compared with it: A = x minus h and D = h minus x are its edits E. Two members with s common edits have
+|x & y| = |h| - d_x - d_y + s and |x | y| = |h| + a_x + a_y - s, so that they link if and only if
+s >= (W_x + W_y - K) / (num + den) with W = num a + den d and K = (den - num) |h|. Members with W <= K link with the hub
+and need no comparison with each other. All other pairs are found by prefixes of the edits, rarest first, whose lengths
+follow from the bounds of W of both sides' classes. Buckets of edits that are still large get hubs of their own.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from samplewell.llm.graph import components
-from samplewell.llm.shared import cut, map_columns
-from samplewell.llm.textkit import WordHashes, mix, shingles
-
-#: Part of the token hash space whose frequencies are counted over all documents.
-POOL = 0.2
-#: The orders: by what the hash is changed before it breaks ties.
-SEEDS = (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F)
-#: Pool tokens of so many documents come last in every order.
+from samplewell.llm.shared import cut, map_columns, spread_join
+from samplewell.llm.textkit import WordHashes, shingles
+
+#: The pool's part of the token hash space is so many times the part of a set that its prefix takes.
+POOL = 2
+#: The orders: what the hash is seeded with that breaks ties.
+SEEDS = (0, 1, 2)
+#: Pool tokens of so many sets come last in every order.
 HOT_DF = 64
-#: Buckets of more members are compared in rings first, then with the members that have most links; blocks of a ring.
-SMALL_BUCKET, RING, HUBS, BLOCK = 64, 8, 12, 4096
-#: At most so many tokens count as hot; the rows of each are spread over so many salts.
-HOT_TOKENS, SALTS = 2000, 64
+#: Buckets of more members are compared through a hub.
+SMALL_BUCKET = 64
+#: Buckets of edits of two classes are compared at once where one side has at most so many members.
+FEW = 16
 #: Id lists up to this length (16 MB) are broadcast; longer ones are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
-_EDGE = np.uint64(int(POOL * 2**64))
-
 
 def _signature(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
-
-
-def _prefix_length(n, num: int, den: int):
-    return n - -(-num * n // den) + 1
-
-
 class _Seen:
-    """A task's word table, and the sets it has had: an exact copy in the same task brings no rows."""
+    """A task's word table, and the sets it has had: an exact copy in the same task brings no tokens."""
 
     def __init__(self):
         self.table, self.sets = WordHashes(), set()
@@ -61,187 +55,171 @@ class _Seen:
     def new(self, sig: int) -> bool:
         if sig in self.sets:
             return False
-        if len(self.sets) >= 200_000:
+        if len(self.sets) >= 100_000:
             self.sets.clear()
         self.sets.add(sig)
         return True
 
 
-def document_sets(df: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, sig, pool): the number of distinct shingles, the set's signature (null without words), how many shingles are in the pool."""
+def document_sets(df: DataFrame, size: int, edge: float, id_col: str, text_col: str) -> DataFrame:
+    """(id, n, sig, tokens): the number of distinct shingles, the set's signature (null without words), and its tokens in the pool (null without an id or words, and for a set that the task has had)."""
+    most = np.uint64(min(2**64 - 1, int(edge * 2**64)))
 
-    def run(table, ids, texts):
-        sets = [shingles(t or "", size, table) for t in texts]
-        return [ids, [len(s) for s in sets], [_signature(s) if len(s) else None for s in sets], [int(np.searchsorted(s, _EDGE)) for s in sets]]
+    def run(state, ids, texts):
+        n, sigs, tokens = [], [], []
+        for i, t in zip(ids, texts):
+            s = shingles(t or "", size, state.table)
+            sig = _signature(s) if len(s) else None
+            n.append(len(s))
+            sigs.append(sig)
+            tokens.append(s[: np.searchsorted(s, most)].view(np.int64) if sig is not None and i is not None and state.new(sig) else None)
+        return [ids, n, sigs, tokens]
 
-    return map_columns(df.select(F.col(id_col).cast("bigint"), F.col(text_col)), run, "id bigint, n bigint, sig bigint, pool bigint", WordHashes)
+    return map_columns(df.select(F.col(id_col).cast("bigint"), F.col(text_col)), run, "id bigint, n bigint, sig bigint, tokens array<bigint>", _Seen)
 
 
-def _tokens(df: DataFrame, size: int, hot, full: bool) -> DataFrame:
-    """Rows of the pool's tokens of each set; full: with salt, signature, id and sizes."""
+def _part_of(texts: DataFrame, ids: DataFrame, size: int, edge: float) -> DataFrame:
+    """(sig, tokens) of the sets of the listed ids, once each: their tokens from a part of the hash space on (0: all)."""
+    least = np.uint64(min(2**64 - 1, int(edge * 2**64)))
+    wanted = ids.select("id").distinct()
+    wanted = F.broadcast(wanted) if ids.count() <= BROADCAST_IDS else wanted
+
+    def run(words, found):
+        sets = [shingles(t or "", size, words) for t in found]
+        return [[_signature(s) if len(s) else None for s in sets], [s[np.searchsorted(s, least) :].view(np.int64) for s in sets]]
+
+    sets = map_columns(texts.join(wanted, "id", "left_semi").select("text"), run, "sig bigint, tokens array<bigint>", WordHashes)
+    return cut(sets.where("sig is not null").groupBy("sig").agg(F.first("tokens").alias("tokens")))
+
+
+def _shared_tokens(sets: DataFrame) -> DataFrame:
+    """(sig, f): for each set (sig, tokens) that has any, its tokens that other sets have as well, as (df, token)."""
+    rows = sets.select("sig", F.explode("tokens").alias("token"))
+    counts = cut(rows.groupBy("token").agg(F.count("*").alias("df")).where("df >= 2"))
+    return spread_join(rows, counts, ["token"], "df").groupBy("sig").agg(F.collect_list(F.struct("df", "token")).alias("f"))
+
+
+def _none(kind: str = "array<struct<df:bigint,token:bigint>>") -> Column:
+    return F.array().cast(kind)
 
-    def run(state, ids, texts):
-        if state.__dict__.get("hot") is None:
-            state.hot = hot.value if hot is not None else np.empty(0, np.int64)
-        out, rows = [], []
-        for i, t in zip(ids, texts):
-            s = shingles(t or "", size, state.table)
-            if not len(s) or not state.new(sig := _signature(s)):
-                continue
-            m = int(np.searchsorted(s, _EDGE))
-            out.append(_signed(s[:m]))
-            rows.append((sig, i, len(s), m))
-        k = [len(x) for x in out]
-        tokens = np.concatenate(out) if out else np.empty(0, np.int64)
-        if not full:
-            return [tokens]
-        sig, i, n, m = (np.repeat(np.array([r[j] for r in rows], np.int64), k) for j in range(4))
-        salt = np.where(np.isin(tokens, state.hot), sig & (SALTS - 1), 0).astype(np.int32)
-        return [tokens, salt, sig, i, n, m]
-
-    cols = "token bigint, salt int, sig bigint, id bigint, n bigint, pool bigint" if full else "token bigint"
-    return map_columns(df, run, cols, _Seen)
-
-
-def _orders(n: int, pool: int, p: int, token, df, further=None, further_df=None) -> list[np.ndarray] | None:
-    """Shared tokens of a set's prefix under each order; None if the tokens outside the pool have to be known for that.
-
-    The classes of every order: pool tokens of frequency 1; rarer pool tokens (below HOT_DF) by frequency and hash; tokens
-    outside the pool by their frequency among the sets that need them, and hash; the other pool tokens. token, df: the pool's
-    tokens of frequency 2 or more. further: tokens outside the pool of frequency 2 or more, if known.
-    """
-    rare = df < HOT_DF
-    left = p - (pool - len(token))  # what the tokens of frequency 1 leave
-    if left > rare.sum() and further is None:
-        return None
-    out = []
-    for seed in SEEDS:
-        parts, rest = [], left
-        for k, (t, f) in enumerate(((token[rare], df[rare]), (further, further_df), (token[~rare], df[~rare]))):
-            if rest <= 0 or t is None:
-                break
-            if k == 1:
-                rest -= n - pool - len(t)  # tokens outside the pool that no other such set has
-            h = mix(t ^ np.uint64(seed)) if seed else t
-            parts.append(t[np.lexsort((h, f))[: max(0, rest)]])
-            rest -= len(parts[-1])
-        out.append(np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64))
-    return out
-
-
-def _prefixes(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """rows (sig, id, n, pool, token, df), sorted by sig: one row for each set that has shared tokens in its prefix: sig, id, n, pool, its prefix tokens under each order.
-
-    Sets whose prefix goes beyond the pool's rare tokens have null prefixes; the pool's shared tokens and their frequencies are in shared and freq.
-    """
-    import pyarrow as pa
-    from pyspark.sql import types as T
-
-    names = ["sig", "id", "n", "pool", "first", "second", "third", "shared", "freq"]
-    arrow = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 5
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in names[:4]] + [T.StructField(c, T.ArrayType(T.LongType())) for c in names[4:]])
-
-    def group(sig, ids, n, pool, token, df):
-        keep = np.unique(token, return_index=True)[1]  # other copies of the set bring the same rows
-        token, df = token[keep].view(np.uint64), df[keep]
-        p = _prefix_length(n, num, den)
-        orders = _orders(n, pool, p, token, df) if pool >= p else None
-        if orders is None:
-            return sig, int(min(ids)), n, pool, None, None, None, token.view(np.int64), df
-        return (sig, int(min(ids)), n, pool, *orders, None, None) if len(orders[0]) else None
-
-    def made(found):
-        found = [f for f in found if f]
-        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], type=t) for k, t in enumerate(arrow)], names=names)
-
-    def batches(it):
-        rest = None
-        for b in it:
-            if not b.num_rows:
-                continue
-            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            if rest is not None:
-                cols = [np.concatenate(x) for x in zip(rest, cols)]
-            starts = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])
-            rest = [c[starts[-1] :] for c in cols]
-            yield made([group(int(cols[0][a]), cols[1][a:b], int(cols[2][a]), int(cols[3][a]), cols[4][a:b], cols[5][a:b]) for a, b in zip(starts, starts[1:])])
-        if rest is not None:
-            yield made([group(int(rest[0][0]), rest[1], int(rest[2][0]), int(rest[3][0]), rest[4], rest[5])])
-
-    return rows.select("sig", "id", "n", "pool", "token", "df").mapInArrow(batches, schema)
-
-
-def _completed(found: DataFrame, named: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """All prefixes (sig, id, n, first, second, third): those found, and those of the sets that need tokens outside the pool, which are read again."""
-    p = F.col("n") - F.ceil(F.col("n") * num / den).cast("bigint") + 1
-    small = named.where(F.col("pool") < p).groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("pool").alias("pool"))
-    none = F.array().cast("array<bigint>")
-    bare = small.join(found.select("sig"), "sig", "left_anti").select("sig", "id", "n", "pool", none.alias("shared"), none.alias("freq"))
-    needy = cut(found.where("first is null").select("sig", "id", "n", "pool", "shared", "freq").union(bare))
-    ids = needy.select("id").distinct()
-    wanted = F.broadcast(ids) if needy.count() <= BROADCAST_IDS else ids
-
-    def outside(state, texts):
-        out, sigs = [], []
-        for t in texts:
-            s = shingles(t or "", size, state.table)
-            if len(s) and state.new(sig := _signature(s)):
-                out.append(_signed(s[np.searchsorted(s, _EDGE) :]))
-                sigs.append(np.full(len(out[-1]), sig, np.int64))
-        return [np.concatenate(out), np.concatenate(sigs)] if out else [[], []]
-
-    further = map_columns(texts.join(wanted, "id", "left_semi").select("text"), outside, "token bigint, sig bigint", _Seen)
-    counts = cut(further.groupBy("token").agg(F.count("*").alias("df")).where("df >= 2"))
-    listed = further.join(counts, "token").groupBy("sig").agg(F.collect_set(F.struct("token", "df")).alias("f"))
-    rows = needy.join(listed, "sig", "left").select("sig", "id", "n", "pool", "shared", "freq", F.coalesce("f.token", none).alias("t"), F.coalesce("f.df", none).alias("f"))
-
-    def finish(_, sig, ids, n, pool, shared, freq, t, f):
-        array = lambda x: np.array(x, np.int64)
-        out = [_orders(k, m, _prefix_length(k, num, den), array(s).view(np.uint64), array(d), array(x).view(np.uint64), array(y)) for k, m, s, d, x, y in zip(n, pool, shared, freq, t, f)]
-        return [sig, ids, n, *[[o[j] for o in out] for j in range(3)]]
-
-    cols = "sig bigint, id bigint, n bigint, first array<bigint>, second array<bigint>, third array<bigint>"
-    done = map_columns(rows, finish, cols).where("size(first) > 0")
-    return found.where("first is not null").select("sig", "id", "n", "first", "second", "third").union(done)
-
-
-def _bucket_pairs(buckets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of each bucket row (size, sigs, ns) that pass the length filter: all for a small bucket, ring neighbours for a large one."""
-
-    def run(state, size, sigs, ns):
-        a, b = [], []
-        for total, sig, n in zip(size, sigs, ns):
-            sig, n = np.array(sig, np.int64), np.array(n, np.int64)
-            order = np.argsort(sig, kind="stable")
-            sig, n = sig[order], n[order]
-            m = len(sig)
-            if total <= SMALL_BUCKET:
-                x, y = np.triu_indices(m, 1)
-            else:
-                steps = np.arange(1, min(RING, m - 1) + 1)
-                x = np.repeat(np.arange(m), len(steps))
-                y = (x + np.tile(steps, m)) % m
-            ok = np.minimum(n[x], n[y]) * den >= np.maximum(n[x], n[y]) * num
-            x, y = sig[x[ok]], sig[y[ok]]
-            a.append(np.minimum(x, y))
-            b.append(np.maximum(x, y))
-        return [np.concatenate(a), np.concatenate(b)]
-
-    return map_columns(buckets.select("size", "sigs", "ns"), run, "a bigint, b bigint").distinct()
-
-
-def _filtered(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """The pairs that share a prefix token under each of the further orders too."""
-    x = prefixes.select(F.col("sig").alias("a"), F.col("second").alias("x2"), F.col("third").alias("x3"))
-    y = prefixes.select(F.col("sig").alias("b"), F.col("second").alias("y2"), F.col("third").alias("y3"))
-    return pairs.join(x, "a").join(y, "b").where(F.arrays_overlap("x2", "y2") & F.arrays_overlap("x3", "y3")).select("a", "b")
+
+def _in_order(f: str, seed: int) -> Column:
+    """The tokens of column f by frequency, then by a hash."""
+    by = F.sort_array(F.transform(f, lambda x: F.struct(x["df"], F.xxhash64(x["token"], F.lit(seed)).alias("h"), x["token"].alias("token"))))
+    return F.transform(by, lambda x: x["token"])
+
+
+def _first(tokens: Column, k: Column) -> Column:
+    return F.slice(tokens, F.lit(1), F.greatest(F.lit(0), k).cast("int"))
+
+
+def prefixes(reps: DataFrame, texts: DataFrame, size: int, num: int, den: int, edge: float) -> DataFrame:
+    """(sig, id, n, first, second, third): the shared tokens of each set's prefix under the three orders, for sets that have any."""
+    p = F.expr(f"n - (n * {num} + {den - 1}) div {den} + 1")
+    rows = reps.select("sig", "id", "n", "pool").join(_shared_tokens(reps), "sig", "left").withColumn("f", F.coalesce("f", _none()))
+    rows = rows.withColumn("left", p - F.col("pool") + F.size("f"))
+    rows = rows.where("left > 0")  # else tokens of frequency 1 fill the prefix
+    rows = rows.withColumn("rare", F.filter("f", lambda x: x["df"] < HOT_DF)).withColumn("hot", F.filter("f", lambda x: x["df"] >= HOT_DF)).drop("f")
+    rows = cut(rows)
+    enough = F.col("left") <= F.size("rare")
+    names = ["first", "second", "third"]
+    plain = rows.where(enough).select("sig", "id", "n", *[_first(_in_order("rare", s), F.col("left")).alias(c) for s, c in zip(SEEDS, names)])
+    needy = rows.where(~enough)
+    outside = _part_of(texts, needy.select("id"), size, edge).join(needy.select("sig"), "sig", "left_semi")
+    full = needy.join(_shared_tokens(outside), "sig", "left").withColumn("f", F.coalesce("f", _none()))
+    full = full.withColumn("left", F.col("left") - F.size("rare") - (F.col("n") - F.col("pool") - F.size("f")))  # what rare pool tokens and those that no other such set has leave
+    order = lambda s: F.concat(_in_order("rare", s), _first(_in_order("f", s), F.col("left")), _first(_in_order("hot", s), F.col("left") - F.size("f")))
+    full = full.select("sig", "id", "n", *[order(s).alias(c) for s, c in zip(SEEDS, names)])
+    return cut(plain.union(full).where("size(first) > 0"))
+
+
+def _filtered(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b, ...) that share a prefix token under each of the further orders too."""
+    x = found.select(F.col("sig").alias("a"), F.col("second").alias("x2"), F.col("third").alias("x3"))
+    y = found.select(F.col("sig").alias("b"), F.col("second").alias("y2"), F.col("third").alias("y3"))
+    return pairs.join(x, "a").join(y, "b").where(F.arrays_overlap("x2", "y2") & F.arrays_overlap("x3", "y3")).select(*pairs.columns)
+
+
+def _pairs_of_small(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct pairs (a, b) of each bucket (token, sig, n) of at most SMALL_BUCKET members that pass the length filter."""
+    by = members.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("n", "sig"))).alias("m"))
+    longer = lambda x, i: F.filter(F.slice("m", i + 2, F.lit(SMALL_BUCKET)), lambda y: x["n"] * den >= y["n"] * num)
+    pairs = F.flatten(F.transform("m", lambda x, i: F.transform(longer(x, i), lambda y: F.struct(F.least(x["sig"], y["sig"]).alias("a"), F.greatest(x["sig"], y["sig"]).alias("b")))))
+    return by.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs that link, by comparing the whole sets."""
-    left, right = sets.toDF("a", "na", "xs"), sets.toDF("b", "nb", "ys")
+    left, right = sets.toDF("a", "xs"), sets.toDF("b", "ys")
     both = F.size(F.array_intersect("xs", "ys"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", both.cast("bigint").alias("i")).where(F.col("i") * den >= (F.col("na") + F.col("nb") - F.col("i")) * num).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").withColumn("i", both).where(F.col("i") * den >= (F.size("xs") + F.size("ys") - F.col("i")) * num).select("a", "b")
+
+
+def _edits(buckets: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(hub, sig, w, k, linked, edits) for each member of the buckets (key, sig, size) and the hub of its bucket: the member that is in most buckets."""
+    popular = buckets.join(buckets.groupBy("sig").agg(F.count("*").alias("in")), "sig")
+    hubs = cut(popular.groupBy("key").agg(F.max(F.struct("in", "sig")).alias("m"), F.first("size").alias("size")).select("key", F.col("m.sig").alias("hub"), "size"))
+    near = cut(spread_join(buckets.drop("size"), hubs, ["key"], "size").where("hub <> sig").select("hub", "sig").distinct())
+    sizes = near.groupBy("hub").agg(F.count("*").alias("members"))
+    hub_sets = cut(sizes.join(sets.select(F.col("sig").alias("hub"), F.col("tokens").alias("h")), "hub"))
+    both = spread_join(near, hub_sets, ["hub"], "members").join(sets, "sig").withColumn("added", F.array_except("tokens", "h")).withColumn("missing", F.array_except("h", "tokens"))
+    w, k = num * F.size("added") + den * F.size("missing"), (den - num) * F.size("h")
+    return cut(both.select("hub", "sig", w.alias("w"), k.alias("k"), (w <= k).alias("linked"), F.concat("added", "missing").alias("edits")))
+
+
+def _edit_keys(edits: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, sig, hub, high): a key for each pair of classes and each shared edit in the prefix that this pair of classes asks for.
+
+    Classes 0 to 3 cut the W of members that link with the hub, 0 to K, those from 4 on what is beyond, in steps of K / 4.
+    """
+    rows = edits.select("hub", "sig", F.explode("edits").alias("token"))
+    counts = cut(rows.groupBy("hub", "token").agg(F.count("*").alias("df")).where("df >= 2"))
+    shared = spread_join(rows, counts, ["hub", "token"], "df").groupBy("hub", "sig").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("f"))
+    own = edits.select("hub", "sig", "w", "k", F.size("edits").alias("e")).join(shared, ["hub", "sig"])
+    both = num + den
+    own = own.withColumn("step", F.expr("greatest(1, k div 4)")).withColumn("class", F.expr("IF(w <= k, (4 * w) div (k + 1), 4 + (w - k - 1) div step)"))
+    # Partner classes: at least one of the two is beyond the hub's links, and neither side has fewer edits than they must share.
+    last = F.expr(f"4 + (e * {both} - w - 1) div step")
+    own = own.withColumn("other", F.explode(F.sequence(F.when(F.col("class") < 4, F.lit(4)).otherwise(F.lit(0)).cast("bigint"), F.greatest(F.lit(4), last).cast("bigint"))))
+    own = own.withColumn("low", F.expr("IF(other < 4, (other * (k + 1) + 3) div 4, k + 1 + (other - 4) * step)")).withColumn("top", F.expr("IF(other < 4, ((other + 1) * (k + 1) + 3) div 4, k + 1 + (other - 3) * step)"))
+    own = own.withColumn("need", F.expr(f"greatest(1, (w + low - k + {both - 1}) div {both})")).where(F.expr(f"need <= e and need * {num} <= top"))
+    own = own.withColumn("token", F.explode(_first(F.col("f"), F.expr("e - need + 1 - (e - size(f))")))).select("hub", "sig", "class", "other", F.col("token.token").alias("token"))
+    key = F.xxhash64("hub", F.least("class", "other"), F.greatest("class", "other"), "token")
+    side = F.when(F.col("class") < F.col("other"), 0).when(F.col("class") > F.col("other"), 1)
+    return own.select(key.alias("key"), "sig", "hub", side.alias("side"))
+
+
+def _pairs_of_edits(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (hub, a, b) of the buckets that make few, and the members (key, sig, size) of the others.
+
+    A bucket of two classes has pairs across its sides only: few if one side has at most FEW members. They are listed, and the other side meets the list.
+    """
+    sizes = keys.groupBy("key").agg(F.count("*").alias("size"), F.count("side").alias("sided"), F.coalesce(F.sum("side"), F.lit(0)).alias("high"))
+    lower = F.least("high", F.col("size") - F.col("high"))
+    sizes = sizes.where((F.col("size") >= 2) & ((F.col("sided") == 0) | (lower > 0)))
+    listed = F.when(F.col("sided") == 0, F.when(F.col("size") <= SMALL_BUCKET, -1)).when(lower <= FEW, (F.col("high") <= F.col("size") - F.col("high")).cast("int"))
+    sizes = cut(sizes.select("key", "size", listed.alias("listed")))  # which side is listed; -1: all members; null: too many
+    members = cut(spread_join(keys.withColumn("side", F.coalesce("side", F.lit(-1))), sizes, ["key"], "size"))
+    lists = members.where(F.col("side") == F.col("listed")).groupBy("key", "size").agg(F.collect_list("sig").alias("sigs"))
+    others = members.where(F.col("listed").isNotNull() & ((F.col("listed") == -1) | (F.col("side") != F.col("listed")))).select("key", "hub", "sig")
+    pairs = spread_join(others, cut(lists), ["key"], "size").select("hub", "sig", F.explode("sigs").alias("o")).where("o <> sig")
+    pairs = pairs.select("hub", F.least("sig", "o").alias("a"), F.greatest("sig", "o").alias("b")).distinct()
+    return pairs, members.where("listed is null").select("key", "sig", "size").distinct()
+
+
+def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose sets are not in one component yet."""
+    x, y = roots.toDF("a", "x_root"), roots.toDF("b", "y_root")
+    both = pairs.join(x, "a", "left").join(y, "b", "left")
+    return both.where(F.coalesce("x_root", "a") != F.coalesce("y_root", "b")).select(*pairs.columns)
+
+
+def _verified_edits(pairs: DataFrame, edits: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (hub, a, b) that link, by their common edits."""
+    x = edits.select("hub", F.col("sig").alias("a"), "k", F.col("w").alias("xw"), F.col("edits").alias("xs"))
+    y = edits.select("hub", F.col("sig").alias("b"), F.col("w").alias("yw"), F.col("edits").alias("ys"))
+    both = pairs.join(x, ["hub", "a"]).join(y, ["hub", "b"])
+    return both.where(F.size(F.array_intersect("xs", "ys")) * (num + den) >= F.col("xw") + F.col("yw") - F.col("k")).select("a", "b")
 
 
 def jaccard_components(df: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,82 +229,45 @@ def jaccard_components(df: DataFrame, size: int = 3, num: int = 90, den: int = 1
     Rows with a null id are kept, are linked with nothing, and have a null component. Repeated rows are links like any
     equal sets; rows that share an id share a component only if their sets link. Shingles are compared as 64-bit hashes.
     """
-    spark = df.sparkSession
+    edge = min(1.0, POOL * (den - num) / den)
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    listed = cut(document_sets(docs, size, "id", "text"))
-    named = listed.where("id is not null and sig is not null")
-    total = named.agg(F.sum("n")).first()[0] or 0
     texts = docs.where("id is not null")
-    # Document frequency of every emitted token; those of frequency 1 match nothing.
-    frequency = cut(_tokens(texts, size, None, False).groupBy("token").agg(F.count("*").alias("df")).where("df >= 2"))
-    floor = max(1000, int(POOL * total) // HOT_TOKENS)
-    hot = np.sort(np.array([r[0] for r in frequency.where(F.col("df") >= floor).select("token").collect()], np.int64))  # at most about HOT_TOKENS by the choice of floor
-    salts = F.when(F.col("df") >= floor, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    keyed = frequency.withColumn("salt", F.explode(salts))
-    rows = _tokens(texts, size, spark.sparkContext.broadcast(hot), True).join(keyed, ["token", "salt"])
-    found = cut(_prefixes(rows.repartition("sig").sortWithinPartitions("sig"), num, den))
-    prefixes = cut(_completed(found, named, texts, size, num, den))
-    postings = prefixes.select("sig", "n", F.explode("first").alias("token"))
-    sizes = cut(postings.groupBy("token").agg(F.count("*").alias("size")).where("size >= 2"))
-    members = postings.join(sizes, "token")
-    block = F.pmod(F.xxhash64("sig"), F.ceil(F.col("size") / BLOCK))
-    buckets = members.groupBy("token", "size", block.alias("block")).agg(F.collect_list(F.struct("sig", "n")).alias("m")).select("size", F.col("m.sig").alias("sigs"), F.col("m.n").alias("ns"))
-    pairs = cut(_filtered(_bucket_pairs(buckets, num, den), prefixes))
-
-    large = cut(members.where(F.col("size") > SMALL_BUCKET).select("token", "sig", "n"))
-    ids = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(large.select("sig")).distinct()
-    ids = cut(ids.join(prefixes.select("sig", "id"), "sig").groupBy("sig").agg(F.min("id").alias("id")))
-    wanted = ids.select("id").distinct()
-    if ids.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-
-    def whole(table, texts):
-        sets = [shingles(t or "", size, table) for t in texts]
-        return [[_signature(s) if len(s) else None for s in sets], [len(s) for s in sets], [_signed(s) for s in sets]]
-
-    sets = map_columns(texts.join(wanted, "id", "left_semi").select("text"), whole, "sig bigint, n bigint, tokens array<bigint>", WordHashes).where("sig is not null")
-    sets = cut(sets.groupBy("sig").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")))
+    listed = cut(document_sets(docs, size, edge, "id", "text"))
+    named = listed.where("id is not null and sig is not null").select("id", "n", "sig")
+    with_tokens = listed.where("tokens is not null").groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    reps = cut(with_tokens.select("sig", "id", "n", F.size("tokens").cast("bigint").alias("pool"), "tokens"))
+    found = prefixes(reps, texts, size, num, den, edge)
 
+    postings = found.select("sig", "n", F.explode("first").alias("token"))
+    sizes = cut(postings.groupBy("token").agg(F.count("*").alias("size")).where("size >= 2"))
+    members = cut(spread_join(postings, sizes, ["token"], "size"))
+    pairs = cut(_filtered(_pairs_of_small(members.where(F.col("size") <= SMALL_BUCKET), num, den), found))
+    large = members.where(F.col("size") > SMALL_BUCKET).select(F.col("token").alias("key"), "sig", "size")
+    needed = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(large.select("sig")).distinct()
+    sets = _part_of(texts, cut(found.join(needed, "sig", "left_semi").select("id")), size, 0.0)
     links = cut(_verified(pairs, sets, num, den))
     roots = cut(components(links))
-    if not large.isEmpty():
-        near = cut(_filtered(_to_hubs(large, links, roots, num, den).join(pairs, ["a", "b"], "left_anti"), prefixes))
-        pairs = cut(pairs.union(near))
-        links = cut(links.union(_verified(near, sets, num, den)))
-        roots = cut(components(links))
-        rest = _filtered(_across(large, roots, num, den).join(pairs, ["a", "b"], "left_anti"), prefixes)
-        found = cut(_verified(rest, sets, num, den))
-        if not found.isEmpty():
-            roots = cut(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)))
+    while not large.isEmpty():  # a bucket loses its hub at least, and hardly ever is one of edits still large
+        edits = _edits(large, sets, num, den)
+        joined = edits.where("linked").select(F.col("hub").alias("a"), F.col("sig").alias("b"))
+        roots = cut(components(_chain(roots).union(joined)))
+        pairs, large = _pairs_of_edits(_edit_keys(edits, num, den))
+        more = cut(_verified_edits(_filtered(_across(pairs, roots), found), edits, num, den))
+        if not more.isEmpty():
+            roots = cut(components(_chain(roots).union(more)))
 
     # Classes of equal sets, then components of classes.
     classes = named.groupBy("sig").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
-    classes = cut(classes.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").where("copies > 1 or root is not null").select("sig", F.coalesce("root", "sig").alias("root"), "least"))
-    named_as = cut(classes.join(classes.groupBy("root").agg(F.min("least").alias("component")), "root").select("sig", "component"))
-    return listed.join(named_as, "sig", "left").select(
+    classes = cut(classes.join(roots.toDF("sig", "root"), "sig", "left").where("copies > 1 or root is not null").select("sig", F.coalesce("root", "sig").alias("root"), "least", "copies"))
+    least = classes.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("size"))
+    named_as = cut(spread_join(classes, least, ["root"], "size").select("sig", "component", "copies"))
+    out = spread_join(listed.where("sig is not null").select("id", "n", "sig"), named_as, ["sig"], "copies", "left").select("id", "n", "component")
+    out = out.union(listed.where("sig is null").select("id", "n", F.lit(None).cast("bigint")))
+    return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
     )
 
 
-def _to_hubs(large: DataFrame, links: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of each member of a large bucket with the HUBS members that have most links so far, where their components differ."""
-    degree = links.select(F.col("a").alias("sig")).union(links.select("b")).groupBy("sig").agg(F.count("*").alias("degree"))
-    known = large.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    ranked = known.join(degree, "sig").withColumn("nth", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("degree"), "sig")))
-    hubs = ranked.where(F.col("nth") <= HUBS).select("token", F.col("sig").alias("h_sig"), F.col("n").alias("h_n"), F.col("root").alias("h_root"))
-    on = (F.col("root") != F.col("h_root")) & (F.least("n", "h_n") * den >= F.greatest("n", "h_n") * num)
-    return known.join(hubs, "token").where(on).select(F.least("sig", "h_sig").alias("a"), F.greatest("sig", "h_sig").alias("b")).distinct()
-
-
-def _across(large: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of different components that share a large bucket: those outside a bucket's largest component, against all of it."""
-    known = cut(large.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig")))
-    shares = known.groupBy("token", "root").agg(F.count("*").alias("k"))
-    main = cut(shares.groupBy("token").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("token", "main"))
-    x = known.join(main, "token").where("root <> main").select("token", *[F.col(c).alias(f"x_{c}") for c in ("sig", "n", "root")])
-    y = known.join(main, "token").select("token", "main", *[F.col(c).alias(f"y_{c}") for c in ("sig", "n", "root")])
-    # A pair of two outsiders is met from both sides: keep one.
-    on = (F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("main")) | (F.col("x_sig") < F.col("y_sig")))
-    on &= (F.least("x_n", "y_n") * den >= F.greatest("x_n", "y_n") * num)
-    return x.join(y, "token").where(on).select(F.least("x_sig", "y_sig").alias("a"), F.greatest("x_sig", "y_sig").alias("b")).distinct()
+def _chain(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))

@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Joins: the most keys that count as hot, the least rows of a hot key, tasks for each.
+HOT_KEYS, LEAST_HOT, SALTS = 2000, 256, 64
+#: Bytes of a Parquet row group: what a writing task holds.
+ROW_GROUP = 16 << 20
 #: Python workers take an Arrow batch in slices of about so many bytes, which bounds their memory.
 SLICE_BYTES = 8 << 20
 
@@ -37,18 +43,60 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; one of our own only where none is set, as in tests."""
+    """The folder that the cluster names for checkpoints; one of our own only where none is set and all runs on this machine, as in tests."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if not named and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir("/tmp/checkpoints/samplewell")
     return named or sc.getCheckpointDir()
 
 
+#: Folders of the tables written so far, for release().
+_written: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Cut the lineage by a Parquet table in the shared folder: later reads take the columns they need, a lost executor costs its own tasks only, and release() can delete it."""
+    folder = f"{shared_folder(df.sparkSession)}/samplewell-{uuid.uuid4().hex}"
+    _written.append(folder)
+    write(df, folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def write(df: DataFrame, folder: str) -> None:
+    """Parquet in row groups of bounded memory."""
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(folder)
+
+
+def mark() -> int:
+    """The place in the list of written tables, for release()."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int) -> None:
+    """Delete the tables written since mark(), whose results have been written elsewhere."""
+    while len(_written) > since:
+        delete(spark, _written.pop())
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], size: str, how: str = "inner") -> DataFrame:
+    """rows joined with keyed, which has each key once and, in column `size`, how many rows have it: rows of a hot key are spread over SALTS tasks.
+
+    Hot are keys of at least a HOT_KEYS-th of all rows: at most HOT_KEYS keys, which are broadcast. Null keys must not occur in rows.
+    """
+    total = keyed.agg(F.sum(size)).first()[0] or 0
+    hot = keyed.where(F.col(size) >= max(LEAST_HOT, -(-total // HOT_KEYS))).select(*keys)
+    rest = [c for c in rows.columns if c not in keys]
+    salted = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*rest), F.lit(SALTS))).otherwise(0).cast("int")).drop("_hot")
+    copies = F.when(F.col(size) >= max(LEAST_HOT, -(-total // HOT_KEYS)), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(keyed.withColumn("_salt", F.explode(copies)), [*keys, "_salt"], how).drop("_salt")
 
 
 def map_columns(df: DataFrame, fn, schema: str, start=None) -> DataFrame:

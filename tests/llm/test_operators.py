@@ -270,7 +270,6 @@ def brute_components(rows):
 @pytest.mark.parametrize("small", [64, 3])
 def test_jaccard_components_against_all_pairs(spark, monkeypatch, small):
     monkeypatch.setattr(jaccard_join, "SMALL_BUCKET", small)
-    monkeypatch.setattr(jaccard_join, "RING", 1 if small == 3 else 8)
     rng = random.Random(7)
     vocabulary = [f"w{i}" for i in range(400)]
     rows, i = [], 0
@@ -287,6 +286,34 @@ def test_jaccard_components_against_all_pairs(spark, monkeypatch, small):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("size, num", [(3, 90), (5, 80)])
+def test_jaccard_large_group_of_edits(spark, size, num):
+    """2,000 edits of one text, of one to seven words, some of them alike: all pairs by a matrix product."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(500)]
+    base, rows = rng.choices(vocabulary, k=60), []
+    for i in range(2000):
+        w = base[:]
+        for _ in range(rng.choice([1, 1, 2, 2, 3, 7])):
+            w[rng.randrange(60)] = rng.choice(vocabulary[: rng.choice([3, 500])])
+        rows.append((i, " ".join(w)))
+    places: dict = {}
+    sets = [{places.setdefault(tuple(w[k : k + size]), len(places)) for k in range(61 - size)} for w in (t.split() for _, t in rows)]
+    m = np.zeros((len(rows), len(places)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, list(s)] = 1
+    n, both = m.sum(1), m @ m.T
+    links = 100 * both >= num * (n[:, None] + n[None, :] - both)
+    root = np.arange(len(rows))
+    while True:
+        least = np.where(links, root[None, :], len(rows)).min(1)
+        if (least == root).all():
+            break
+        root = least
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), size, num).collect()}
+    assert got == dict(enumerate(root.tolist())) and len(set(root.tolist())) > 100
+
+
 def test_jaccard_odd(odd, none):
     got = jaccard_join.jaccard_components(odd).collect()
     assert len(got) == odd.count() and all(r["component_id"] is None for r in got if r["doc_id"] is None)
