@@ -1,30 +1,35 @@
 """Benchmark decontamination by SimHash of item-sized windows, in DataFrame functions only.
 
 Words are runs of letters and digits, lower-cased. A text's shingles are its runs of five words, an item of fewer words
-is one shingle of its own length. Windows of a document are as long as an item and lie on a diagonal on which document
-and item share a shingle: a window without a shared shingle has similarity 0, so none that could pass is left out.
-Each distinct window gets a 64-bit SimHash, in which every occurrence of a shingle counts. RADIUS + 1 blocks of bits
-index the items' fingerprints: two fingerprints within RADIUS agree in one block at least, so the equi-joins on the
-blocks find all of them. At similarity 0.8 the expected distance is about 10 of 64 bits with a deviation of 3, so that RADIUS
-lies more than three deviations above. Candidates are then compared exactly by weighted Jaccard (the weight of a shingle is
-its number of occurrences: sum of the lesser counts over sum of the greater).
+is one shingle of its own length. Every window of a document that is as long as an item is looked at, whatever its start: a running
+count tells how many of its shingles occur in the benchmark at all. Similarity s asks for s (m + window) / (1 + s) common
+shingles, so that windows with fewer such shingles cannot pass with any item; all others get a 64-bit SimHash of all their
+shingles, in which every occurrence counts. BLOCKS blocks of bits index the items' fingerprints: two fingerprints within
+RADIUS differ by at most RADIUS div BLOCKS bits in one block at least, and each item is listed under every value that near, so that
+equi-joins on the blocks find all of them. At similarity 0.8 the expected distance is about 10 of 64 bits with a deviation of 3,
+so that RADIUS lies more than three deviations above. Candidates are then compared exactly by weighted Jaccard (the weight of a
+shingle is its number of occurrences: sum of the lesser counts over sum of the greater).
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from samplewell.llm.shared import cut
 
-#: Words in a shingle, least similarity, Hamming radius.
-WORDS, SIMILARITY, RADIUS = 5, 0.8, 19
-#: Items are taken in parts of about so many shingles (some 50 MB as a hash table); each part is broadcast.
-PART_SHINGLES = 500_000
+#: Words in a shingle, least similarity, Hamming radius, blocks of the fingerprint.
+WORDS, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 19, 5
+#: Tables of at most so many rows are broadcast (shingles of items: 16 bytes each; index rows: some 60); longer ones are joined by a shuffle.
+BROADCAST_SHINGLES, BROADCAST_INDEX, BROADCAST_ROWS = 2_000_000, 500_000, 500_000
+#: Tasks among which the rows of one shingle are spread in that shuffle.
+SALTS = 16
 
-#: First bit and width of each block: 64 bits over RADIUS + 1 blocks, the wider ones first.
-_WIDE, _EXTRA = divmod(64, RADIUS + 1)
-BLOCKS = [(k * _WIDE + min(k, _EXTRA), _WIDE + (k < _EXTRA)) for k in range(RADIUS + 1)]
+_WIDE, _EXTRA = divmod(64, BLOCKS)
+#: First bit and width of each block, the wider ones first.
+PLACES = [(k * _WIDE + min(k, _EXTRA), _WIDE + (k < _EXTRA)) for k in range(BLOCKS)]
 
 
 def _word_hashes(text: Column) -> Column:
@@ -45,13 +50,24 @@ def _simhash(window: str) -> Column:
     )
 
 
-def _blocks(fingerprint: str) -> Column:
-    return F.array(*[F.struct(F.lit(k).alias("block"), F.expr(f"shiftrightunsigned({fingerprint}, {at}) & {(1 << width) - 1}L").alias("value")) for k, (at, width) in enumerate(BLOCKS)])
+def _block(fingerprint: str, at: int, width: int) -> str:
+    return f"(shiftrightunsigned({fingerprint}, {at}) & {(1 << width) - 1}L)"
+
+
+def _values(near: int) -> Column:
+    """(block, value) of a fingerprint's blocks; near: all values that differ from the block by at most so many bits."""
+
+    def values(k: int, at: int, width: int) -> Column:
+        masks = [sum(1 << b for b in bits) for r in range(near + 1) for bits in combinations(range(width), r)]
+        value = F.expr(_block("fingerprint", at, width))
+        return F.transform(F.array(*map(F.lit, masks)).cast("array<bigint>"), lambda m: F.struct(F.lit(k).alias("block"), value.bitwiseXOR(m).alias("value")))
+
+    return F.concat(*[values(k, *place) for k, place in enumerate(PLACES)])
 
 
 def _first_block(x: str) -> Column:
-    """The first block in which two fingerprints agree; x: their exclusive or."""
-    return F.coalesce(*[F.when(F.expr(f"(shiftrightunsigned({x}, {at}) & {(1 << width) - 1}L) = 0"), F.lit(k)) for k, (at, width) in enumerate(BLOCKS)])
+    """The first block in which two fingerprints are near enough; x: their exclusive or."""
+    return F.coalesce(*[F.when(F.bit_count(F.expr(_block(x, at, width))) <= RADIUS // BLOCKS, F.lit(k)) for k, (at, width) in enumerate(PLACES)])
 
 
 def _shared(item: str, window: str) -> Column:
@@ -77,32 +93,60 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
     table on either side gives no rows. Other columns of the inputs are left out.
     """
     items = items_of(benchmark, words=words)
-    total, sizes = items.agg(F.sum("m"), F.collect_set("size")).first()  # at most `words` sizes
-    parts = max(1, -(-(total or 0) // PART_SHINGLES))
-    docs = df.select(F.col(id_col).cast("bigint").alias("id"), _word_hashes(F.col(text_col)).alias("w"))
-    found = None
-    for part in range(parts):
-        own = items.where(F.pmod(F.xxhash64("item_id", "shingles"), F.lit(parts)) == part) if parts > 1 else items
-        for size in sorted(sizes):
-            now = _matches(docs, own.where(F.col("size") == size), size, similarity)
-            found = now if found is None else found.union(now)
-    if found is None:
+    docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most `words`
+    if sizes:
+        windows = _windows(docs, _dense_starts(docs, items, sizes, similarity), sizes)
+        found = _matches(windows, items, similarity)
+    else:
         found = df.sparkSession.createDataFrame([], "id bigint, item_id bigint, similarity double, start int")
     best = F.max_by(F.struct("similarity", "start"), F.struct(F.col("similarity"), -F.col("start")))
     return found.groupBy("id", "item_id").agg(best.alias("b")).select(F.col("id").alias(id_col), "item_id", F.round("b.similarity", 6).alias("similarity"), F.col("b.start").cast("bigint").alias("start_word"))
 
 
-def _matches(docs: DataFrame, items: DataFrame, size: int, similarity: float) -> DataFrame:
-    anchors = items.select("m", F.posexplode("shingles").alias("q", "h")).distinct()
-    rows = docs.select("id", _shingles("w", size).alias("s"))  # no filter here: pushed down, it would compute the words anew for each shingle
-    at = rows.select("id", "s", F.posexplode_outer("s").alias("p", "h"))  # the inner form brings such a filter with it
-    n = F.size("s")
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), n - F.col("m")))
-    windows = at.join(F.broadcast(anchors), "h").select("id", "m", start.alias("start"), F.slice("s", start + 1, F.col("m")).alias("window")).distinct()
-    windows = windows.withColumn("fp", F.coalesce(_simhash("window"), F.lit(0).cast("bigint")))  # never null: no test for null is pushed down and computed for every shared shingle
-    index = items.select("item_id", "m", "shingles", "fingerprint", F.explode(_blocks("fingerprint")).alias("b")).select("item_id", "m", "shingles", "fingerprint", "b.block", "b.value")
-    pairs = windows.withColumn("b", F.explode(_blocks("fp"))).select("id", "m", "start", "window", "fp", "b.block", "b.value").join(F.broadcast(index), ["m", "block", "value"])
-    pairs = pairs.withColumn("x", F.expr("fp ^ fingerprint")).where((F.bit_count("x") <= RADIUS) & (_first_block("x") == F.col("block")))
-    both = pairs.withColumn("both", _shared("shingles", "window"))
+def _dense_starts(docs: DataFrame, items: DataFrame, sizes: list[int], similarity: float) -> DataFrame:
+    """(id, t, windows): the (size, m, start) of all windows of each text that hold enough shingles of the benchmark; t: a hash of the text."""
+    known = cut(items.select(F.explode("shingles").alias("h"), "size").distinct())
+    hashed = docs.select("id", "t", _word_hashes(F.col("text")).alias("w"))
+    # The outer form and no filter before it: pushed down, one would compute the words anew for each shingle.
+    at = hashed.select("id", "t", F.size("w").alias("words"), F.explode_outer(F.flatten(F.array(*[F.transform(_shingles("w", k), lambda h, i: F.struct(i.alias("p"), h.alias("h"))) for k in sizes]))).alias("s"))
+    at = at.select("id", "t", "words", "s.p", "s.h")
+    if known.count() <= BROADCAST_SHINGLES:
+        hits = at.join(F.broadcast(known), "h")
+    else:
+        hits = at.withColumn("salt", F.pmod(F.xxhash64("id", "p"), F.lit(SALTS)).cast("int")).join(known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["h", "salt"])
+    lengths = items.groupBy("size").agg(F.collect_set("m").alias("ms"))  # as many numbers as the benchmark has lengths
+    by = hits.groupBy("id", "t", "size").agg(F.first("words").alias("words"), F.array_sort(F.collect_set("p")).alias("at"))  # at most a text's words
+    by = by.join(F.broadcast(lengths), "size").select("id", "t", "size", "at", (F.col("words") - F.col("size") + 1).alias("n"), F.explode("ms").alias("m"))
+    need = F.ceil(F.lit(similarity) * (F.col("m") + F.least("m", "n")) / (1 + similarity) - 1e-9).cast("int")
+    by = by.withColumn("need", F.greatest(F.lit(1), need)).where("size(at) >= need")
+    # Hit i and the need - 1 after it lie in the windows that start from at[i + need - 1] - m + 1 to at[i].
+    runs = F.expr("""filter(transform(slice(at, 1, size(at) - need + 1), (a, i) -> struct(greatest(0, at[i + need - 1] - m + 1) AS low, least(a, greatest(0, n - m)) AS high)), x -> x.low <= x.high)""")
+    starts = F.array_distinct(F.flatten(F.transform(runs, lambda r: F.sequence(r["low"], r["high"]))))
+    rows = by.select("id", "t", F.transform(starts, lambda s: F.struct("size", "m", s.alias("start"))).alias("w")).where("size(w) > 0")
+    return cut(rows.groupBy("id", "t").agg(F.flatten(F.collect_list("w")).alias("windows")))
+
+
+def _windows(docs: DataFrame, dense: DataFrame, sizes: list[int]) -> DataFrame:
+    """(id, m, size, start, window, fingerprint) of the dense windows."""
+    same = docs["id"].eqNullSafe(dense["id"]) & (docs["t"] == dense["t"])
+    rows = docs.join(F.broadcast(dense) if dense.count() <= BROADCAST_ROWS else dense, same).select(docs["id"], "text", "windows")
+    rows = cut(rows.select("id", _word_hashes(F.col("text")).alias("w"), "windows"))
+    rows = rows.select("id", F.array(*[_shingles("w", k) for k in sizes]).alias("s"), F.explode("windows").alias("x"))
+    size = F.coalesce(*[F.when(F.col("x.size") == k, F.lit(j)) for j, k in enumerate(sizes)])
+    rows = rows.select("id", "x.size", "x.m", "x.start", F.slice(F.get("s", size), F.col("x.start") + 1, F.col("x.m")).alias("window")).distinct()
+    rows = cut(rows)
+    return cut(rows.withColumn("fingerprint", _simhash("window")))
+
+
+def _matches(windows: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
+    index = items.select("item_id", "size", "m", F.col("fingerprint").alias("own"), F.explode(_values(RADIUS // BLOCKS)).alias("b")).select("item_id", "size", "m", "own", "b.block", "b.value")
+    index = cut(index)
+    index = F.broadcast(index) if index.count() <= BROADCAST_INDEX else index
+    keyed = windows.withColumn("b", F.explode(_values(0))).select("id", "size", "m", "start", "window", "fingerprint", "b.block", "b.value")
+    pairs = keyed.join(index, ["size", "m", "block", "value"]).withColumn("x", F.expr("fingerprint ^ own")).where((F.bit_count("x") <= RADIUS) & (_first_block("x") == F.col("block")))
+    texts = items.select("item_id", "size", "shingles", F.col("fingerprint").alias("own"), F.col("m"))
+    same = pairs["item_id"].eqNullSafe(texts["item_id"]) & (pairs["own"] == texts["own"]) & (pairs["size"] == texts["size"]) & (pairs["m"] == texts["m"])
+    both = pairs.join(texts, same).select("id", pairs["item_id"], "start", "window", "shingles").withColumn("both", _shared("shingles", "window"))
     sim = F.col("both") / (F.size("shingles") + F.size("window") - F.col("both"))
     return both.select("id", "item_id", sim.alias("similarity"), "start").where(F.col("similarity") >= similarity)

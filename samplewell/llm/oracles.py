@@ -36,13 +36,15 @@ FROM (SELECT DISTINCT doc_id FROM documents) i LEFT JOIN agg USING (doc_id)"""
 
 OP5 = r"""WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w FROM documents), iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w FROM benchmark),
 it AS (SELECT item_id, w, least(5, len(w)) size, len(w) - least(5, len(w)) + 1 m FROM iw WHERE len(w) > 0),
-ish AS (SELECT item_id, size, m, CAST(q - 1 AS BIGINT) q, array_to_string(w[q:q + size - 1], ' ') sh FROM (SELECT *, unnest(range(1, m + 1)) q FROM it)),
+ish AS (SELECT item_id, size, m, array_to_string(w[q:q + size - 1], ' ') sh FROM (SELECT *, unnest(range(1, m + 1)) q FROM it)),
 dsh AS (SELECT doc_id, size, n, CAST(p - 1 AS BIGINT) p, array_to_string(w[p:p + size - 1], ' ') sh FROM (SELECT doc_id, w, size, len(w) - size + 1 n, unnest(range(1, len(w) - size + 2)) p FROM dw, (SELECT DISTINCT size FROM it) WHERE len(w) >= size)),
-win AS (SELECT DISTINCT doc_id, item_id, size, m, n, greatest(0, least(p - q, n - m)) s FROM dsh JOIN ish USING (size, sh)),
-wc AS (SELECT win.doc_id, item_id, s, sh, count(*) c FROM win JOIN dsh ON dsh.doc_id = win.doc_id AND dsh.size = win.size AND p >= s AND p < s + m GROUP BY ALL),
-ic AS (SELECT item_id, sh, count(*) c FROM ish GROUP BY ALL),
-b AS (SELECT wc.doc_id, wc.item_id, wc.s, sum(least(wc.c, ic.c)) b FROM wc JOIN ic USING (item_id, sh) GROUP BY ALL),
-sim AS (SELECT doc_id, item_id, s, b / (m + least(m, n) - b) similarity FROM b JOIN win USING (doc_id, item_id, s))
+ic AS (SELECT item_id, size, m, sh, count(*) c FROM ish GROUP BY ALL), dc AS (SELECT doc_id, size, n, sh, count(*) c FROM dsh GROUP BY ALL),
+pairs AS (SELECT doc_id, item_id, size, m, n FROM dc JOIN ic USING (size, sh) GROUP BY ALL HAVING sum(least(dc.c, ic.c)) * 1.8 >= 0.8 * (m + least(m, n)) - 1e-9),
+win AS (SELECT *, unnest(range(0, greatest(0, n - m) + 1)) s FROM pairs),
+hits AS (SELECT pairs.doc_id, pairs.item_id, p, sh, c FROM pairs JOIN dsh USING (doc_id, size) JOIN ic USING (item_id, size, sh)),
+wc AS (SELECT win.doc_id, win.item_id, m, n, s, sh, c, count(*) k FROM win JOIN hits ON hits.doc_id = win.doc_id AND hits.item_id = win.item_id AND p >= s AND p < s + m GROUP BY ALL),
+b AS (SELECT doc_id, item_id, m, n, s, sum(least(k, c)) b FROM wc GROUP BY ALL),
+sim AS (SELECT doc_id, item_id, s, b / (m + least(m, n) - b) similarity FROM b)
 SELECT doc_id, item_id, round(CAST(max(similarity) AS DOUBLE), 6) similarity, CAST(arg_max(s, (similarity, -s)) AS BIGINT) start_word FROM sim WHERE similarity >= 0.8 GROUP BY doc_id, item_id"""
 
 OP10 = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\x20\x09-\x0D]+') w FROM documents),
