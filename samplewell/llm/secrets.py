@@ -29,6 +29,26 @@ KINDS = (*[k[0] for k in BASE], GENERIC[0])
 LIVE_OWNERS, LIVE_REPOSITORIES = 2, 8
 #: Values with more rows than this are joined through so many salts.
 HOT_ROWS, SALTS = 10_000, 64
+#: Items of a chunk of a running sum; code points of a piece of a text that is masked.
+CHUNK, PIECE = 128, 4096
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _before(values: Column, start: Column, add) -> Column:
+    """For each of an array's numbers, what `add` makes of start and those before it; in chunks of CHUNK, so that no fold is long."""
+    fold = lambda array: F.aggregate(array, start, add)
+
+    def within(v: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / CHUNK).cast("int")), lambda c: fold(F.slice(v, c * CHUNK + 1, F.lit(CHUNK))))
+        heads = lambda sums: F.transform(sums, lambda _, c: fold(F.slice(sums, F.lit(1), c)))
+        each = lambda h: F.transform(v, lambda _, i: add(F.get(h, F.floor(i / CHUNK).cast("int")), fold(F.slice(v, (F.floor(i / CHUNK) * CHUNK + 1).cast("int"), i % CHUNK))))
+        return _let(chunks, lambda sums: _let(heads(sums), each))
+
+    return F.when(F.size(values) > 0, _let(values, within)).otherwise(F.array().cast("array<bigint>"))
 
 
 def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
@@ -39,19 +59,35 @@ def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Col
     whole, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     struct = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
-    pieces = F.arrays_zip(whole.alias("m"), F.slice(gaps, 1, F.size(whole)).alias("g"), value.alias("v"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(struct).alias("out"))
 
-    def add(state, x):
-        begin = state["at"] + F.char_length(x["g"])
-        end = begin + F.char_length(x["m"])
-        span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), x["v"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
+    def placed(pieces: Column) -> Column:
+        sizes = F.transform(pieces, lambda x: (F.char_length(x["g"]) + F.char_length(x["m"])).cast("bigint"))
+        at = _before(sizes, F.lit(0).cast("bigint"), lambda a, b: a + b)
+        return F.transform(F.arrays_zip(pieces.alias("p"), at.alias("at")), lambda x: span(x["p"], x["at"] + F.char_length(x["p"]["g"])))
+
+    def span(piece: Column, start: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.char_length(piece["m"])).alias("end"), piece["v"].alias("value"))
 
-    kept = F.filter(F.aggregate(pieces, start, add)["out"], lambda s: F.char_length(s["value"]) >= least)
+    pieces = _let(whole, lambda m: F.arrays_zip(m.alias("m"), F.slice(gaps, F.lit(1), F.size(m)).alias("g"), (value if group else m).alias("v")))
+    kept = F.filter(_let(pieces, placed), lambda s: F.char_length(s["value"]) >= least)
     return F.when(F.regexp_count(text, F.lit(pattern)) > 0, kept).otherwise(F.array().cast(struct))
 
 
+def _outside(more: Column, base: Column) -> Column:
+    """The spans of `more` that overlap none of `base`. All are sorted by start: a span is free if no base span before it ends after its start, and the next one starts no earlier than its end."""
+    mark = lambda own: lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(own).alias("own"))
+    far = F.lit(2**62).cast("bigint")
+
+    def free(events: Column) -> Column:
+        ends = F.transform(events, lambda e: F.when(e["own"], F.lit(0).cast("bigint")).otherwise(e["end"]))
+        starts = F.transform(F.reverse(events), lambda e: F.when(e["own"], far).otherwise(e["start"]))
+        before, after = _before(ends, F.lit(0).cast("bigint"), lambda a, b: F.greatest(a, b)), F.reverse(_before(starts, far, lambda a, b: F.least(a, b)))
+        kept = F.filter(F.arrays_zip(events.alias("e"), before.alias("b"), after.alias("a")), lambda x: x["e"]["own"] & (x["b"] <= x["e"]["start"]) & (x["a"] >= x["e"]["end"]))
+        return F.transform(kept, lambda x: F.struct(F.lit(GENERIC[0]).alias("kind"), x["e"]["start"].alias("start"), x["e"]["end"].alias("end"), x["e"]["value"].alias("value")))
+
+    return F.when((F.size(more) > 0) & (F.size(base) > 0), _let(F.array_sort(F.concat(F.transform(more, mark(True)), F.transform(base, mark(False)))), free)).otherwise(more)
+
+
 def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None) -> DataFrame:
     """One row per candidate span of the whole texts: id, owner, repo, kind, start, end, value_hash (SHA-256; no secret is passed on).
 
@@ -65,7 +101,7 @@ def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ow
     )
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), F.col(repo_col or id_col).cast("string").alias("repo"))
     found = docs.where("text is not null").select("id", "owner", F.coalesce("repo", F.lit("")).alias("repo"), F.concat(*base).alias("base"), generic.alias("more"))
-    outside = F.filter("more", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    outside = _outside(F.col("more"), F.col("base"))
     # The outer form: the inner one would add a filter that is pushed down and runs all patterns a second time.
     spans = found.select("id", "owner", "repo", F.explode_outer(F.concat("base", outside)).alias("s")).where("s is not null")
     return spans.select("id", "owner", "repo", "s.kind", "s.start", "s.end", F.sha2("s.value", 256).alias("value_hash"))
@@ -128,24 +164,43 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_co
     )
 
 
-def mask(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None) -> DataFrame:
-    """The rows with each live span replaced by `*` for each code point, so that offsets stay.
+def mask(df: DataFrame, text_col: str = "text", owner_col: str = "source", repo_col: str | None = None) -> DataFrame:
+    """The rows, with all their columns, with each live span replaced by `*` for each code point, so that offsets stay.
 
-    Widely copied values stay. Live generic spans are masked as well. Rows without secrets, null texts and rows with null ids
-    are unchanged; rows that share an id are masked alike, each where its own text has the value's place.
+    Widely copied values stay. Live generic spans are masked as well. Each row is masked by its own text, whatever its ids: rows with
+    null or repeated ids like any other. Rows without secrets and null texts are unchanged; no rows give no rows.
     """
-    found = cut(candidates(df.where(F.col(id_col).isNotNull()), id_col, text_col, owner_col, repo_col))
-    spans = judged(found, repo_col is not None).where("live").groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    row = _unused(df, "row")
+    rows = cut(df.withColumn(row, F.monotonically_increasing_id()))
+    found = cut(candidates(rows, row, text_col, owner_col, repo_col))
+    spans = judged(found, repo_col is not None).where("live").groupBy(F.col("id").alias(row)).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(_unused(df, "spans")))
     spans = cut(spans)
-    joined = df.join(F.broadcast(spans) if _few(spans) else spans, df[id_col] == spans["id"], "left")
-
-    def cover(state, s):
-        # Spans are sorted by start and may overlap: only what lies after the last masked place is added.
-        at = F.greatest(state["at"], s["start"])
-        end = F.greatest(at, s["end"])
-        text = F.col(text_col)
-        kept = F.substr(text, (state["at"] + 1).cast("int"), (at - state["at"]).cast("int"))
-        return F.struct(end.alias("at"), F.concat(state["out"], kept, F.repeat(F.lit("*"), (end - at).cast("int"))).alias("out"))
-
-    done = F.aggregate("spans", F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")), cover, lambda s: F.concat(s["out"], F.substr(F.col(text_col), (s["at"] + 1).cast("int"), F.char_length(text_col))))
-    return joined.withColumn(text_col, F.when(F.col("spans").isNotNull() & F.col(text_col).isNotNull(), done).otherwise(F.col(text_col))).drop("id", "spans")
+    joined, at = rows.join(F.broadcast(spans) if _few(spans) else spans, row, "left"), F.col(spans.columns[1])
+
+    def piece(k: Column) -> Column:
+        """The k-th piece of the text with its part of the spans. They are sorted by start and may overlap: only what lies after the last masked place is added."""
+        text, first = F.substr(F.col(text_col), (k * PIECE + 1).cast("int"), F.lit(PIECE)), k * PIECE
+        here = F.filter(at, lambda s: (s["start"] < first + PIECE) & (s["end"] > first))
+
+        def cover(t: Column):
+            def add(state, s):
+                begin = F.greatest(state["at"], s["start"] - first)
+                end = F.greatest(begin, F.least(s["end"] - first, F.char_length(t).cast("bigint")))
+                kept = F.substr(t, (state["at"] + 1).cast("int"), (begin - state["at"]).cast("int"))
+                return F.struct(end.alias("at"), F.concat(state["out"], kept, F.repeat(F.lit("*"), (end - begin).cast("int"))).alias("out"))
+
+            rest = lambda s: F.concat(s["out"], F.substr(t, (s["at"] + 1).cast("int"), F.char_length(t)))
+            return F.aggregate(here, F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")), add, rest)
+
+        return _let(text, cover)
+
+    pieces = F.transform(F.sequence(F.lit(0).cast("bigint"), F.floor((F.char_length(text_col) - 1) / PIECE)), piece)
+    masked = F.when(at.isNotNull() & (F.char_length(text_col) > 0), F.array_join(pieces, "")).otherwise(F.col(text_col))
+    return joined.withColumn(text_col, masked).select(*df.columns)
+
+
+def _unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
