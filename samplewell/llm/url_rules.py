@@ -2,7 +2,9 @@
 
 Fixed rules judge the URLs that they fit. The URLs so judged are the labels: FP-growth mines combinations of URL tokens
 with each verdict, rules of little support or confidence and rules that a shorter one already implies are pruned, and the
-rest judge all other URLs. A rule is found through an inverted index from its tokens; it fires where all its tokens are.
+rest judge all other URLs. Tokens of little support are in no rule and are left out before mining; tokens that stand in just the
+same labelled URLs are one item, since any of them gives the same rules: otherwise each set of them would be mined. A rule is found
+through an inverted index from the rarest of its items; it fires where the URL has a token of each.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from samplewell.llm.shared import cut
+from samplewell.llm.shared import cut, spread_join
 
 #: The verdict, host and path of each rule.
 RULES = (
@@ -23,10 +25,10 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: Least share of labelled URLs that have a rule's tokens and verdict, least confidence, most tokens of a rule.
-SUPPORT, CONFIDENCE, TOKENS = 0.01, 0.8, 3
-#: Rules kept at most, by confidence, support and tokens (their index is broadcast: some 3,000 short rows).
-KEPT_RULES = 1000
+#: Least share of labelled URLs that have a rule's tokens and verdict, least confidence.
+SUPPORT, CONFIDENCE = 0.01, 0.8
+#: Up to so many rules (some 10 MB) are broadcast; more are joined by a shuffle.
+BROADCAST_RULES = 50_000
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -63,25 +65,48 @@ def tokens() -> Column:
     )))
 
 
-def mine(labelled: DataFrame) -> DataFrame:
-    """labelled (tokens, verdict) -> rules (rule_id, antecedent, verdict, confidence, support) mined from all rows, pruned. No labels give no rules."""
+def _items(labelled: DataFrame, total: int) -> DataFrame:
+    """(token, item, n): the tokens of enough labelled rows, the first by name of those that stand in the same rows, and their rows. By SUPPORT, at most 1 / SUPPORT times the mean number of tokens."""
+    sets = labelled.groupBy("tokens", "verdict").agg(F.count("*").alias("n"))
+    sets = sets.select("n", F.xxhash64("tokens", "verdict").cast("decimal(38,0)").alias("a"), F.xxhash64(F.lit(1), "tokens", "verdict").cast("decimal(38,0)").alias("b"), F.explode("tokens").alias("token"))
+    known = sets.groupBy("token").agg(F.sum("n").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("n") >= SUPPORT * total)
+    first = known.groupBy("n", "a", "b").agg(F.min("token").alias("item"), F.collect_list("token").alias("tokens"))
+    return cut(first.select(F.explode("tokens").alias("token"), "item", "n"))
+
+
+def _with_items(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """rows with column items: the distinct items of their tokens."""
+    named = items.agg(F.map_from_entries(F.collect_list(F.struct("token", "item"))).alias("names"))  # one row of bounded size
+    return rows.join(F.broadcast(named)).withColumn("items", F.array_distinct(F.filter(F.transform("tokens", lambda t: F.try_element_at("names", t)), lambda x: x.isNotNull()))).drop("names")
+
+
+def _rules(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rule_id, antecedent, verdict, confidence, support) over items, mined from all labelled rows and pruned; and the items."""
     spark = labelled.sparkSession
-    if labelled.isEmpty():
-        return spark.createDataFrame([], "rule_id bigint, antecedent array<string>, verdict string, confidence double, support double")
-    items = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("v:"), "verdict"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=SUPPORT, minConfidence=CONFIDENCE).fit(items)
-    found = model.associationRules.where(F.col("consequent")[0].startswith("v:") & (F.size("antecedent") <= TOKENS) & ~F.exists("antecedent", lambda x: x.startswith("v:")))
-    found = cut(found.select(F.array_sort("antecedent").alias("antecedent"), F.expr("substring(consequent[0], 3)").alias("verdict"), "confidence", "support"))
-    # A rule goes if a shorter one with the same verdict, made of some of its tokens, is as sure.
-    ranked = found.orderBy(F.desc("confidence"), F.desc("support"), F.array_join("antecedent", " "), "verdict").limit(4 * KEPT_RULES)
-    ranked = cut(ranked.withColumn("key", F.array_join("antecedent", " ")))
-    short = ranked.select(F.col("antecedent").alias("a"), F.col("verdict").alias("v"), F.col("confidence").alias("c"))
-    by_token = ranked.withColumn("token", F.explode("antecedent"))
+    total = labelled.count()
+    items = _items(labelled, total)
+    rows = _with_items(labelled, items).select(F.concat("items", F.array(F.concat(F.lit("v:"), "verdict"))).alias("items"))
+    if not total:
+        return spark.createDataFrame([], "rule_id bigint, antecedent array<string>, verdict string, confidence double, support double"), items
+    model = FPGrowth(itemsCol="items", minSupport=SUPPORT, minConfidence=CONFIDENCE).fit(rows)
+    found = model.associationRules.where(F.col("consequent")[0].startswith("v:") & ~F.exists("antecedent", lambda x: x.startswith("v:")))
+    found = cut(found.select(F.array_sort("antecedent").alias("antecedent"), F.expr("substring(consequent[0], 3)").alias("verdict"), "confidence", "support").withColumn("rule_id", F.xxhash64("antecedent", "verdict")))
+    # A rule goes if a shorter one with the same verdict, made of some of its items, is as sure.
+    short = found.select(F.col("antecedent").alias("a"), F.col("verdict").alias("v"), F.col("confidence").alias("c"))
+    by_item = found.withColumn("item", F.explode("antecedent"))
     within = (F.col("v") == F.col("verdict")) & (F.size("a") < F.size("antecedent")) & (F.size(F.array_except("a", "antecedent")) == 0) & (F.col("c") >= F.col("confidence"))
-    implied = by_token.join(short, (F.col("token") == F.col("a")[0]) & within).select("key", "verdict").distinct()
-    longer = ranked.join(implied, ["key", "verdict"], "left_anti")
-    kept = longer.orderBy(F.desc("confidence"), F.desc("support"), "key", "verdict").limit(KEPT_RULES)
-    return cut(kept.select(F.xxhash64("key", "verdict").alias("rule_id"), "antecedent", "verdict", "confidence", "support"))
+    implied = by_item.join(short, (F.col("item") == F.col("a")[0]) & within).select("rule_id").distinct()
+    return cut(found.join(implied, "rule_id", "left_anti").select("rule_id", "antecedent", "verdict", "confidence", "support")), items
+
+
+def mine(labelled: DataFrame) -> DataFrame:
+    """labelled (tokens, verdict) -> rules (rule_id, antecedent, verdict, confidence, support) mined from all rows, pruned; a rule for each choice of a token of each of its items. No labels give no rules."""
+    rules, items = _rules(labelled)
+    alike = items.groupBy("item").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    listed = rules.select("rule_id", F.explode("antecedent").alias("item")).join(alike, "item").groupBy("rule_id").agg(F.collect_list("tokens").alias("tokens"))
+    chosen = F.expr("aggregate(tokens, array(CAST(array() AS array<string>)), (done, t) -> flatten(transform(done, p -> transform(t, x -> concat(p, array(x))))))")
+    out = rules.drop("antecedent").join(listed, "rule_id").withColumn("antecedent", F.explode(chosen)).withColumn("antecedent", F.array_sort("antecedent"))
+    return out.select(F.xxhash64("antecedent", "verdict").alias("rule_id"), "antecedent", "verdict", "confidence", "support")
 
 
 def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, default: str = "allow") -> DataFrame:
@@ -89,7 +114,7 @@ def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RU
 
     A null url, and one without `://`, has an empty host and path, no rule, and the default verdict, as has any URL that no
     mined rule fits. Repeated rows and null ids stay; other columns are left out; no rows give no rows. Ties between mined
-    rules go to the higher confidence, then support, then the first tokens by name.
+    rules go to the higher confidence, then support, then the first items by name.
     """
     url = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(url_col).alias("url"))
     host, path = parts(F.col("url"))
@@ -97,13 +122,22 @@ def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RU
     name, verdict = fixed_rule(rules)
     rows = rows.withColumn("rule", name).withColumn("fixed", verdict)
     tagged = rows.select("url", "host", "path", "fixed").withColumn("tokens", tokens())
-    mined = mine(cut(tagged.where("fixed is not null").select("tokens", F.col("fixed").alias("verdict"))))
-    index = mined.select("rule_id", F.size("antecedent").alias("needs"), F.array_join("antecedent", " ").alias("key"), "verdict", "confidence", "support", F.explode("antecedent").alias("token"))
-    open_urls = tagged.where("fixed is null and url is not null").select("url", "tokens").distinct()
-    hits = open_urls.select("url", F.explode("tokens").alias("token")).join(F.broadcast(index), "token")
-    fired = hits.groupBy("url", "rule_id").agg(F.count("*").alias("k"), *[F.first(c).alias(c) for c in ("needs", "key", "verdict", "confidence", "support")]).where("k = needs")
-    best = cut(fired.groupBy("url").agg(F.min(F.struct((-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), F.col("key"), F.col("verdict"))).alias("b")).select("url", F.col("b.key").alias("mined"), F.col("b.verdict").alias("found")))
-    return rows.join(best, "url", "left").select(
-        F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("fixed", "found", F.lit(default)).alias("verdict"),
-        F.when(F.col("fixed").isNull(), F.col("mined")).alias("mined"),
-    )
+    rules, items = _rules(cut(tagged.where("fixed is not null").select("tokens", F.col("fixed").alias("verdict"))))
+    # The inverted index: from a rule's rarest item to the rule.
+    ranked = rules.withColumn("item", F.explode("antecedent")).join(items.where("token = item").select("item", "n"), "item")
+    index = ranked.groupBy("rule_id").agg(F.min(F.struct("n", "item")).alias("r"), *[F.first(c).alias(c) for c in ("antecedent", "verdict", "confidence", "support")])
+    index = cut(index.select(F.col("r.item").alias("item"), "antecedent", "verdict", "confidence", "support"))
+    open_urls = tagged.where("fixed is null and url is not null").groupBy("url").agg(F.first("tokens").alias("tokens"), F.count("*").alias("copies"))
+    asked = _with_items(open_urls, items).withColumn("item", F.explode("items"))
+    fired = asked.join(F.broadcast(index) if index.count() <= BROADCAST_RULES else index, "item").where(F.size(F.array_except("antecedent", "items")) == 0)
+    # Of the tokens that are one item, the URL's first by name says which rule it was.
+    named = items.groupBy("item").agg(F.sort_array(F.collect_list("token")).alias("alike"))
+    names = named.agg(F.map_from_entries(F.collect_list(F.struct("item", "alike"))).alias("names"))
+    best = fired.groupBy("url").agg(F.first("copies").alias("copies"), F.first("tokens").alias("tokens"), F.min(F.struct((-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), "antecedent", "verdict")).alias("b"))
+    own = F.transform("b.antecedent", lambda i: F.get(F.array_intersect(F.try_element_at("names", i), "tokens"), 0))
+    best = cut(best.join(F.broadcast(names)).select("url", "copies", F.array_join(F.array_sort(own), " ").alias("mined"), F.col("b.verdict").alias("found")))
+    asking = F.col("fixed").isNull() & F.col("url").isNotNull()
+    columns = ["id", "host", "path", "rule", "fixed"]
+    judged = spread_join(rows.where(asking).select(*columns, "url"), best, ["url"], "copies", "left").select(*columns, "mined", "found")
+    judged = judged.union(rows.where(~asking).select(*columns, F.lit(None).cast("string"), F.lit(None).cast("string")))
+    return judged.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("fixed", "found", F.lit(default)).alias("verdict"), "mined")
