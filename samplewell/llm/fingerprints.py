@@ -114,32 +114,34 @@ def edited(text: str, following: str) -> str:
 def edit_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edited text, and their likeness to each other and to the next row's.
 
-    Rows are in descending order of id (nulls last, equal ids by text); the next row of the last is the first. Consecutive
-    ids are dealt to buckets by range, each bucket also gets the first row of the bucket that follows, and each task goes
-    through its sorted buckets row by row: nothing is gathered. Null texts are empty. No rows give no rows; a single row
+    Rows are in descending order of id (nulls last, equal ids by a hash of the text, then the text); the next row of the last
+    is the first. Any BIGINT is an id like others. Consecutive ids are dealt to buckets by range, an id that many rows share by the
+    hash; each bucket also gets the first row of the bucket that follows, and each task goes through its sorted buckets row by
+    row: nothing is gathered. Beyond MOST_BUCKETS buckets of BUCKET_ROWS rows the buckets grow, and nothing is lost. Null texts are empty. No rows give no rows; a single row
     is its own next row; other columns are left out.
     """
-    docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
     ids = docs.select("id")
     total, low, high = ids.agg(F.count("*"), F.min("id"), F.max("id")).first()
     pieces = max(1, min(MOST_BUCKETS, total // BUCKET_ROWS))
-    # Bucket numbers rise as ids fall; null ids come last.
-    if low is None:
-        bucket = F.lit(0).cast("bigint")
-    else:
-        ranges = min(pieces, RANGES)
-        cuts = ids.where("id is not null").stat.approxQuantile("id", [k / ranges for k in range(1, ranges)], 0.2 / ranges) if ranges > 1 else []
-        bounds = sorted({int(c) for c in cuts if low <= c < high})
-        bucket = _bucket(F.col("id"), [low - 1, *bounds, high], -(-pieces // ranges))
+    # Bucket numbers rise as ids fall, and as hashes rise where a range is one id; null ids come last.
+    ranges = min(pieces, RANGES)
+    parts = -(-pieces // ranges)
+    bounds = []
+    if low is not None:
+        cuts = [int(c) for c in ids.where("id is not null").stat.approxQuantile("id", [k / ranges for k in range(1, ranges)], 0.2 / ranges)] if ranges > 1 else []
+        alone = {c - 1 for c in cuts if cuts.count(c) > 1}  # an id that fills a range has one of its own
+        bounds = [low - 1, *sorted({c for c in {*cuts, *alone} if low <= c < high}), high]
+    bucket = _bucket(F.col("id"), F.col("hash"), bounds, parts)
     placed = docs.withColumn("bucket", bucket)
     firsts = placed.groupBy("bucket").agg(F.max("id").alias("id")).select("bucket", "id").collect()  # one row a bucket: at most MOST_BUCKETS pairs of numbers
     order = sorted(firsts, key=lambda r: r["bucket"])
     # The first row of each bucket is also wanted at the end of the bucket before it (cyclically).
     before = [(order[k]["bucket"], order[k]["id"], order[k - 1]["bucket"]) for k in range(len(order))]
     heads = df.sparkSession.createDataFrame(before, "bucket bigint, head bigint, target bigint")
-    extra = placed.join(F.broadcast(heads), (placed["bucket"] == heads["bucket"]) & placed["id"].eqNullSafe(heads["head"])).groupBy("target").agg(F.min("text").alias("text"))
-    rows = placed.select("bucket", "id", "text", F.lit(0).alias("last")).union(extra.select("target", F.lit(None).cast("bigint"), "text", F.lit(1)))
-    rows = rows.repartition(F.col("bucket")).sortWithinPartitions(F.col("bucket"), F.col("last"), F.col("id").desc_nulls_last(), F.col("text"))
+    extra = placed.join(F.broadcast(heads), (placed["bucket"] == heads["bucket"]) & placed["id"].eqNullSafe(heads["head"])).groupBy("target").agg(F.min(F.struct("hash", "text")).alias("first")).select("target", "first.hash", "first.text")
+    rows = placed.select("bucket", "id", "hash", "text", F.lit(0).alias("last")).union(extra.select("target", F.lit(None).cast("bigint"), "hash", "text", F.lit(1)))
+    rows = rows.repartition(F.col("bucket")).sortWithinPartitions(F.col("bucket"), F.col("last"), F.col("id").desc_nulls_last(), F.col("hash"), F.col("text"))
 
     def run(state, buckets, ids, texts, last):
         sketcher, held = state["sketcher"], state["held"]
@@ -162,15 +164,18 @@ def edit_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def _bucket(col, bounds: list[int], parts: int):
-    """Ids fall into ranges between bounds (found by nested CASEs), and evenly into parts of a range; nulls come after all."""
-    ranges = len(bounds) - 1
+def _bucket(col, hashed, bounds: list[int], parts: int):
+    """Ids fall into ranges between bounds (found by nested CASEs), and evenly into parts of a range; a range of one id, and that of nulls, is parted by the hash. All in DOUBLE, where no difference of ids overflows."""
+    ranges = max(0, len(bounds) - 1)
+    part = lambda share: F.greatest(F.lit(0).cast("bigint"), F.least(F.lit(parts - 1).cast("bigint"), F.floor(share * parts)))
+    by_hash = part(hashed.cast("double") / F.lit(2.0**64) + 0.5)
 
     def search(a: int, b: int):
         if b - a == 1:
-            share = (F.lit(bounds[b]) - col).cast("double") / F.lit(float(bounds[b] - bounds[a]))
-            return F.lit((ranges - b) * parts) + F.least(F.lit(parts - 1).cast("bigint"), F.floor(share * parts))
+            width = bounds[b] - bounds[a]
+            return F.lit((ranges - b) * parts).cast("bigint") + (by_hash if width == 1 else part((F.lit(float(bounds[b])) - col.cast("double")) / F.lit(float(width))))
         m = (a + b) // 2
         return F.when(col <= F.lit(bounds[m]), search(a, m)).otherwise(search(m, b))
 
-    return F.when(col.isNull(), F.lit(ranges * parts).cast("bigint")).otherwise(search(0, ranges))
+    nulls = F.lit(ranges * parts).cast("bigint") + by_hash
+    return F.when(col.isNull(), nulls).otherwise(search(0, ranges)) if ranges else nulls
