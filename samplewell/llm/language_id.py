@@ -7,24 +7,21 @@ layer over the pooled responses gives the languages. A text's probabilities are
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samplewell.llm.shared import map_columns
+from samplewell.llm.shared import filter_rows, map_columns
 
 #: Bytes in a window, filter widths, filters of each width.
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 #: Training: a sample of at most about SAMPLE texts of each language, PIECES windows of each; steps, batch, learning rate.
 SAMPLE, PIECES, STEPS, BATCH, RATE = 400, 2, 260, 48, 0.02
-#: Languages beyond so many (by frequency) are not learned.
-MOST_LANGUAGES = 200
 #: Windows of a step of prediction.
 STEP = 64
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def windows(text: str) -> np.ndarray:
@@ -144,7 +141,7 @@ class Network:
 def train(df: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network:
     """A network from a bounded sample of the labelled rows for which `learn` is true."""
     known = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), learn.alias("learn")).where("learn and lang is not null and text is not null")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = known.groupBy("lang").count().collect()  # one row a language
     languages = sorted(r["lang"] for r in counts)
     net = Network(languages)
     if not languages:
@@ -163,7 +160,7 @@ def train(df: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text",
 def identify(df: DataFrame, net: Network, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, held_out, lang_pred, score, from the whole text alone.
 
-    `und` with score 0 for null, empty and letterless texts, and for all texts if nothing could be learned. Repeated rows and
+    Ties between languages go to the first by name. `und` with score 0 for null, empty and letterless texts, and for all texts if nothing could be learned. Repeated rows and
     null ids stay; other columns are left out.
     """
     model = df.sparkSession.sparkContext.broadcast(net)  # some 150 kB
@@ -173,3 +170,14 @@ def identify(df: DataFrame, net: Network, held_out, id_col: str = "doc_id", text
         return [ids, held, lang, score]
 
     return map_columns(df.select(F.col(id_col).cast("bigint"), F.col(text_col), held_out), run, f"{id_col} bigint, held_out boolean, lang_pred string, score double", lambda: model.value)
+
+
+def of_known_language(df: DataFrame, net: Network, least: float, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text has a letter and a learned language with a score of `least` or more. Each row is judged by its text alone."""
+    model = df.sparkSession.sparkContext.broadcast(net)
+
+    def fits(state, texts):
+        lang, score = state.texts(texts)
+        return [x != "und" and s >= least for x, s in zip(lang, score)]
+
+    return filter_rows(df, fits, text_col, lambda: model.value)

@@ -122,3 +122,21 @@ def map_columns(df: DataFrame, fn, schema: str, start=None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(v, type=k) for v, k in zip(out, kinds)], names=names)
 
     return df.mapInArrow(run, spark_schema)
+
+
+def filter_rows(df: DataFrame, fn, column: str, start=None) -> DataFrame:
+    """The rows for which fn(state, values of a column as a Python list) gives true, with all columns."""
+    ship(df.sparkSession)
+    at = df.columns.index(column)
+
+    def run(batches):
+        state = start() if start else None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+            for i in range(0, batch.num_rows, rows):
+                part = batch.slice(i, rows)
+                yield part.filter(pa.array(fn(state, part.column(at).to_pylist()), type=pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
