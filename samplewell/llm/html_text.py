@@ -2,10 +2,10 @@
 
 Markup is stripped and each block element's text becomes a line. Parts that are never article (scripts, styles, menus,
 page headers and footers, side bars, notices, adverts, forms, reader comments: by element or by a telling class, id or
-role) leave empty lines. The lengths of the text outside links are summed over a sliding window of lines. A surge is where the sum
-reaches a threshold, a dive is where it falls to 0; all lines between a surge and its dive are kept. Lines inside <article> or
-<main> and the lines outside have distributions of their own: inside, any text is a surge. Where no surge is found, the
-run between dives around the best window is kept.
+role) leave an empty line. The lengths of the text outside links are summed over a sliding window of lines. A surge is where the sum
+reaches a threshold, a dive is where it falls to 0; all lines between a surge and its dive are kept. Text inside <article> or
+<main> weighs more, and its borders are dives, so that what stands beside it needs a surge of its own. The threshold comes from
+the page: half of its greatest window, SURGE at most; a page whose lines weigh less than SURGE in all keeps every run.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from samplewell.llm.shared import map_columns
 
-#: Lines in a window; characters that make a surge outside <article> and <main>.
-LINES, SURGE = 3, 80
+#: Lines in a window; characters that make a surge at most; how many times a character inside <article> or <main> counts.
+LINES, SURGE, WEIGHT = 3, 80, 20
 
 _MARK = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -34,27 +34,47 @@ _TELLING = frozenset(
     "footer masthead cookie cookies consent notice gdpr newsletter subscribe signup popup modal overlay comment comments discussion disqus replies respond share sharing social "
     "related recommended widget toolbar pagination pager login search copyright complementary contentinfo".split()
 )
+#: Words beside which a telling word still names such a part.
+_BESIDE = frozenset(
+    "site page main top bottom left right header box block container inner outer area list items item section sections bar slot unit panel pane row column col region zone group message text link links "
+    "buttons button icons icon form articles posts stories news post article user users reader readers global primary secondary mobile desktop sticky fixed small large".split()
+)
 _LANDMARK = frozenset(("article", "main"))
+_CELLS, _TABLE = frozenset("td th tr thead tbody tfoot".split()), frozenset(("table",))
+#: Elements whose end tag may be left out: the start tags that end them, and the elements whose end ends them and in which others of their kind may be nested (p: any block).
+_OPTIONAL = {
+    "li": (frozenset(("li",)), frozenset(("ul", "ol", "menu"))), "dt": (frozenset(("dt", "dd")), frozenset(("dl",))), "dd": (frozenset(("dt", "dd")), frozenset(("dl",))),
+    "tr": (_CELLS - {"td", "th"}, _TABLE), "td": (_CELLS, _TABLE), "th": (_CELLS, _TABLE),
+}
 
 
 def _telling(attrs: str, in_landmark: bool) -> bool:
+    """Whether a class, id or role as a whole names a part that is not article: telling words, with none but common ones beside them."""
     for m in _NAMED.finditer(attrs):
         for name in (m[1] or m[2] or m[3] or "").lower().split():
-            words = _WORD.findall(name)
-            if _TELLING.intersection(words) and not {"has", "with", "no", "content", "wrapper"}.intersection(words):
-                return True
-            if not in_landmark and ("header" in words or "banner" in words):
+            words = [w for w in _WORD.findall(name) if not w.isdigit()]
+            said = [w in _TELLING or not in_landmark and w == "header" for w in words]
+            if any(said) and all(x or w in _BESIDE for x, w in zip(said, words)):
                 return True
     return False
 
 
-def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """(text, length outside links, inside a landmark) of each line, and whether the page has a landmark. Dropped parts give empty lines."""
+def _ends(skip: str, name: str, close: str, nested: int) -> bool:
+    """Whether a tag ends a dropped element whose own end tag was left out; nested: open lists or tables inside it."""
+    if skip == "p":
+        return name not in _INLINE and (name != "p" or not close)
+    if skip in _OPTIONAL and not nested:
+        starts, within = _OPTIONAL[skip]
+        return name in within or name in starts and name != skip if close else name in starts
+    return False
+
+
+def lines(page: str) -> list[tuple[str, int, bool]]:
+    """(text, length outside links, inside a landmark) of each line. Dropped parts that follow each other give one empty line."""
     out: list[tuple[str, int, bool]] = []
     held: list[str] = []
     linked = landmark = depth = 0
-    has = False
-    skip, nested = "", 0
+    skip, nested, inner = "", 0, 0
 
     def flush():
         nonlocal linked
@@ -79,7 +99,11 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         if not m[2]:
             continue
         close, name = m[1], m[2].lower()
+        if skip and _ends(skip, name, close, inner):
+            skip = ""
         if skip:
+            if skip in _OPTIONAL and name in _OPTIONAL[skip][1]:
+                inner += -1 if close else 1
             if name in _LANDMARK and not close and skip not in _LANDMARK and not landmark and not _telling(m[3], True):
                 skip = ""  # a part that was never closed
             elif name == "body" and skip == "head":
@@ -92,7 +116,6 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
                     nested += -1 if close else 0 if m[3].endswith("/") else 1
                     if nested == 0:
                         skip = ""
-                        out.append(("", 0, False))
                 continue
         if name in _RAW and not close:
             if not m[3].endswith("/"):
@@ -101,7 +124,9 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             continue
         if not close and name not in ("html", "body") and name not in _VOID and (name in _NEVER or name == "header" and not landmark or m[3] and _telling(m[3], landmark > 0)):
             flush()
-            skip, nested = name, 1
+            skip, nested, inner = name, 1, 0
+            if out and out[-1][0]:
+                out.append(("", 0, landmark > 0))
             continue
         if name == "a":
             depth = max(0, depth - 1) if close else depth + 1
@@ -111,46 +136,38 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         depth = 0
         if name in _LANDMARK:
             landmark = max(0, landmark - 1) if close else landmark + 1
-            has = True
     flush()
-    return out, has
+    return out
 
 
-def _runs(size: list[int], least: int) -> list[tuple[int, int]]:
-    """The runs of lines from each surge to its dive."""
+def _kept(size: list[int], least: int) -> list[int]:
+    """The lines from each surge to its dive."""
     sums = [sum(size[i : i + LINES]) for i in range(len(size))]
     out, i = [], 0
     while i < len(size):
-        start = i
         if size[i] and sums[i] >= least:  # surge
             while i < len(size) and sums[i]:  # until the dive
+                out.append(i)
                 i += 1
-            out.append((start, i))
         else:
             i += 1
     return out
 
 
-def _around_best(size: list[int]) -> list[tuple[int, int]]:
-    """The run of lines, between dives, that holds the window with the greatest sum."""
-    sums = [sum(size[i : i + LINES]) for i in range(len(size))]
-    best = max(range(len(size)), key=lambda k: sums[k])
-    return [(a, b) for a, b in _runs(size, 1) if a <= best < b or best < a < best + LINES][:1]
-
-
 def main_text(page: str | None) -> str:
     """The kept lines, joined by one space; empty for null and empty pages."""
     if not page:
         return ""
-    found, has = lines(page)
-    # Inside a landmark any text is a surge, and a line of links alone is text as well; elsewhere a surge needs SURGE characters.
-    size = [max(n, len(t)) if inside else 0 for t, n, inside in found]
-    other = [0 if inside else n for _, n, inside in found]
-    kept = {i for a, b in _runs(size, 1) for i in range(a, b) if size[i]}
-    kept |= {i for a, b in _runs(other, SURGE) for i in range(a, b) if not found[i][2] and (other[i] or not has)}
-    if not kept and any(other):  # a short page
-        kept = {i for a, b in _around_best(other) for i in range(a, b)}
-    return " ".join(found[i][0] for i in sorted(kept) if found[i][0])
+    found: list[tuple[str, int, bool]] = []
+    for line in lines(page):
+        if found and found[-1][2] != line[2]:
+            found += [("", 0, line[2])] * LINES  # the border of a landmark is a dive
+        found.append(line)
+    # In a landmark a line of links alone is text as well.
+    size = [WEIGHT * len(t) if inside else n for t, n, inside in found]
+    most = max((sum(size[i : i + LINES]) for i in range(len(size))), default=0)
+    least = 1 if sum(size) < SURGE else min(SURGE, -(-most // 2))
+    return " ".join(found[i][0] for i in _kept(size, least) if found[i][0] and (size[i] or not any(x for _, _, x in found)))
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
