@@ -18,12 +18,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samplewell.llm.shared import map_columns
+from samplewell.llm.shared import cut, map_columns
 
-#: Labelled texts of a class in the fitting sample, at most about; least toxic texts for an entry, as a number and as a share; entries at most.
-SAMPLE, LEAST, SHARE, ENTRIES = 3000, 3, 0.02, 2000
+#: Labelled texts of a class in the fitting sample, at most about; least toxic texts for an entry, as a number and as a share.
+SAMPLE, LEAST, SHARE = 3000, 3, 0.02
 #: Lengths of stems; least share of toxic texts among those that have an entry (classes weighted alike); least clean texts for an exception.
 STEMS, PURITY, LEAST_CLEAN = (4, 5, 6, 7), 0.8, 3
+#: A word with this share of a stem's toxic texts brings them alone.
+ALONE = 0.9
 THRESHOLD = 0.7
 
 #: Letters of other scripts that look like Latin ones.
@@ -134,7 +136,10 @@ def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 
 def learn(df: DataFrame, labels: DataFrame, allowed, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Lexicon:
-    """A lexicon from a bounded sample of the labelled documents; allowed: a condition on the id. No labels give an empty lexicon."""
+    """A lexicon from a bounded sample of the labelled documents; allowed: a condition on the id. No labels give an empty lexicon.
+
+    Null labels, and others than 0 and 1, are no labels; of conflicting labels of one id the greater counts. Null texts and null ids teach nothing.
+    """
     rows = labels.where(allowed & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
     totals = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     share = F.when(F.col("y") == 1, F.lit(min(1.0, SAMPLE / totals.get(1, 1)))).otherwise(F.lit(min(1.0, SAMPLE / totals.get(0, 1))))
@@ -150,12 +155,14 @@ def learn(df: DataFrame, labels: DataFrame, allowed, id_col: str = "doc_id", tex
         return [["", *terms], [n, *[toxic[t] for t in terms]], [len(ys) - n, *[clean[t] for t in terms]]]
 
     counted = map_columns(texts, count, "term string, toxic bigint, clean bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    best = counted.where(F.col("toxic") >= LEAST).orderBy(F.desc(F.col("toxic") / (F.col("clean") + 0.5)), F.desc("toxic"), "term").limit(4 * ENTRIES).collect()
-    by = {r["term"]: (r["toxic"], r["clean"]) for r in best}
+    counted = cut(counted.where((F.col("toxic") >= LEAST) | (F.col("term") == "")))
     nt, nc = next(((r["toxic"], r["clean"]) for r in counted.where("term = ''").collect()), (0, 0))
     if not nt or not nc:
         return Lexicon({})
-    by.pop("", None)
+    # What can be an entry, or the word that alone brings a stem: by the shares, at most the mean number of terms of a toxic text over ALONE * SHARE.
+    t, c = F.col("toxic") / nt, F.col("clean") / nc
+    best = counted.where((F.col("term") != "") & (F.col("toxic") >= ALONE * SHARE * nt) & (t >= ALONE * PURITY * (t + c))).collect()
+    by = {r["term"]: (r["toxic"], r["clean"]) for r in best}
     entries: dict[str, float] = {}
     purity = lambda t, c: (t / nt) / (t / nt + c / nc)
     # Entries that more toxic texts have come first; what a kept stem covers is left out, as are stems that one word alone brings.
@@ -166,11 +173,9 @@ def learn(df: DataFrame, labels: DataFrame, allowed, id_col: str = "doc_id", tex
     for term, (t, c) in sorted(by.items(), key=lambda x: (-x[1][0], len(x[0]), x[0])):
         if t < SHARE * nt or purity(t, c) < PURITY or any(term[:k] in entries for k in range(5, len(term))):
             continue
-        if not term.endswith(" ") and alone.get(term, 0) >= 0.9 * t:
+        if not term.endswith(" ") and alone.get(term, 0) >= ALONE * t:
             continue
         entries[term] = min(8.0, math.log((t + 0.5) / (nt + 1)) - math.log((c + 0.5) / (nc + 1)))
-        if len(entries) >= ENTRIES:
-            break
     first = Lexicon(entries)
 
     def matched(_, texts, ys):
@@ -193,7 +198,7 @@ def toxicity(df: DataFrame, lexicon: Lexicon, held_out, id_col: str = "doc_id",
     Null and empty texts score as texts without a match; with nothing learned all score 0. Repeated rows and null ids stay;
     other columns are left out.
     """
-    shared = df.sparkSession.sparkContext.broadcast(lexicon)  # at most ENTRIES short strings, and the exceptions met in the sample
+    shared = df.sparkSession.sparkContext.broadcast(lexicon)  # short strings: the entries, which the share of toxic texts bounds, and the exceptions met in the sample
 
     def run(lex, ids, texts, held):
         scores = [lex.score(t) for t in texts]
