@@ -1,8 +1,8 @@
 """A corpus pipeline of five stages, each on all that the stage before it kept.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet and reads it again for
-the next. All stages but the last return the columns of documents. Filters remove rows by a list of ids or by a mark that is
-made beside the row; rows whose id is null stay. No rows, and tables without a column's values, give no rows or the rows unchanged.
+the next. All stages but the last return the columns of documents. Every row is judged for itself, by a key that the stage
+gives it, whatever its id: rows with null or repeated ids are filtered, deduplicated and masked like all others. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -17,47 +17,52 @@ from samplewell.llm import bpe_codec, decontaminate, jaccard_join, language_id,
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text whose best language has less than this mean probability is of no learned language.
 LEAST_SCORE = 0.4
-#: Id lists up to this length (some 16 MB) are broadcast; longer ones are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Lists of row keys up to this length (some 16 MB) are broadcast; longer ones are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows of the listed ids (one column doc_id)."""
-    ids = shared.cut(ids.where("doc_id is not null").distinct())
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key for each row, written, so that the keys stay."""
+    return shared.cut(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")))
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows without those whose keys are listed (one column row)."""
+    gone = shared.cut(gone.distinct())
+    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "row", "left_anti").select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts of a learned language: those without a letter and those that fit no language go."""
+    """Texts of a learned language: null texts, those without a letter and those that fit no language go. If no row has a language, nothing can be learned, and all stay."""
     docs = docs.select(*COLUMNS)
     net = language_id.train(docs, F.lit(True))
-    seen = language_id.identify(docs, net, F.lit(False))
-    if not net.languages:
-        return docs
-    return without(docs, seen.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SCORE)).select("doc_id"))
+    return language_id.of_known_language(docs, net, LEAST_SCORE) if net.languages else docs
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones (Jaccard of five-word shingles 0.8 or more): that with the least id."""
-    docs = docs.select(*COLUMNS)
-    groups = jaccard_join.jaccard_components(docs, size=5, num=80, den=100)
-    return without(docs, groups.where("component_id <> doc_id").select("doc_id"))
+    """One row of each group of linked ones (Jaccard of five-word shingles 0.8 or more): that with the least id, null ids last. Rows without words are linked with nothing and stay."""
+    rows = _keyed(docs)
+    groups = jaccard_join.jaccard_components(rows, size=5, num=80, den=100, id_col="row").where("n_shingles > 0").join(rows.select("row", "doc_id"), "row")
+    groups = shared.cut(groups.select("row", "doc_id", "component_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    best = groups.groupBy("component_id").agg(first.alias("first"), F.count("*").alias("size")).where("size > 1")
+    best = shared.cut(best.select("component_id", F.col("first.row").alias("stays"), "size"))
+    return _without(rows, shared.spread_join(groups, best, ["component_id"], "size").where("row <> stays").select("row"))
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    docs = docs.select(*COLUMNS)
-    return without(docs, decontaminate.leaks(docs, shared.read(spark, sf_dir, "benchmark")).select("doc_id"))
+    """Rows whose text holds no benchmark item; null and empty texts stay."""
+    rows = _keyed(docs)
+    return _without(rows, decontaminate.leaks(rows, shared.read(spark, sf_dir, "benchmark"), id_col="row").select("row"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with live-looking secrets masked; widely copied examples stay as they are.."""
-    docs = docs.select(*COLUMNS)
-    return secrets.mask(docs).select(*COLUMNS)
+    """Texts with live-looking secrets masked; widely copied examples, null and empty texts stay as they are."""
+    return secrets.mask(docs.select(*COLUMNS))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each text, with the digests of ids and decoded text."""
+    """The ids of each text, with the digests of ids and decoded text; null and empty texts have no ids."""
     return bpe_codec.digests(docs.select(*COLUMNS), with_ids=True)
 
 
@@ -74,10 +79,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; the result of each is a table in the shared folder that the session names."""
-    docs = shared.read(spark, sf_dir, "documents")
+    """All stages over documents; the result of each is a table in the shared folder that the session names. What a stage has read or written on the way is deleted after it."""
+    docs, last = shared.read(spark, sf_dir, "documents"), None
     folder = f"{shared.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        since, done = shared.mark(), f"{folder}/{k}-{name}"
+        shared.write(stage(spark, docs, sf_dir), done)
+        shared.release(spark, since)
+        if last:
+            shared.delete(spark, last)
+        docs, last = spark.read.parquet(done), done
     return docs
