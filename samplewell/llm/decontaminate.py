@@ -2,7 +2,7 @@
 
 Words are runs of letters and digits, lower-cased. A text's shingles are its runs of five words, an item of fewer words
 is one shingle of its own length. Every window of a document that is as long as an item is looked at, whatever its start: a running
-count tells how many of its shingles occur in the benchmark at all. Similarity s asks for s (m + window) / (1 + s) common
+count tells how many of its shingles occur in any item of that length. Similarity s asks for s (m + window) / (1 + s) common
 shingles, so that windows with fewer such shingles cannot pass with any item; all others get a 64-bit SimHash of all their
 shingles, in which every occurrence counts. BLOCKS blocks of bits index the items' fingerprints: two fingerprints within
 RADIUS differ by at most RADIUS div BLOCKS bits in one block at least, and each item is listed under every value that near, so that
@@ -106,18 +106,18 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
 
 def _dense_starts(docs: DataFrame, items: DataFrame, sizes: list[int], similarity: float) -> DataFrame:
     """(id, t, windows): the (size, m, start) of all windows of each text that hold enough shingles of the benchmark; t: a hash of the text."""
-    known = cut(items.select(F.explode("shingles").alias("h"), "size").distinct())
+    known = cut(items.select(F.explode("shingles").alias("h"), "size", "m").distinct())
     hashed = docs.select("id", "t", _word_hashes(F.col("text")).alias("w"))
+    listed = F.flatten(F.array(*[F.transform(_shingles("w", k), lambda h, i: F.struct(i.alias("p"), h.alias("h"))) for k in sizes]))
+    hashed = hashed.select("id", "t", F.size("w").alias("words"), listed.alias("s"))  # before it is exploded: what lies beside it is copied for each shingle
     # The outer form and no filter before it: pushed down, one would compute the words anew for each shingle.
-    at = hashed.select("id", "t", F.size("w").alias("words"), F.explode_outer(F.flatten(F.array(*[F.transform(_shingles("w", k), lambda h, i: F.struct(i.alias("p"), h.alias("h"))) for k in sizes]))).alias("s"))
-    at = at.select("id", "t", "words", "s.p", "s.h")
+    at = hashed.select("id", "t", "words", F.explode_outer("s").alias("s")).select("id", "t", "words", "s.p", "s.h")
     if known.count() <= BROADCAST_SHINGLES:
         hits = at.join(F.broadcast(known), "h")
     else:
         hits = at.withColumn("salt", F.pmod(F.xxhash64("id", "p"), F.lit(SALTS)).cast("int")).join(known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["h", "salt"])
-    lengths = items.groupBy("size").agg(F.collect_set("m").alias("ms"))  # as many numbers as the benchmark has lengths
-    by = hits.groupBy("id", "t", "size").agg(F.first("words").alias("words"), F.array_sort(F.collect_set("p")).alias("at"))  # at most a text's words
-    by = by.join(F.broadcast(lengths), "size").select("id", "t", "size", "at", (F.col("words") - F.col("size") + 1).alias("n"), F.explode("ms").alias("m"))
+    by = hits.groupBy("id", "t", "size", "m").agg(F.first("words").alias("words"), F.array_sort(F.collect_set("p")).alias("at"))  # at most a text's words
+    by = by.withColumn("n", F.col("words") - F.col("size") + 1)
     need = F.ceil(F.lit(similarity) * (F.col("m") + F.least("m", "n")) / (1 + similarity) - 1e-9).cast("int")
     by = by.withColumn("need", F.greatest(F.lit(1), need)).where("size(at) >= need")
     # Hit i and the need - 1 after it lie in the windows that start from at[i + need - 1] - m + 1 to at[i].
@@ -132,7 +132,8 @@ def _windows(docs: DataFrame, dense: DataFrame, sizes: list[int]) -> DataFrame:
     same = docs["id"].eqNullSafe(dense["id"]) & (docs["t"] == dense["t"])
     rows = docs.join(F.broadcast(dense) if dense.count() <= BROADCAST_ROWS else dense, same).select(docs["id"], "text", "windows")
     rows = cut(rows.select("id", _word_hashes(F.col("text")).alias("w"), "windows"))
-    rows = rows.select("id", F.array(*[_shingles("w", k) for k in sizes]).alias("s"), F.explode("windows").alias("x"))
+    rows = cut(rows.select("id", F.array(*[_shingles("w", k) for k in sizes]).alias("s"), "windows"))  # written, or the shingles would be made anew for each window
+    rows = rows.select("id", "s", F.explode("windows").alias("x"))
     size = F.coalesce(*[F.when(F.col("x.size") == k, F.lit(j)) for j, k in enumerate(sizes)])
     rows = rows.select("id", "x.size", "x.m", "x.start", F.slice(F.get("s", size), F.col("x.start") + 1, F.col("x.m")).alias("window")).distinct()
     rows = cut(rows)
