@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 NS = 1_000_000_000
 
 
-def utc_date(ns: Column) -> Column:
-    """UTC calendar date; floors, so times before 1970 fall on the right day."""
-    return F.to_date(F.timestamp_seconds(F.floor(ns / F.lit(NS)).cast("bigint")))
+def floor_div(x: Column, by: int) -> Column:
+    """Floor of x / by for BIGINT x and positive by, in integer arithmetic: a DOUBLE quotient rounds up just below a multiple."""
+    return F.call_function("div", x, F.lit(by)) - F.when(x % F.lit(by) < 0, F.lit(1)).otherwise(F.lit(0))
 
 
 def whole_seconds(ns: Column) -> Column:
-    """Floor of ns / 1e9 in integer arithmetic."""
-    return (ns - F.pmod(ns, F.lit(NS))) / F.lit(NS)
+    """Floor of ns / 1e9."""
+    return floor_div(ns, NS)
+
+
+def utc_date(ns: Column) -> Column:
+    """UTC calendar date; floors, so times before 1970 fall on the right day, and the last nanosecond of a day on that day."""
+    return F.to_date(F.timestamp_seconds(whole_seconds(ns)))
 
 
 def rfc3339(ns: Column) -> Column:
@@ -28,17 +33,17 @@ def rfc3339(ns: Column) -> Column:
         .when(rest % 1_000 == 0, F.concat(F.lit("."), F.substring(digits, 1, 6)))
         .otherwise(F.concat(F.lit("."), digits))
     )
-    seconds = F.timestamp_seconds(whole_seconds(ns).cast("bigint"))
+    seconds = F.timestamp_seconds(whole_seconds(ns))
     return F.concat(F.date_format(seconds, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("+00:00"))
 
 
 def parse_rfc3339(text: Column) -> Column:
-    """Nanoseconds of RFC 3339 text with any offset; null if it is malformed. Digits beyond the ninth are dropped."""
+    """Nanoseconds of RFC 3339 text with any offset; null if it is malformed or beyond what BIGINT holds (1677 to 2262). Digits beyond the ninth are dropped."""
     plain = F.regexp_replace(text, r"\.[0-9]+", "")
     well = text.rlike(r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$")
     fraction = F.rpad(F.substring(F.regexp_extract(text, r"\.([0-9]+)", 1), 1, 9), 9, "0").cast("bigint")
     seconds = F.unix_seconds(F.try_to_timestamp(F.regexp_replace(F.upper(plain), "Z$", "+00:00")))
-    return F.when(well, seconds * F.lit(NS) + fraction)
+    return F.when(well, (seconds.cast("decimal(20,0)") * F.lit(NS).cast("decimal(10,0)") + fraction.cast("decimal(9,0)")).try_cast("bigint"))
 
 
 def float_text(x: Column) -> Column:

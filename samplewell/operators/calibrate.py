@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from samplewell.functions import timefmt
 from samplewell.operators.scans import finite
 
 SPEC = "id string, type string, a double, b double, coeffs array<double>"
@@ -24,8 +25,8 @@ def polynomial_of(x: Column, coeffs: list[float]) -> Column:
 
 
 def apply(x: Column, spec: Column) -> Column:
-    """Identity, a x + b or a polynomial; an unknown type is the identity; null spec too."""
-    return F.when(spec["type"] == "linear", spec["a"] * x + spec["b"]).when(spec["type"] == "polynomial", polynomial(x, spec["coeffs"])).otherwise(x)
+    """Identity, a x + b or a polynomial; an unknown type is the identity; null spec too. A raw value that isn't finite comes back unchanged."""
+    return F.when(~finite(x), x).when(spec["type"] == "linear", spec["a"] * x + spec["b"]).when(spec["type"] == "polynomial", polynomial(x, spec["coeffs"])).otherwise(x)
 
 
 def normalize(spec: Column) -> Column:
@@ -62,10 +63,10 @@ def as_of(samples: DataFrame, intervals: DataFrame, time: str = "timestamp_unix_
         lo = hi = 0
     else:
         lo, hi = span["lo"] // bin_ns, span["hi"] // bin_ns
-    first = F.greatest(F.lit(lo), F.floor(F.col("effective_from_ns") / bin_ns).cast("bigint"))
-    last = F.least(F.lit(hi), F.floor(F.coalesce(F.col("effective_to_ns"), F.lit((hi + 1) * bin_ns)) / bin_ns).cast("bigint"))
+    first = F.greatest(F.lit(lo), timefmt.floor_div(F.col("effective_from_ns"), bin_ns))
+    last = F.least(F.lit(hi), timefmt.floor_div(F.coalesce(F.col("effective_to_ns"), F.lit((hi + 1) * bin_ns)), bin_ns))
     binned = intervals.withColumn("bin", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
-    s = samples.withColumn("bin", F.floor(F.col(time) / bin_ns).cast("bigint"))
+    s = samples.withColumn("bin", timefmt.floor_div(F.col(time), bin_ns))
     t = F.col(time)
     on = (s["channel"] == binned["channel"]) & (s["bin"] == binned["bin"]) & (t >= F.col("effective_from_ns")) & (F.col("effective_to_ns").isNull() | (t < F.col("effective_to_ns")))
     return s.join(binned, on, "left").drop(binned["channel"]).drop("bin", "effective_from_ns", "effective_to_ns")

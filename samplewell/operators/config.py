@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from samplewell.operators import keys
+
+#: The field names of a device configuration.
 SENSOR = "scans_per_read:int,scan_rate:int,scan_rate_hz:double,sampling_rate:double,channels_enabled:array<int>,gains:int,data_formats:array<string>,measurement_units:array<string>,labjack_on_off:boolean"
 SCHEMA = f"labjack_name string, asset_number int, max_channels int, site_id string, box_id string, source_type string, source_id string, nats_subject string, nats_stream string, rotate_secs bigint, sensor_settings struct<{SENSOR}>"
 #: The required keys of an edge box configuration.
@@ -41,7 +44,7 @@ def with_defaults(text: Column) -> Column:
     d = lambda x, v, n: F.coalesce(x, F.lit(v)).alias(n)
     return F.struct(
         d(c["labjack_name"], "unknown", "labjack_name"), d(c["asset_number"], 0, "asset_number"), d(c["max_channels"], 8, "max_channels"), d(c["site_id"], "", "site_id"), d(c["box_id"], "", "box_id"),
-        d(c["source_type"], "labjack", "source_type"), F.coalesce(c["source_id"], c["labjack_name"], F.lit("")).alias("source_id"), d(c["nats_subject"], "avenars", "nats_subject"), d(c["nats_stream"], "labjacks", "nats_stream"),
+        d(c["source_type"], "labjack", "source_type"), F.coalesce(c["source_id"], c["labjack_name"], F.lit("")).alias("source_id"), d(c["nats_subject"], keys.ROOT, "nats_subject"), d(c["nats_stream"], "labjacks", "nats_stream"),
         d(c["rotate_secs"], 60, "rotate_secs"), F.coalesce(s["scans_per_read"], s["scan_rate"], F.lit(200)).alias("scans_per_read"), F.coalesce(s["scan_rate_hz"], s["sampling_rate"], F.lit(1000.0)).alias("scan_rate_hz"),
         channels.alias("channels_enabled"), d(s["gains"], 1, "gains"), padded(s["data_formats"], "voltage").alias("data_formats"), padded(s["measurement_units"], "V").alias("measurement_units"), d(s["labjack_on_off"], False, "labjack_on_off"),
     )
@@ -102,3 +105,50 @@ def merged(defaults: list[tuple[str, float]], overrides: DataFrame, key: str, na
     items = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(v).alias("v")) for n, v in defaults])
     base = overrides.select(key).distinct().withColumn("d", F.explode(items)).select(key, F.col("d.n").alias(name), F.col("d.v").alias("default_value"))
     return base.join(overrides.where(F.col(name).isNotNull()), [key, name], "full_outer").select(key, name, F.coalesce(value, "default_value").alias(value))
+
+
+def first_match(df: DataFrame, key: str, name: str, preferred: Column) -> DataFrame:
+    """(key, name): each key's first name in order, those that are preferred before the others."""
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct((~F.coalesce(preferred, F.lit(False))).alias("other"), F.col(name).alias("name"))).alias("m")).select(key, F.col("m.name").alias(name))
+
+
+def zipped(channels: Column, **lists: Column) -> Column:
+    """Array of (channel, ...) in order of channel: entry i of each list belongs to channel i of the list of channels; short lists give nulls."""
+    return F.array_sort(F.arrays_zip(channels.alias("channel"), *[x.alias(n) for n, x in lists.items()]))
+
+
+def toggled(channels: Column, channel: Column, **lists: tuple[Column, Column]) -> Column:
+    """zipped(channels, ...) without the channel, or, if it isn't among them, with it; name=(list, value for a new channel)."""
+    pairs = zipped(channels, **{n: x for n, (x, _) in lists.items()})
+    more = zipped(F.concat(channels, F.array(channel)), **{n: F.concat(F.slice(F.concat(x, F.array_repeat(F.lit(None), F.size(channels))), F.lit(1), F.size(channels)), F.array(v)) for n, (x, v) in lists.items()})
+    return F.when(F.array_contains(channels, channel), F.filter(pairs, lambda p: p["channel"] != channel)).otherwise(more)
+
+
+def parse_channels(text: Column) -> Column:
+    """Channel numbers of a comma-separated list, blank parts dropped; null if a part is no number, or negative, or none is left."""
+    parts = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
+    numbers = F.transform(parts, lambda x: x.try_cast("int"))
+    return F.when((F.size(parts) > 0) & F.forall(numbers, lambda n: n.isNotNull() & (n >= 0)), numbers)
+
+
+def change_kinds(log: DataFrame, device: list[Column], calibration: list[Column], key: str = "key", revision: str = "revision") -> DataFrame:
+    """The PUTs with kind: `added` (a key's first), `respawn` (a device column differs from the PUT before), `recalibrate` (only a calibration column does) or `none`."""
+    w = Window.partitionBy(key).orderBy(revision)
+    puts = log.where("op = 'PUT'").withColumn("_own", F.struct(F.struct(*[c.alias(f"d{k}") for k, c in enumerate(device)]).alias("d"), F.struct(*[c.alias(f"c{k}") for k, c in enumerate(calibration)]).alias("c")))
+    puts = puts.withColumn("_last", F.lag("_own").over(w))
+    differs = lambda part: ~F.col(f"_own.{part}").eqNullSafe(F.col(f"_last.{part}"))
+    return puts.withColumn("kind", F.when(F.col("_last").isNull(), "added").when(differs("d"), "respawn").when(differs("c"), "recalibrate").otherwise("none")).drop("_own", "_last")
+
+
+def with_runs(log: DataFrame, device: list[Column], calibration: list[Column], key: str = "key", revision: str = "revision") -> DataFrame:
+    """change_kinds with run_id: the number of the device's run, which a first configuration and each respawn begin; sequences start at 0 in each."""
+    kinds = change_kinds(log, device, calibration, key, revision)
+    w = Window.partitionBy(key).orderBy(revision).rowsBetween(Window.unboundedPreceding, 0)
+    return kinds.withColumn("run_id", F.sum(F.col("kind").isin("added", "respawn").cast("bigint")).over(w) - 1)
+
+
+def cascaded(df: DataFrame, defaults: str, own: str, schema: str) -> DataFrame:
+    """The fields of a JSON object, each from column `own` or else from column `defaults`, beside the other columns."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    d = df.withColumn("_own", F.from_json(F.col(own), schema)).withColumn("_default", F.from_json(F.col(defaults), schema))
+    return d.select(*[c for c in df.columns if c not in (defaults, own)], *[F.coalesce(F.col(f"_own.{n}"), F.col(f"_default.{n}")).alias(n) for n in names])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,22 +62,52 @@ def summary(rows: DataFrame, channels: list[int]) -> DataFrame:
 
 
 def frames(lines: DataFrame, line: str, order: list[str], missing_channels: list[int], chunk: int = 128 * 1024):
-    """The frame protocol: meta, chunks of whole lines of at least `chunk` bytes (the last may be less), summary, complete. Rows come from the executors one partition at a time."""
+    """The frame protocol: meta, chunks of whole lines of at least `chunk` bytes (the last may be less), summary, complete; or an error, which ends it. Rows come from the executors one partition at a time."""
     yield {"type": "meta", "format": "csv"}
     held, size, total = [], 0, 0
-    for r in lines.orderBy(*order).select(line).toLocalIterator(prefetchPartitions=True):
-        data = (r[0] + "\n").encode()
-        held.append(data)
-        size += len(data)
-        if size >= chunk:
-            yield {"type": "chunk", "data": b"".join(held)}
-            total, held, size = total + size, [], 0
+    try:
+        for r in lines.orderBy(*order).select(line).toLocalIterator(prefetchPartitions=True):
+            data = (r[0] + "\n").encode()
+            held.append(data)
+            size += len(data)
+            if size >= chunk:
+                yield {"type": "chunk", "data": b"".join(held)}
+                total, held, size = total + size, [], 0
+    except Exception as e:  # the job failed: told in the protocol, as the receiver has had a part
+        yield {"type": "error", "message": f"{type(e).__name__}: {e}"[:500]}
+        return
     if held:
         yield {"type": "chunk", "data": b"".join(held)}
     yield {"type": "summary", "bytes": total + size, "missing": sorted(missing_channels)}
     yield {"type": "complete"}
 
 
+def receive(incoming, idle: float = 30.0, clock=time.monotonic) -> tuple[bytes, dict]:
+    """The client's side: (data, summary) of an iterator of frames. An error frame raises RuntimeError, as does an end before `complete` and a size that isn't the summary's; a pause of more than `idle` seconds raises TimeoutError.
+
+    An iterator that has nothing yet may give None, so that the pause is seen.
+    """
+    parts, summary, last = [], None, clock()
+    for f in incoming:
+        if f is None:
+            if clock() - last > idle:
+                raise TimeoutError(f"no frame for {idle:g} s")
+            continue
+        last = clock()
+        if f["type"] == "error":
+            raise RuntimeError(f["message"])
+        if f["type"] == "chunk":
+            parts.append(f["data"])
+        elif f["type"] == "summary":
+            summary = f
+        elif f["type"] == "complete":
+            data = b"".join(parts)
+            if summary is None or summary["bytes"] != len(data):
+                raise RuntimeError("the export is not whole")
+            return data, summary
+    raise RuntimeError("the export ended before it was complete")
+
+
 def csv_rows(rows: DataFrame) -> DataFrame:
     """Export rows as text columns: RFC 3339 time, chNN, shortest numbers."""
     return rows.select(

@@ -31,24 +31,29 @@ def set_(text: Column) -> Column:
     return F.nullif(F.trim(text), F.lit(""))
 
 
-def is_v1(subject: Column, box: Column, source: Column) -> Column:
-    return (subject == "avenars") | set_(box).isNotNull() | set_(source).isNotNull()
+#: The root of new-scheme subjects, unless a call names another.
+ROOT = "plant"
+
+
+def is_v1(subject: Column, box: Column, source: Column, root: str = ROOT) -> Column:
+    """Whether a device's subjects follow the new scheme: by its root, or since a box or source is named."""
+    return (subject == root) | set_(box).isNotNull() | set_(source).isNotNull()
 
 
 def source_token(source: Column, name: Column, asset: Column) -> Column:
     return sanitize(F.coalesce(set_(source), set_(name), F.concat(F.lit("asset"), padded_asset(asset))))
 
 
-def channel_subject(subject: Column, asset: Column, channel: Column, box: Column, source: Column, name: Column) -> Column:
+def channel_subject(subject: Column, asset: Column, channel: Column, box: Column, source: Column, name: Column, root: str = ROOT) -> Column:
     """`{root}.v1.{box}.{source}.{ch}` in the new scheme, `{root}.{asset}.data.{ch}` in the old."""
     new = F.concat_ws(".", sanitize(subject), F.lit("v1"), sanitize(F.coalesce(set_(box), F.lit("unknown-box"))), source_token(source, name, asset), padded_channel(channel))
-    return F.when(is_v1(subject, box, source), new).otherwise(F.concat_ws(".", subject, padded_asset(asset), F.lit("data"), padded_channel(channel)))
+    return F.when(is_v1(subject, box, source, root), new).otherwise(F.concat_ws(".", subject, padded_asset(asset), F.lit("data"), padded_channel(channel)))
 
 
-def stream_pattern(subject: Column, box: Column, source: Column, name: Column) -> Column:
+def stream_pattern(subject: Column, box: Column, source: Column, name: Column, root: str = ROOT) -> Column:
     """What a device's stream subscribes to: all its channels in the new scheme, all assets' channels in the old."""
     new = F.concat_ws(".", sanitize(subject), F.lit("v1"), sanitize(F.coalesce(set_(box), F.lit("unknown-box"))), sanitize(F.coalesce(set_(source), set_(name), F.lit("unknown-source"))), F.lit("*"))
-    return F.when(is_v1(subject, box, source), new).otherwise(F.concat(subject, F.lit(".*.data.*")))
+    return F.when(is_v1(subject, box, source, root), new).otherwise(F.concat(subject, F.lit(".*.data.*")))
 
 
 def compatible(existing: Column, wanted: Column) -> Column:
@@ -57,6 +62,12 @@ def compatible(existing: Column, wanted: Column) -> Column:
     return (existing == wanted) | (F.endswith(wanted, F.lit(".*.data.*")) & F.startswith(existing, prefix) & F.endswith(existing, F.lit(".data.*")))
 
 
+def export_subjects(prefix: Column, box: Column, job: Column) -> tuple[Column, Column]:
+    """(request, reply): where a box's exporter takes requests, and where the frames of one job go."""
+    base = F.regexp_replace(prefix, r"\.+$", "")
+    return F.concat_ws(".", base, F.lit("request"), sanitize(box)), F.concat_ws(".", base, F.lit("reply"), sanitize(job))
+
+
 def last_token(subject: Column) -> Column:
     return F.element_at(F.split(subject, r"\."), -1)
 
@@ -91,6 +102,11 @@ def bytes_text(n: Column) -> Column:
     return out
 
 
+def latency_ms(received_ns: Column, source_ns: Column) -> Column:
+    """Whole milliseconds from a message's source time to its receipt; clocks that disagree give 0."""
+    return F.call_function("div", F.greatest(F.lit(0).cast("bigint"), received_ns - source_ns), F.lit(1_000_000))
+
+
 def lag_text(ms: Column) -> Column:
     """Whole milliseconds, seconds, minutes or hours; `--` for what is negative or not finite."""
     x = ms.cast("double")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from samplewell.operators import ordered
+
 
 def finite(x: Column) -> Column:
     """Neither null, NaN nor infinite."""
@@ -35,16 +37,17 @@ def sample_interval_ns(rate: Column) -> Column:
     return F.when(finite(rate) & (rate > 0), F.round(F.lit(1e9) / rate).cast("bigint"))
 
 
-def stream_clock(df: DataFrame, run: str, order: str, size: Column, interval: Column, start: Column) -> DataFrame:
-    """Sequence numbers 0, 1, 2, ... and the time of the first sample of each batch of a run; empty batches are rejected."""
-    df = df.where(size > 0)
-    w = Window.partitionBy(run).orderBy(order)
-    before = F.coalesce(F.sum(size * interval).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn("sequence", (F.row_number().over(w) - 1).cast("bigint")).withColumn("first_sample_unix_ns", (start + before).cast("bigint"))
+def stream_clock(df: DataFrame, run: str, order: str, size: Column, interval: Column, start: Column, width=None) -> DataFrame:
+    """Sequence numbers 0, 1, 2, ... and the time of the first sample of each batch of a run; empty batches are rejected. order: a number without ties in a run, whose bins of `width` tasks share."""
+    d = df.where(size > 0).withColumn("_span", (size * interval).cast("bigint"))
+    d = ordered.running(d, [run], order, width or ordered.MILLION, _n=("count", F.lit(1)), _upto=("sum", F.col("_span")))
+    out = d.withColumn("sequence", F.col("_n") - 1).withColumn("first_sample_unix_ns", (start + F.col("_upto") - F.col("_span")).cast("bigint"))
+    return out.drop("_n", "_upto", "_span")
 
 
-def sequence_state(df: DataFrame, key: str, arrival: str, sequence: str) -> DataFrame:
-    """`first`, `ok` (previous + 1), `gap` (more) or `reset` (not more) in order of arrival, and how many are missing."""
-    prev = F.lag(sequence).over(Window.partitionBy(key).orderBy(arrival))
-    d = F.col(sequence) - prev
-    return df.withColumn("state", F.when(prev.isNull(), "first").when(d == 1, "ok").when(d > 1, "gap").otherwise("reset")).withColumn("missing", F.when(d > 1, d - 1).otherwise(F.lit(0)).cast("bigint"))
+def sequence_state(df: DataFrame, key: str, arrival: str, sequence: str, width=None) -> DataFrame:
+    """`first`, `ok` (previous + 1), `gap` (more) or `reset` (not more) in order of arrival, and how many are missing. Messages that arrive at the same place go by sequence number."""
+    d = ordered.previous(df, [key], arrival, width or ordered.MILLION, F.col(sequence), [sequence])
+    step = F.col(sequence) - F.col("previous")
+    state = F.when(F.col("previous").isNull(), "first").when(step == 1, "ok").when(step > 1, "gap").otherwise("reset")
+    return d.withColumn("state", state).withColumn("missing", F.when(step > 1, step - 1).otherwise(F.lit(0)).cast("bigint")).drop("previous")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from samplewell.functions import timefmt
+from samplewell.operators import ordered
 from samplewell.operators.scans import finite
 
 #: Fixed value: the least divisor of a relative error (double precision's unit).
@@ -52,37 +54,43 @@ def dedupe_first(df: DataFrame, key: list[str], time: str, order: str) -> DataFr
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def rate(df: DataFrame, key: str, time: str) -> DataFrame:
-    """dt: median of the positive differences of time; rate: 1 / dt."""
-    d = df.withColumn("d", F.col(time) - F.lag(time).over(Window.partitionBy(key).orderBy(time))).where("d > 0")
-    return d.groupBy(key).agg(F.percentile("d", F.lit(0.5)).alias("dt")).withColumn("rate", 1 / F.col("dt"))
+def rate(df: DataFrame, key: str, time: str, width=ordered.HOUR_NS) -> DataFrame:
+    """dt: median of the positive differences of time; rate: 1 / dt. Equal times differ by 0 and don't count. width: bins of time that tasks share."""
+    d = ordered.previous(df.select(key, time), [key], time, width, F.col(time)).withColumn("d", F.col(time) - F.col("previous")).where("d > 0")
+    return ordered.quantiles(d, [key], "d", {"dt": 0.5}).withColumn("rate", 1 / F.col("dt"))
 
 
 def detrended(df: DataFrame, key: str, value: str) -> DataFrame:
     """Mean, and RMS about it, of each key; a constant or empty signal has a null RMS (nothing can be normalised by it)."""
-    mean = df.groupBy(key).agg(F.avg(value).alias("mean"))
-    d = df.join(mean, key)
-    out = d.groupBy(key).agg(F.first("mean").alias("mean"), F.sqrt(F.avg(F.pow(F.col(value) - F.col("mean"), 2))).alias("rms"))
-    return out.withColumn("rms", F.when(F.col("rms") > 1e-12, F.col("rms")))
+    rms = F.stddev_pop(value)
+    return df.groupBy(key).agg(F.avg(value).alias("mean"), F.when(rms > 1e-12, rms).alias("rms"))
 
 
-def interpolate(points: DataFrame, candidate: DataFrame, key: str, time: str = "t", value: str = "v") -> DataFrame:
+def interpolate(points: DataFrame, candidate: DataFrame, key: str, time: str = "t", value: str = "v", order: str | None = None, width=ordered.HOUR) -> DataFrame:
     """points (key, t, ..) with the candidate's (key, t, v) value at t, linear between its neighbours, null outside its range.
 
-    Union and two passes that carry the last known candidate forwards and backwards; one shuffle by key.
+    Union, and windows that carry the last known candidate forwards and backwards, in bins of time. Of candidates of the
+    same time the first by column `order` counts (without one, that of the least value).
     """
     extra = [c for c in points.columns if c not in (key, time)]
+    point = lambda t, v: F.struct(t.cast("double").alias("t"), v.cast("double").alias("v"))
+    nth = F.rank().over(Window.partitionBy(key, time).orderBy(order or value))
     a = points.withColumn("_p", F.lit(None).cast("struct<t:double,v:double>")).withColumn("_is", F.lit(True))
-    b = candidate.select(key, time, *[F.lit(None).cast(points.schema[c].dataType).alias(c) for c in extra], F.struct(F.col(time).cast("double").alias("t"), F.col(value).alias("v")).alias("_p"), F.lit(False).alias("_is"))
+    b = candidate.withColumn("_nth", nth).where("_nth = 1").select(key, time, *[F.lit(None).cast(points.schema[c].dataType).alias(c) for c in extra], point(F.col(time), F.col(value)).alias("_p"), F.lit(False).alias("_is"))
     u = a.select(key, time, *extra, "_p", "_is").unionByName(b)
-    forward = Window.partitionBy(key).orderBy(F.col(time), F.col("_is")).rowsBetween(Window.unboundedPreceding, 0)
-    back = Window.partitionBy(key).orderBy(F.col(time).desc(), F.col("_is")).rowsBetween(Window.unboundedPreceding, 0)
-    u = u.withColumn("_l", F.last("_p", ignorenulls=True).over(forward)).withColumn("_r", F.last("_p", ignorenulls=True).over(back)).where("_is")
+    u = ordered.running(u, [key], time, width, ["_is"], _l=("last", F.col("_p")), _r=("last", F.col("_p"), "back")).where("_is")
     l, r, t = F.col("_l"), F.col("_r"), F.col(time).cast("double")
     v = F.when(l["t"] == t, l["v"]).when(r["t"] == t, r["v"]).otherwise(l["v"] + (r["v"] - l["v"]) * (t - l["t"]) / (r["t"] - l["t"]))
     return u.select(key, time, *extra, v.alias("input_value"))
 
 
+def overlap(reference: DataFrame, candidate: DataFrame, key: str, time: str, lag: Column | float = 0) -> DataFrame:
+    """n and m (rows of both sides), and the start and end of the time that both cover, the candidate's moved later by `lag`; end before start means none."""
+    ends = [F.count("*").alias("n"), F.min(time).alias("a"), F.max(time).alias("b")]
+    r, c = reference.groupBy(key).agg(*ends), candidate.groupBy(key).agg(*ends).toDF(key, "m", "ca", "cb")
+    return r.join(c, key).select(key, "n", "m", F.greatest(F.col("a"), F.col("ca") + lag).alias("start"), F.least(F.col("b"), F.col("cb") + lag).alias("end"))
+
+
 def pearson(x: str, y: str) -> Column:
     """Correlation; NaN if a side is constant."""
     sx, sy = F.stddev_pop(x), F.stddev_pop(y)
@@ -94,37 +102,43 @@ def relative_error(error: Column, reference: Column) -> Column:
 
 
 def summary(aligned: DataFrame, key: str) -> DataFrame:
-    """Error metrics of rows (key, reference_value, input_value)."""
+    """Error metrics of rows (key, reference_value, input_value); the percentiles are exact."""
     d = aligned.withColumn("e", F.col("input_value") - F.col("reference_value"))
     d = d.withColumn("a", F.abs("e")).withColumn("r", relative_error(F.col("e"), F.col("reference_value")))
-    return d.groupBy(key).agg(
+    out = d.groupBy(key).agg(
         F.count("*").alias("n"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.avg("a").alias("mae"), F.max("a").alias("max_abs_error"), F.avg("e").alias("mean_error"), F.stddev_pop("e").alias("std_error"),
-        F.min("e").alias("min_error"), F.max("e").alias("max_error"), *[F.percentile("a", F.lit(p / 100)).alias(f"abs_error_p{p}") for p in (50, 95, 99)], F.avg("r").alias("mean_relative_error"),
-        *[F.percentile("r", F.lit(p / 100)).alias(f"relative_error_p{p}") for p in (50, 95, 99)], pearson("reference_value", "input_value").alias("pearson_correlation"),
+        F.min("e").alias("min_error"), F.max("e").alias("max_error"), F.avg("r").alias("mean_relative_error"), pearson("reference_value", "input_value").alias("pearson_correlation"),
     )
+    for c, name in (("a", "abs_error"), ("r", "relative_error")):
+        out = out.join(ordered.quantiles(d, [key], c, {f"{name}_p{p}": p / 100 for p in (50, 95, 99)}), key)
+    return out
 
 
 def best_lag(df: DataFrame, key: list[str], index: str, x: str, y: str, most: int) -> DataFrame:
-    """The lag of at most `most` samples whose sum of x[i] y[i - lag] is greatest (the least lag of equals); x and y without their means."""
-    means = df.groupBy(*key).agg(F.avg(x).alias("mx"), F.avg(y).alias("my"))
-    d = df.join(means, key).select(*key, F.col(index).cast("bigint").alias("i"), (F.col(x) - F.col("mx")).alias("x"), (F.col(y) - F.col("my")).alias("y"))
-    shifted = d.select(*key, F.col("y").alias("y2"), F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag"), "i").select(*key, "y2", F.col("lag").cast("bigint").alias("lag"), (F.col("i") + F.col("lag")).alias("i"))
-    c = shifted.join(d.select(*key, "i", "x"), [*key, "i"]).groupBy(*key, "lag").agg(F.round(F.sum(F.col("x") * F.col("y2")), 6).alias("c"))
-    return c.groupBy(*key).agg(F.min_by("lag", F.struct(-F.col("c"), F.col("lag"))).alias("lag_samples"))
+    """The lag of at most `most` samples whose sum of x[i] y[i - lag] is greatest (the least lag of equals); x and y without their means.
+
+    For short windows: a key's rows (index, x, y) are gathered in one array, and each lag is a fold over it.
+    """
+    rows = df.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(index).cast("bigint").alias("i"), F.col(x).alias("x"), F.col(y).alias("y")))).alias("r"), F.avg(x).alias("mx"), F.avg(y).alias("my"))
+    rows = rows.select(*key, F.transform("r", lambda p: p["x"] - F.col("mx")).alias("x"), F.transform("r", lambda p: p["y"] - F.col("my")).alias("y"))
+    least, last = F.greatest(F.lit(-most), 1 - F.size("x")), F.least(F.lit(most), F.size("x") - 1)
+    product = F.expr("round(aggregate(zip_with(slice(x, greatest(0, lag) + 1, size(x) - abs(lag)), slice(y, greatest(0, -lag) + 1, size(y) - abs(lag)), (a, b) -> a * b), 0D, (s, p) -> s + p), 6)")
+    each = rows.withColumn("lag", F.explode(F.sequence(least, last))).select(*key, F.col("lag").cast("bigint").alias("lag"), product.alias("c"))
+    return each.groupBy(*key).agg(F.min_by("lag", F.struct(-F.col("c"), F.col("lag"))).alias("lag_samples"))
 
 
 def xcorr_lag(pairs: DataFrame, key: str) -> DataFrame:
     """Full cross-correlation by FFT of each key's grid (i, x, y): lag in samples, its value confirmed by direct sums around the peak. A constant side gives null."""
     from samplewell.functions.xcorr import lag_of_group
 
-    return pairs.groupBy(key).applyInPandas(lag_of_group, f"{key} bigint, lag_samples bigint")
+    return pairs.select(key, "i", "x", "y").groupBy(key).applyInPandas(lag_of_group, T.StructType([T.StructField(key, pairs.schema[key].dataType), T.StructField("lag_samples", T.LongType())]))
 
 
-def windows(df: DataFrame, key: str, order: str, size: int) -> DataFrame:
+def windows(df: DataFrame, key: str, order: str, size: int | Column, width=ordered.HOUR) -> DataFrame:
     """Rows of half-overlapping windows of `size` rows (or all, if fewer): window_start is the first row's number. The last window ends at the last row."""
     n = df.groupBy(key).agg(F.count("*").alias("n"))
-    d = df.withColumn("i", (F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1).cast("bigint")).join(n, key)
-    size_ = F.least(F.lit(size).cast("bigint"), F.col("n"))
+    d = ordered.numbered(df, [key], order, width).join(n, key)
+    size_ = F.least((size if isinstance(size, Column) else F.lit(size)).cast("bigint"), F.col("n"))
     step = F.greatest(F.lit(1).cast("bigint"), F.floor(size_ / 2))
     last = F.col("n") - size_
     low = F.greatest(F.lit(0).cast("bigint"), F.ceil((F.col("i") - size_ + 1) / step) * step)

@@ -42,9 +42,8 @@ def kv_mirror_diff(spark, sf):
 
 @query("config_lookup", "WITH @kv, r AS (SELECT DISTINCT CAST(regexp_extract(\"key\", 'src([0-9]+)', 1) AS BIGINT) asset, \"key\" FROM kv), x AS (SELECT asset, \"key\", row_number() OVER (PARTITION BY asset ORDER BY CASE WHEN \"key\" LIKE 'v1.box3.%' THEN 0 ELSE 1 END, \"key\") n FROM r) SELECT asset, \"key\" FROM x WHERE n = 1")
 def config_lookup(spark, sf):
-    d = kv(spark, sf).select(F.regexp_extract("key", "src([0-9]+)", 1).cast("bigint").alias("asset"), "key").distinct()
-    w = Window.partitionBy("asset").orderBy(F.when(F.col("key").startswith("v1.box3."), 0).otherwise(1), "key")
-    return d.withColumn("n", F.row_number().over(w)).where("n = 1").select("asset", "key")
+    d = kv(spark, sf).select(F.regexp_extract("key", "src([0-9]+)", 1).cast("bigint").alias("asset"), "key")
+    return config.first_match(d, "asset", "key", F.col("key").startswith("v1.box3."))
 
 
 def _json(legacy: bool = False):
@@ -74,7 +73,7 @@ def config_defaults(spark, sf):
     return d.select("event_id", F.col("c.rotate_secs").cast("bigint").alias("rotate_secs"), F.col("c.labjack_name").alias("name"), F.array_join("c.measurement_units", ",").alias("units"), F.col("c.scans_per_read").cast("bigint").alias("scans"))
 
 
-@query("config_validate", f"""WITH e AS (SELECT *, count(*) OVER (PARTITION BY user_id) na, {_NCH} n FROM events WHERE event_id % 50 < 3)
+@query("config_validate", f"""WITH e AS (SELECT *, count(*) OVER (PARTITION BY user_id) na, {_NCH} n FROM events)
 SELECT event_id, concat_ws(',', CASE WHEN na > 1 THEN 'asset_number' END, CASE WHEN event_id % 20 = 0 OR event_id % 20 > 16 THEN 'max_channels' END, CASE WHEN event_id % 3 = 0 THEN 'scans_per_read' END,
 CASE WHEN n = 0 THEN 'channels_enabled' END, CASE WHEN n <> 1 THEN 'data_formats' END) errors FROM e""")
 def config_validate(spark, sf):
@@ -96,18 +95,15 @@ def config_required_keys(spark, sf):
 @query("config_zip_units", "SELECT vec_id, string_agg(c || '=' || u, ',' ORDER BY c) pairs FROM (SELECT vec_id, unnest([label % 3 + 5, label % 3, label % 3 + 2]) c, unnest(['V', 'N', 'kg']) u FROM embeddings) GROUP BY vec_id")
 def config_zip_units(spark, sf):
     b = F.col("label") % 3
-    pairs = F.array_sort(F.arrays_zip(F.array(b + 5, b, b + 2).alias("c"), F.array(F.lit("V"), F.lit("N"), F.lit("kg")).alias("u")))
-    return table(spark, sf, "embeddings").select("vec_id", F.array_join(F.transform(pairs, lambda p: F.concat(p["c"].cast("string"), F.lit("="), p["u"])), ",").alias("pairs"))
+    pairs = config.zipped(F.array(b + 5, b, b + 2), unit=F.array(F.lit("V"), F.lit("N"), F.lit("kg")))
+    return table(spark, sf, "embeddings").select("vec_id", F.array_join(F.transform(pairs, lambda p: F.concat(p["channel"].cast("string"), F.lit("="), p["unit"])), ",").alias("pairs"))
 
 
 @query("config_change_kind", """WITH @kv, p AS (SELECT "key", revision, k, lag(k) OVER w q FROM kv WHERE op = 'PUT' WINDOW w AS (PARTITION BY "key" ORDER BY revision))
 SELECT "key", revision, CASE WHEN q IS NULL THEN 'added' WHEN k % 10 <> q % 10 THEN 'respawn' WHEN k <> q THEN 'recalibrate' ELSE 'none' END kind FROM p""")
 def config_change_kind(spark, sf):
-    w = Window.partitionBy("key").orderBy("revision")
-    p = kv(spark, sf).where("op = 'PUT'").withColumn("q", F.lag("k").over(w))
     # the last digit stands for subject, stream, consumer, asset and rotation; the rest for the calibration
-    kind = F.when(F.col("q").isNull(), "added").when(~(F.col("k") % 10).eqNullSafe(F.col("q") % 10), "respawn").when(~F.col("k").eqNullSafe(F.col("q")), "recalibrate").otherwise("none")
-    return p.select("key", "revision", kind.alias("kind"))
+    return config.change_kinds(kv(spark, sf), [F.col("k") % 10], [F.col("k")]).select("key", "revision", "kind")
 
 
 @query("channel_diff", "WITH @samples, o AS (SELECT DISTINCT asset, channel FROM samples WHERE event_id % 97 < 9), n AS (SELECT DISTINCT asset, channel FROM samples WHERE event_id % 89 < 9) SELECT asset, channel, CASE WHEN o.channel IS NULL THEN 'added' WHEN n.channel IS NULL THEN 'removed' ELSE 'kept' END AS change FROM o FULL JOIN n USING (asset, channel)")
@@ -129,9 +125,8 @@ def suite_cases(spark, sf):
     i = F.col("n_nationkey")
     case = F.concat(F.lit('{"name":"'), F.col("n_name"), F.lit('"'), F.when(i % 4 == 0, F.concat(F.lit(',"reference_channel":'), i.cast("string"))).otherwise(""), F.when(i % 3 == 0, ',"signal_column":"calibrated_value"').otherwise(""), F.lit("}"))
     schema = "name string, reference_channel bigint, input_format string, signal_column string"
-    defaults = F.from_json(F.lit('{"reference_channel":11,"input_format":"csv","signal_column":"raw_value"}'), schema)
-    d = table(spark, sf, "nation").select(i.cast("bigint").alias("case_id"), F.from_json(case, schema).alias("c"), defaults.alias("d"))
-    return d.select("case_id", F.col("c.name").alias("name"), *[F.coalesce(F.col(f"c.{x}"), F.col(f"d.{x}")).alias(x) for x in ("reference_channel", "input_format", "signal_column")])
+    defaults = F.lit('{"reference_channel":11,"input_format":"csv","signal_column":"raw_value"}')
+    return config.cascaded(table(spark, sf, "nation").select(i.cast("bigint").alias("case_id"), case.alias("c"), defaults.alias("d")), "d", "c", schema)
 
 
 _RANGE = "channel IN (0, 1, 2) AND timestamp_unix_ns BETWEEN (SELECT min(timestamp_unix_ns) + 86400000000000 FROM samples) AND (SELECT min(timestamp_unix_ns) + 10*86400000000000 FROM samples)"
@@ -158,8 +153,10 @@ _FRACTION = "CASE WHEN us % 1000000 = 0 THEN '' WHEN us % 1000 = 0 THEN '.' || l
 
 @query("export_csv_rows", f"WITH @samples, x AS (SELECT *, timestamp_unix_ns // 1000 us FROM samples WHERE {_RANGE}) SELECT strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S') || {_FRACTION} || '+00:00' AS \"timestamp\", 'ch' || lpad(CAST(channel AS VARCHAR), 2, '0') channel, round(value, 6) raw_value, round({_CASE}, 6) calibrated_value, {_ID} calibration_id FROM x")
 def export_csv_rows(spark, sf):
-    d = _exported(spark, sf)
-    return d.select(timefmt.rfc3339(F.col("timestamp_unix_ns")).alias("timestamp"), keys.padded_channel(F.col("channel")).alias("channel"), F.round("raw_value", 6).alias("raw_value"), F.round("calibrated_value", 6).alias("calibrated_value"), "calibration_id")
+    d = export.csv_rows(_exported(spark, sf))
+    # Digits are text here; the two engines print DOUBLE alike once it is read again and rounded.
+    number = lambda c: F.round(F.col(c).cast("double"), 6).alias(c)
+    return d.select("timestamp", "channel", number("raw_value"), number("calibrated_value"), "calibration_id")
 
 
 @query("export_summary", f"WITH @samples, x AS (SELECT channel, count(*) n FROM samples WHERE {_RANGE} GROUP BY channel) SELECT CAST(r.c AS BIGINT) channel, CAST(coalesce(x.n, 0) AS BIGINT) n_rows, x.n IS NULL AS missing FROM (VALUES (0), (1), (2), (99)) r(c) LEFT JOIN x ON x.channel = r.c")
@@ -199,7 +196,7 @@ def next_part_index(spark, sf):
     return archive.next_part_index(d, "dir", "name").where("next_index > 0")
 
 
-@query("export_day_plan", "SELECT user_id, CAST(strftime(ts + to_days(CAST(u.d AS INTEGER)), '%Y-%m-%d') AS VARCHAR) AS \"day\" FROM events, unnest(range(3)) u(d) WHERE event_id % 10 = 0")
+@query("export_day_plan", "SELECT user_id, CAST(strftime(ts + to_days(CAST(u.d AS INTEGER)), '%Y-%m-%d') AS VARCHAR) AS \"day\" FROM events, unnest(range(3)) u(d)")
 def export_day_plan(spark, sf):
     d = table(spark, sf, "events").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("a"))
     return export.day_plan(d, F.col("a"), F.col("a") + 2 * 86_400_000_000_000).select("user_id", F.col("day").cast("string").alias("day"))

@@ -48,9 +48,9 @@ def scan_reject_nonfinite(spark, sf):
     return scans(spark, sf).withColumn("values", v).where((F.size("values") > 0) & F.forall("values", ops.finite)).select("sequence")
 
 
-@query("sample_interval", "SELECT event_id, CASE WHEN value > 0 THEN CAST(round(1e9 / round(value * 100, 2)) AS BIGINT) END interval_ns FROM (SELECT event_id, value FROM events WHERE value IS NOT NULL AND round(value * 100, 2) <> 0)")
+@query("sample_interval", "SELECT event_id, CASE WHEN value > 0 THEN CAST(round(1e9 / round(value * 100, 2)) AS BIGINT) END interval_ns FROM events")
 def sample_interval(spark, sf):
-    return table(spark, sf, "events").where("value is not null and round(value * 100, 2) <> 0").select("event_id", ops.sample_interval_ns(F.round(F.col("value") * 100, 2)).alias("interval_ns"))
+    return table(spark, sf, "events").select("event_id", ops.sample_interval_ns(F.round(F.col("value") * 100, 2)).alias("interval_ns"))
 
 
 @query("stream_clock", f"""WITH @scans, c AS (SELECT channel, sequence o, 10 + sequence % 5 n FROM scans WHERE sequence % 13 <> 0)
@@ -188,13 +188,13 @@ _BOX = "CASE WHEN event_id % 3 = 0 THEN 'Box ' || (user_id % 5) WHEN event_id %
 def _subject_columns(spark, sf):
     e = table(spark, sf, "events")
     box = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Box "), (F.col("user_id") % 5).cast("string"))).when(F.col("event_id") % 3 == 1, F.lit(""))
-    return e.select("event_id", F.when(F.col("event_id") % 2 == 0, "avenabox").otherwise("avenars").alias("subject"), box.alias("box"), F.lit(None).cast("string").alias("source"), F.col("event_type").alias("name"), F.col("user_id").alias("asset"), (F.col("user_id") % 14).alias("channel"))
+    return e.select("event_id", F.when(F.col("event_id") % 2 == 0, "plantbox").otherwise("plant").alias("subject"), box.alias("box"), F.lit(None).cast("string").alias("source"), F.col("event_type").alias("name"), F.col("user_id").alias("asset"), (F.col("user_id") % 14).alias("channel"))
 
 
 _PAD2 = "lpad(CAST(user_id % 14 AS VARCHAR), 2, '0')"
 _PAD3 = "CASE WHEN user_id < 100 THEN lpad(CAST(user_id AS VARCHAR), 3, '0') ELSE CAST(user_id AS VARCHAR) END"
 _V1 = "(event_id % 2 = 1 OR event_id % 3 = 0)"
-_SUBJ = "CASE WHEN event_id % 2 = 0 THEN 'avenabox' ELSE 'avenars' END"
+_SUBJ = "CASE WHEN event_id % 2 = 0 THEN 'plantbox' ELSE 'plant' END"
 _BOXT = "CASE WHEN event_id % 3 = 0 THEN 'box-' || (user_id % 5) ELSE 'unknown-box' END"
 
 
@@ -214,8 +214,8 @@ def subject_pattern(spark, sf):
 @query("subject_compatible", "SELECT event_id, event_id % 3 <> 2 AS ok FROM events")
 def subject_compatible(spark, sf):
     i = F.col("event_id")
-    existing = F.when(i % 3 == 0, "avenabox.*.data.*").when(i % 3 == 1, F.concat(F.lit("avenabox."), i.cast("string"), F.lit(".data.*"))).otherwise("other.1.data.*")
-    return table(spark, sf, "events").select("event_id", keys.compatible(existing, F.lit("avenabox.*.data.*")).alias("ok"))
+    existing = F.when(i % 3 == 0, "plantbox.*.data.*").when(i % 3 == 1, F.concat(F.lit("plantbox."), i.cast("string"), F.lit(".data.*"))).otherwise("other.1.data.*")
+    return table(spark, sf, "events").select("event_id", keys.compatible(existing, F.lit("plantbox.*.data.*")).alias("ok"))
 
 
 @query("subject_parse", f"SELECT event_id, 'ch' || {_PAD2} AS channel FROM events")
@@ -258,5 +258,4 @@ def format_lag(spark, sf):
 
 @query("lag_latency", "SELECT event_id, greatest(0, event_id % 7 - 3) * 1000 AS latency_ms FROM events")
 def lag_latency(spark, sf):
-    received, source = F.col("event_id") % 7, F.lit(3)
-    return table(spark, sf, "events").select("event_id", (F.greatest(F.lit(0), received - source) * 1000).cast("bigint").alias("latency_ms"))
+    return table(spark, sf, "events").select("event_id", keys.latency_ms((F.col("event_id") % 7) * 1_000_000_000, F.lit(3_000_000_000)).alias("latency_ms"))

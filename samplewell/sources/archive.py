@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from samplewell.functions import timefmt
+from samplewell.operators import calibrate
+from samplewell.sources import folders
 
 #: Fixed value: the old layout, assetNNN/YYYY-MM-DD/chNN/part-NNNN.parquet.
 OLD_PATH = r"asset(\d+)/(\d{4}-\d{2}-\d{2})/ch(\d+)/part-(\d+)\.parquet$"
+#: Footers that are read at once.
+FOOTER_READERS = 32
 
 
 def with_date(samples: DataFrame, time: str = "timestamp_unix_ns") -> DataFrame:
@@ -38,9 +43,10 @@ def range_scan(archive: DataFrame, asset: int, channels: list[int], start_ns: in
 def read_old_layout(spark: SparkSession, root: str, asset: int, channels: list[int], days: list[str]) -> DataFrame:
     """Files of the old layout for the given channels and days (missing directories are skipped); asset, date and channel come from the path."""
     jvm = spark.sparkContext._jvm
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    paths = [f"{root}/asset{asset:03d}/{d}/ch{c:02d}" for c in sorted(set(channels)) for d in days]
-    found = [p for p in paths if jvm.org.apache.hadoop.fs.Path(p).getFileSystem(hadoop).exists(jvm.org.apache.hadoop.fs.Path(p))]
+    # One pattern, so that the file system lists the directories of the days and channels that exist.
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{root}/asset{asset:03d}/{{{','.join(days)}}}/{{{','.join(f'ch{c:02d}' for c in sorted(set(channels)))}}}")
+    listed = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) if days and channels else None
+    found = [s.getPath().toString() for s in listed or []]
     schema = "timestamp_unix_ns bigint, value double"
     if not found:
         return spark.createDataFrame([], schema + ", asset bigint, date date, channel bigint, file string")
@@ -53,19 +59,40 @@ def footer_calibrations(spark: SparkSession, files: list[str]) -> DataFrame:
     """(file, spec JSON) from the `calibration` entry of each file's footer, through Hadoop's file system; absent or invalid means identity."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    rows = []
-    for f in files:  # one footer a file: the caller's request bounds the list
-        text = None
+
+    def spec(f: str) -> str:
         try:
             source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(f), conf)
             reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
-            text = reader.getFileMetaData().getKeyValueMetaData().get("calibration")
-            reader.close()
+            try:
+                text = reader.getFileMetaData().getKeyValueMetaData().get("calibration")
+            finally:
+                reader.close()
             json.loads(text)
+            return text
         except Exception:  # unreadable footer, no entry, or no JSON: identity, as for files without calibration
-            text = None
-        rows.append((f, text or '{"type":"identity"}'))
-    return spark.createDataFrame(rows, "file string, spec string")
+            return '{"type":"identity"}'
+
+    with ThreadPoolExecutor(FOOTER_READERS) as pool:  # a few kB a file: the request bounds the list
+        return spark.createDataFrame(list(zip(files, pool.map(spec, files))), "file string, spec string")
+
+
+def write_calibrated(samples: DataFrame, intervals: DataFrame, path: str, mode: str = "append") -> None:
+    """The archive with column `calibration`: the JSON of the spec in effect at each sample's time (identity where there is none).
+
+    intervals: as calibrate.as_of takes them. A change of calibration begins a new file: files have one spec each, whose hash is the last partition column, spec_key.
+    """
+    d = calibrate.as_of(samples, intervals)
+    d = with_date(d.withColumn("calibration", F.coalesce(F.to_json("spec"), F.lit('{"type":"identity"}'))).drop("spec")).withColumn("spec_key", F.concat(F.lit("s"), F.hex(F.xxhash64("calibration"))))
+    by = ["asset", "date", "channel", "spec_key"]
+    d.repartition(*by).sortWithinPartitions(*by, "timestamp_unix_ns").write.mode(mode).partitionBy(*by).parquet(path)
+
+
+def calibrated(rows: DataFrame) -> DataFrame:
+    """Rows of such an archive with calibrated_value and calibration_id, by the spec beside each sample."""
+    spec = F.from_json("calibration", calibrate.SPEC)
+    d = rows.withColumn("_spec", spec)
+    return d.withColumn("calibrated_value", calibrate.apply(F.col("value"), F.col("_spec"))).withColumn("calibration_id", F.coalesce("_spec.id", F.lit("identity"))).drop("_spec")
 
 
 def next_part_index(files: DataFrame, directory: str, name: str) -> DataFrame:
@@ -74,18 +101,10 @@ def next_part_index(files: DataFrame, directory: str, name: str) -> DataFrame:
     return files.groupBy(directory).agg((F.coalesce(F.max(n), F.lit(-1)) + 1).alias("next_index"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; one of our own only where none is set."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if not named and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir("/tmp/checkpoints/samplewell")
-    return named or sc.getCheckpointDir()
-
-
 def roundtrip(samples: DataFrame) -> DataFrame:
     """Write to a new archive in the shared folder and read it back."""
     spark = samples.sparkSession
-    path = f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
+    path = f"{folders.shared_folder(spark)}/archive-{uuid.uuid4().hex}"
+    folders.delete_at_exit(spark, path)
     write(samples.select("asset", "channel", "timestamp_unix_ns", "value"), path)
     return read(spark, path)

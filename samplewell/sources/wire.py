@@ -20,7 +20,7 @@ _NAMES = ["first_sample_unix_ns", "sample_interval_ns", "actual_scan_rate_hz", "
 
 
 def decode(data: bytes | None) -> tuple | None:
-    """The five fields, or None if the bytes are no such message or a time passes the greatest BIGINT. An absent vector is None."""
+    """The five fields (values as a numpy view of the bytes), or None if the bytes are no such message or a time passes the greatest BIGINT. An absent vector is None."""
     if not data:
         return None
     try:
@@ -47,12 +47,20 @@ def decode(data: bytes | None) -> tuple | None:
             n = struct.unpack_from("<I", data, start)[0]
             if start + 4 + 8 * n > len(data):
                 return None
-            values = np.frombuffer(data, "<f8", n, start + 4).tolist()
+            values = np.frombuffer(data, "<f8", n, start + 4)
         return first, interval, rate, sequence, values
     except struct.error:
         return None
 
 
+def _lists(arrays: list) -> pa.ListArray:
+    """A list column over one buffer of all values; None gives null."""
+    ends = np.cumsum([0, *[0 if a is None else len(a) for a in arrays]])
+    offsets = pa.array([None if k < len(arrays) and arrays[k] is None else int(e) for k, e in enumerate(ends)], pa.int32())
+    own = [a for a in arrays if a is not None]
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(own) if own else np.empty(0), pa.float64()))
+
+
 def encode(first: int, interval: int, rate: float, sequence: int, values) -> bytes:
     """A message with all five fields."""
     v = np.asarray(values, "<f8")
@@ -74,7 +82,7 @@ def decode_messages(df: DataFrame, payload: str = "payload") -> DataFrame:
             found = [decode(x) for x in b.column(payload).to_pylist()]
             ok = pa.array([f is not None for f in found])
             rows = [f for f in found if f is not None]
-            fields = [pa.array([r[k] for r in rows], type=t) for k, t in enumerate(_ARROW)]
+            fields = [pa.array([r[k] for r in rows], type=t) for k, t in enumerate(_ARROW[:4])] + [_lists([r[4] for r in rows])]
             yield pa.RecordBatch.from_arrays([b.column(c).filter(ok) for c in keep] + fields, names=keep + _NAMES)
 
     return df.mapInArrow(run, schema)

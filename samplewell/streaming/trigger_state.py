@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -21,18 +22,19 @@ OUTPUT = "channel bigint, trigger_ns bigint, value double"
 def step(state: tuple, times, values, threshold: float, rising: bool, pre: int, post: int, single: bool) -> tuple[tuple, list[tuple[int, float]]]:
     """(first, last, seen, trigger) after the samples, in order of time, and the triggers among them."""
     first, last, seen, trigger = state
+    times, values = np.asarray(times, np.int64), np.asarray(values, float)
+    if not len(times):
+        return state, []
+    first = int(times[0]) if first is None else first
+    before = np.r_[np.nan if last is None else last, values[:-1]]
+    crossed = (before <= threshold) & (values > threshold) if rising else (before >= threshold) & (values < threshold)
     out = []
-    for t, v in zip(times, values):
-        t, v = int(t), float(v)
-        if first is None:
-            first = t
-        crossed = last is not None and (last <= threshold < v if rising else last >= threshold > v)
-        free = trigger is None or (not single and t >= trigger + post)
-        if crossed and free and seen >= 1 and t - first >= pre:
+    for k in np.flatnonzero(crossed & (times - first >= pre)):  # crossings only; a first sample has none before it
+        t = int(times[k])
+        if trigger is None or (not single and t >= trigger + post):
             trigger = t
-            out.append((t, v))
-        last, seen = v, min(2, seen + 1)
-    return (first, last, seen, trigger), out
+            out.append((t, float(values[k])))
+    return (first, float(values[-1]), min(2, seen + len(times)), trigger), out
 
 
 def triggers(stream: DataFrame, threshold: float, rising: bool = True, pre: int = 0, post: int = 0, single: bool = False) -> DataFrame:

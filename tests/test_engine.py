@@ -28,8 +28,8 @@ def test_interval_clock_and_reset(spark):
 
 def test_subjects_and_addresses(spark):
     s = lambda a, b, c, d, e, f: keys.channel_subject(F.lit(a), F.lit(b), F.lit(c), F.lit(d).cast("string"), F.lit(e).cast("string"), F.lit(f))
-    assert one(spark, s("avenabox", 1456, 11, None, None, "x"))[0] == "avenabox.1456.data.ch11"
-    assert one(spark, s("avenars", 1456, 11, "i69-mu1", None, "i69-lj2"))[0] == "avenars.v1.i69-mu1.i69-lj2.ch11"
+    assert one(spark, s("plantbox", 1456, 11, None, None, "x"))[0] == "plantbox.1456.data.ch11"
+    assert one(spark, s("plant", 1456, 11, "i69-mu1", None, "i69-lj2"))[0] == "plant.v1.i69-mu1.i69-lj2.ch11"
     assert one(spark, keys.ipv4(F.lit(-1062731418)), keys.ipv4(F.lit(0)))[:] == ("192.168.1.102", None)
     assert one(spark, keys.sanitize(F.lit(" A..b/c é")), keys.sanitize(F.lit("--")), keys.sanitize(F.lit("Load Cell.A")))[:] == ("a--b-c", "unknown", "load-cell-a")
 

@@ -13,6 +13,6 @@ def duck():
     return connection(SF)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, duck, name):
     assert difference(QUERIES[name](spark, SF), duck.sql(ORACLES[name])) is None
