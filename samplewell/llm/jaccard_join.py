@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from samplewell.llm.graph import components
-from samplewell.llm.shared import cut, map_columns, spread_join
+from samplewell.llm.shared import cut, map_columns, spread_join, tidy
 from samplewell.llm.textkit import WordHashes, shingles
 
 #: The pool's part of the token hash space is so many times the part of a set that its prefix takes.
@@ -237,6 +237,7 @@ def jaccard_components(df: DataFrame, size: int = 3, num: int = 90, den: int = 1
     with_tokens = listed.where("tokens is not null").groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     reps = cut(with_tokens.select("sig", "id", "n", F.size("tokens").cast("bigint").alias("pool"), "tokens"))
     found = prefixes(reps, texts, size, num, den, edge)
+    tidy(df.sparkSession)
 
     postings = found.select("sig", "n", F.explode("first").alias("token"))
     sizes = cut(postings.groupBy("token").agg(F.count("*").alias("size")).where("size >= 2"))

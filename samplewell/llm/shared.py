@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -13,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from samplewell.sources.folders import delete, delete_at_exit, shared_folder
+
 #: Joins: the most keys that count as hot, the least rows of a hot key, tasks for each.
 HOT_KEYS, LEAST_HOT, SALTS = 2000, 256, 64
 #: Bytes of a Parquet row group: what a writing task holds.
@@ -42,17 +46,6 @@ def ship(spark: SparkSession) -> None:
     sc._samplewell_shipped = sc.applicationId
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; one of our own only where none is set and all runs on this machine, as in tests."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if not named and sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir("/tmp/checkpoints/samplewell")
-    return named or sc.getCheckpointDir()
-
-
 #: Folders of the tables written so far, for release().
 _written: list[str] = []
 
@@ -61,6 +54,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage by a Parquet table in the shared folder: later reads take the columns they need, a lost executor costs its own tasks only, and release() can delete it."""
     folder = f"{shared_folder(df.sparkSession)}/samplewell-{uuid.uuid4().hex}"
     _written.append(folder)
+    delete_at_exit(df.sparkSession, folder)
     write(df, folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
@@ -76,14 +70,16 @@ def mark() -> int:
 
 
 def release(spark: SparkSession, since: int) -> None:
-    """Delete the tables written since mark(), whose results have been written elsewhere."""
+    """Delete the tables written since mark(), whose results have been written elsewhere, and the shuffle files of the jobs that are over."""
     while len(_written) > since:
         delete(spark, _written.pop())
+    tidy(spark)
 
 
-def delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete shuffle files that nothing refers to any more: it learns of them when the driver collects garbage, else every half hour."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], size: str, how: str = "inner") -> DataFrame:
@@ -99,6 +95,16 @@ def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], size: str, h
     return salted.join(keyed.withColumn("_salt", F.explode(copies)), [*keys, "_salt"], how).drop("_salt")
 
 
+def _returned(batches):
+    """The batches; after the last, memory that a task has freed goes back to the system, since idle workers stay alive."""
+    yield from batches
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def map_columns(df: DataFrame, fn, schema: str, start=None) -> DataFrame:
     """Arrow map: fn(state, *columns as Python lists) -> list of output columns.
 
@@ -121,7 +127,7 @@ def map_columns(df: DataFrame, fn, schema: str, start=None) -> DataFrame:
                 out = fn(state, *[c.to_pylist() for c in part.columns])
                 yield pa.RecordBatch.from_arrays([pa.array(v, type=k) for v, k in zip(out, kinds)], names=names)
 
-    return df.mapInArrow(run, spark_schema)
+    return df.mapInArrow(lambda batches: _returned(run(batches)), spark_schema)
 
 
 def filter_rows(df: DataFrame, fn, column: str, start=None) -> DataFrame:
@@ -139,4 +145,4 @@ def filter_rows(df: DataFrame, fn, column: str, start=None) -> DataFrame:
                 part = batch.slice(i, rows)
                 yield part.filter(pa.array(fn(state, part.column(at).to_pylist()), type=pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lambda batches: _returned(run(batches)), df.schema)

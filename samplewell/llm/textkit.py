@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Entries of a worker's word table; it starts anew beyond that.
-WORD_TABLE = 250_000
+WORD_TABLE = 100_000
 
 
 class WordHashes(dict):
