@@ -14,11 +14,12 @@ shingle is its number of occurrences: sum of the lesser counts over sum of the g
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from samplewell.llm.shared import cut
+from samplewell.llm.shared import cut, once
 
 #: Words in a shingle, least similarity, Hamming radius, blocks of the fingerprint.
 WORDS, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 19, 5
@@ -36,8 +37,8 @@ def _word_hashes(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.xxhash64(w))
 
 
-def _shingles(words: str, size: int) -> Column:
-    """All shingles of `size` words, in order, as hashes; words: a column of word hashes that is already computed."""
+def _shingles(words: Column, size: int) -> Column:
+    """All shingles of `size` words, in order, as hashes; words: word hashes that are already computed."""
     n = F.size(words)
     at = F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(F.lit(size), *[F.get(words, i + k) for k in range(size)]))
     return F.when(n >= size, at).otherwise(F.array().cast("array<bigint>"))
@@ -65,6 +66,11 @@ def _values(near: int) -> Column:
     return F.concat(*[values(k, *place) for k, place in enumerate(PLACES)])
 
 
+def _near() -> int:
+    """Index rows of an item."""
+    return sum(comb(width, r) for _, width in PLACES for r in range(RADIUS // BLOCKS + 1))
+
+
 def _first_block(x: str) -> Column:
     """The first block in which two fingerprints are near enough; x: their exclusive or."""
     return F.coalesce(*[F.when(F.bit_count(F.expr(_block(x, at, width))) <= RADIUS // BLOCKS, F.lit(k)) for k, (at, width) in enumerate(PLACES)])
@@ -79,9 +85,12 @@ def _shared(item: str, window: str) -> Column:
 
 def items_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """(item_id, size, m, shingles, fingerprint) of every item that has words."""
-    rows = cut(benchmark.select(F.col(id_col).cast("bigint").alias("item_id"), _word_hashes(F.col(text_col)).alias("w")).where("size(w) > 0"))
-    shingled = F.coalesce(*[F.when(F.least(F.size("w"), F.lit(words)) == k, _shingles("w", k)) for k in range(1, words + 1)])
-    rows = cut(rows.select("item_id", F.least(F.size("w"), F.lit(words)).alias("size"), shingled.alias("shingles")).distinct())
+    def sized(w: Column) -> Column:
+        size = F.least(F.size(w), F.lit(words))
+        return F.struct(size.alias("size"), F.coalesce(*[F.when(size == k, _shingles(w, k)) for k in range(1, words + 1)]).alias("shingles"))
+
+    rows = benchmark.select(F.col(id_col).cast("bigint").alias("item_id"), once(_word_hashes(F.col(text_col)), sized).alias("x")).select("item_id", "x.size", "x.shingles").where("size > 0")
+    rows = rows.distinct()
     return cut(rows.select("item_id", "size", F.size("shingles").alias("m"), "shingles", _simhash("shingles").alias("fingerprint")))
 
 
@@ -94,25 +103,26 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
     """
     items = items_of(benchmark, words=words)
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
-    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most `words`
+    totals = items.groupBy("size").agg(F.count("*").alias("items"), F.sum("m").alias("shingles")).collect()  # at most `words` rows
+    sizes = sorted(r["size"] for r in totals)
     if sizes:
-        windows = _windows(docs, _dense_starts(docs, items, sizes, similarity), sizes)
-        found = _matches(windows, items, similarity)
+        dense = _dense_starts(docs, items, sizes, similarity, sum(r["shingles"] for r in totals) <= BROADCAST_SHINGLES)
+        found = _matches(_windows(docs, dense, sizes), items, similarity, sum(r["items"] for r in totals))
     else:
         found = df.sparkSession.createDataFrame([], "id bigint, item_id bigint, similarity double, start int")
     best = F.max_by(F.struct("similarity", "start"), F.struct(F.col("similarity"), -F.col("start")))
     return found.groupBy("id", "item_id").agg(best.alias("b")).select(F.col("id").alias(id_col), "item_id", F.round("b.similarity", 6).alias("similarity"), F.col("b.start").cast("bigint").alias("start_word"))
 
 
-def _dense_starts(docs: DataFrame, items: DataFrame, sizes: list[int], similarity: float) -> DataFrame:
+def _dense_starts(docs: DataFrame, items: DataFrame, sizes: list[int], similarity: float, few: bool) -> DataFrame:
     """(id, t, windows): the (size, m, start) of all windows of each text that hold enough shingles of the benchmark; t: a hash of the text."""
-    known = cut(items.select(F.explode("shingles").alias("h"), "size", "m").distinct())
-    hashed = docs.select("id", "t", _word_hashes(F.col("text")).alias("w"))
-    listed = F.flatten(F.array(*[F.transform(_shingles("w", k), lambda h, i: F.struct(i.alias("p"), h.alias("h"))) for k in sizes]))
-    hashed = hashed.select("id", "t", F.size("w").alias("words"), listed.alias("s"))  # before it is exploded: what lies beside it is copied for each shingle
+    known = items.select(F.explode("shingles").alias("h"), "size", "m").distinct()
+    listed = lambda w: F.flatten(F.array(*[F.transform(_shingles(w, k), lambda h, i: F.struct(i.alias("p"), h.alias("h"))) for k in sizes]))
+    hashed = docs.select("id", "t", once(_word_hashes(F.col("text")), lambda w: F.struct(F.size(w).alias("words"), listed(w).alias("s"))).alias("x"))
+    hashed = hashed.select("id", "t", "x.words", "x.s")  # before it is exploded: what lies beside it is copied for each shingle
     # The outer form and no filter before it: pushed down, one would compute the words anew for each shingle.
     at = hashed.select("id", "t", "words", F.explode_outer("s").alias("s")).select("id", "t", "words", "s.p", "s.h")
-    if known.count() <= BROADCAST_SHINGLES:
+    if few:
         hits = at.join(F.broadcast(known), "h")
     else:
         hits = at.withColumn("salt", F.pmod(F.xxhash64("id", "p"), F.lit(SALTS)).cast("int")).join(known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["h", "salt"])
@@ -131,19 +141,17 @@ def _windows(docs: DataFrame, dense: DataFrame, sizes: list[int]) -> DataFrame:
     """(id, m, size, start, window, fingerprint) of the dense windows."""
     same = docs["id"].eqNullSafe(dense["id"]) & (docs["t"] == dense["t"])
     rows = docs.join(F.broadcast(dense) if dense.count() <= BROADCAST_ROWS else dense, same).select(docs["id"], "text", "windows")
-    rows = cut(rows.select("id", _word_hashes(F.col("text")).alias("w"), "windows"))
-    rows = cut(rows.select("id", F.array(*[_shingles("w", k) for k in sizes]).alias("s"), "windows"))  # written, or the shingles would be made anew for each window
+    shingled = once(_word_hashes(F.col("text")), lambda w: F.array(*[_shingles(w, k) for k in sizes]))
+    rows = cut(rows.select("id", shingled.alias("s"), "windows"))  # written, or the shingles would be made anew for each window
     rows = rows.select("id", "s", F.explode("windows").alias("x"))
     size = F.coalesce(*[F.when(F.col("x.size") == k, F.lit(j)) for j, k in enumerate(sizes)])
     rows = rows.select("id", "x.size", "x.m", "x.start", F.slice(F.get("s", size), F.col("x.start") + 1, F.col("x.m")).alias("window")).distinct()
-    rows = cut(rows)
     return cut(rows.withColumn("fingerprint", _simhash("window")))
 
 
-def _matches(windows: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
+def _matches(windows: DataFrame, items: DataFrame, similarity: float, n: int) -> DataFrame:
     index = items.select("item_id", "size", "m", F.col("fingerprint").alias("own"), F.explode(_values(RADIUS // BLOCKS)).alias("b")).select("item_id", "size", "m", "own", "b.block", "b.value")
-    index = cut(index)
-    index = F.broadcast(index) if index.count() <= BROADCAST_INDEX else index
+    index = F.broadcast(index) if n * _near() <= BROADCAST_INDEX else index
     keyed = windows.withColumn("b", F.explode(_values(0))).select("id", "size", "m", "start", "window", "fingerprint", "b.block", "b.value")
     pairs = keyed.join(index, ["size", "m", "block", "value"]).withColumn("x", F.expr("fingerprint ^ own")).where((F.bit_count("x") <= RADIUS) & (_first_block("x") == F.col("block")))
     texts = items.select("item_id", "size", "shingles", F.col("fingerprint").alias("own"), F.col("m"))

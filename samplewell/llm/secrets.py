@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from samplewell.llm.shared import cut
+from samplewell.llm.shared import cut, once
 
 #: The patterns of the base kinds and their least lengths, in the order in which kinds are listed.
 BASE = (
@@ -29,15 +29,12 @@ KINDS = (*[k[0] for k in BASE], GENERIC[0])
 LIVE_OWNERS, LIVE_REPOSITORIES = 2, 8
 #: Values with more rows than this are joined through so many salts.
 HOT_ROWS, SALTS = 10_000, 64
+#: Live spans up to so many (some 20 MB) are broadcast to the rows; more are joined by a shuffle.
+BROADCAST_SPANS = 500_000
 #: Items of a chunk of a running sum; code points of a piece of a text that is masked.
 CHUNK, PIECE = 128, 4096
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with value computed once."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _before(values: Column, start: Column, add) -> Column:
     """For each of an array's numbers, what `add` makes of start and those before it; in chunks of CHUNK, so that no fold is long."""
     fold = lambda array: F.aggregate(array, start, add)
@@ -46,9 +43,9 @@ def _before(values: Column, start: Column, add) -> Column:
         chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / CHUNK).cast("int")), lambda c: fold(F.slice(v, c * CHUNK + 1, F.lit(CHUNK))))
         heads = lambda sums: F.transform(sums, lambda _, c: fold(F.slice(sums, F.lit(1), c)))
         each = lambda h: F.transform(v, lambda _, i: add(F.get(h, F.floor(i / CHUNK).cast("int")), fold(F.slice(v, (F.floor(i / CHUNK) * CHUNK + 1).cast("int"), i % CHUNK))))
-        return _let(chunks, lambda sums: _let(heads(sums), each))
+        return once(chunks, lambda sums: once(heads(sums), each))
 
-    return F.when(F.size(values) > 0, _let(values, within)).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.size(values) > 0, once(values, within)).otherwise(F.array().cast("array<bigint>"))
 
 
 def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
@@ -68,8 +65,8 @@ def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Col
     def span(piece: Column, start: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.char_length(piece["m"])).alias("end"), piece["v"].alias("value"))
 
-    pieces = _let(whole, lambda m: F.arrays_zip(m.alias("m"), F.slice(gaps, F.lit(1), F.size(m)).alias("g"), (value if group else m).alias("v")))
-    kept = F.filter(_let(pieces, placed), lambda s: F.char_length(s["value"]) >= least)
+    pieces = once(whole, lambda m: F.arrays_zip(m.alias("m"), F.slice(gaps, F.lit(1), F.size(m)).alias("g"), (value if group else m).alias("v")))
+    kept = F.filter(once(pieces, placed), lambda s: F.char_length(s["value"]) >= least)
     return F.when(F.regexp_count(text, F.lit(pattern)) > 0, kept).otherwise(F.array().cast(struct))
 
 
@@ -85,7 +82,7 @@ def _outside(more: Column, base: Column) -> Column:
         kept = F.filter(F.arrays_zip(events.alias("e"), before.alias("b"), after.alias("a")), lambda x: x["e"]["own"] & (x["b"] <= x["e"]["start"]) & (x["a"] >= x["e"]["end"]))
         return F.transform(kept, lambda x: F.struct(F.lit(GENERIC[0]).alias("kind"), x["e"]["start"].alias("start"), x["e"]["end"].alias("end"), x["e"]["value"].alias("value")))
 
-    return F.when((F.size(more) > 0) & (F.size(base) > 0), _let(F.array_sort(F.concat(F.transform(more, mark(True)), F.transform(base, mark(False)))), free)).otherwise(more)
+    return F.when((F.size(more) > 0) & (F.size(base) > 0), once(F.array_sort(F.concat(F.transform(more, mark(True)), F.transform(base, mark(False)))), free)).otherwise(more)
 
 
 def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None) -> DataFrame:
@@ -175,7 +172,9 @@ def mask(df: DataFrame, text_col: str = "text", owner_col: str = "source", repo_
     found = cut(candidates(rows, row, text_col, owner_col, repo_col))
     spans = judged(found, repo_col is not None).where("live").groupBy(F.col("id").alias(row)).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(_unused(df, "spans")))
     spans = cut(spans)
-    joined, at = rows.join(F.broadcast(spans) if _few(spans) else spans, row, "left"), F.col(spans.columns[1])
+    at = F.col(spans.columns[1])
+    total = spans.agg(F.sum(F.size(at))).first()[0] or 0
+    joined = rows.join(F.broadcast(spans) if total <= BROADCAST_SPANS else spans, row, "left")
 
     def piece(k: Column) -> Column:
         """The k-th piece of the text with its part of the spans. They are sorted by start and may overlap: only what lies after the last masked place is added."""
@@ -192,7 +191,7 @@ def mask(df: DataFrame, text_col: str = "text", owner_col: str = "source", repo_
             rest = lambda s: F.concat(s["out"], F.substr(t, (s["at"] + 1).cast("int"), F.char_length(t)))
             return F.aggregate(here, F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")), add, rest)
 
-        return _let(text, cover)
+        return once(text, cover)
 
     pieces = F.transform(F.sequence(F.lit(0).cast("bigint"), F.floor((F.char_length(text_col) - 1) / PIECE)), piece)
     masked = F.when(at.isNotNull() & (F.char_length(text_col) > 0), F.array_join(pieces, "")).otherwise(F.col(text_col))

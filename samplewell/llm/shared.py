@@ -11,7 +11,7 @@ import zipfile
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,6 +95,11 @@ def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], size: str, h
     return salted.join(keyed.withColumn("_salt", F.explode(copies)), [*keys, "_salt"], how).drop("_salt")
 
 
+def once(value: Column, body) -> Column:
+    """body(value), with value computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _returned(batches):
     """The batches; after the last, memory that a task has freed goes back to the system, since idle workers stay alive."""
     yield from batches
