@@ -106,11 +106,11 @@ class Vocabulary:
 _built: dict = {}
 
 
-def once(kind, raw: bytes):
-    """kind(raw), made once for each worker process."""
+def once(kind, raw: bytes, *more):
+    """kind(raw, ...), made once for each worker process; what else it takes follows from raw."""
     key = kind.__name__, zlib.crc32(raw)
     if key not in _built:
-        _built[key] = kind(raw)
+        _built[key] = kind(raw, *more)
     return _built[key]
 
 

@@ -1,7 +1,7 @@
 """Token counts by the whole-token shortcut.
 
-Offline, each vocabulary string is encoded by itself; those that are one pre-token and come back as their own single
-token are proved whole. A pre-token that equals one of them counts 1 without any merging; only the rest is merged.
+Offline, once, on the driver, each vocabulary string is encoded by itself; those that are one pre-token and come back as their own single
+token are proved whole. A pre-token that equals one of them counts 1 without any merging; only the rest is merged. The proved strings (less than the vocabulary, some 600 kB) are broadcast.
 """
 
 from __future__ import annotations
@@ -13,9 +13,9 @@ from samplewell.llm.bpe import Memo, Vocabulary, chunks, default_path, once, pre
 
 
 class Counter:
-    def __init__(self, raw: bytes):
+    def __init__(self, raw: bytes, whole: frozenset[str] | None = None):
         v = self.vocabulary = once(Vocabulary, raw)
-        self.whole = prove_whole(v)
+        self.whole = prove_whole(v) if whole is None else whole
         self.words, self.chunk = Memo(self._merged), Memo(self._chunk)
 
     def _merged(self, word: str) -> int:
@@ -54,10 +54,11 @@ def token_counts(df: DataFrame, path: str | None = None, limit: int = 1024, id_c
     Special strings inside a text count as their one special token, as the library does by default.
     """
     with open(path or default_path(), "rb") as f:
-        raw = df.sparkSession.sparkContext.broadcast(f.read())
+        raw = f.read()
+    table = df.sparkSession.sparkContext.broadcast((raw, prove_whole(once(Vocabulary, raw))))
 
     def run(counter, keys, texts):
         n = [counter.count(t) if t else 0 for t in texts]
         return [keys, [len(t.encode()) if t else 0 for t in texts], n, [x > limit for x in n]]
 
-    return shared.map_columns(df.select(df[id_col].cast("bigint"), df[text_col]), run, f"{id_col} bigint, n_bytes bigint, n_tokens bigint, over_limit boolean", lambda: once(Counter, raw.value))
+    return shared.map_columns(df.select(df[id_col].cast("bigint"), df[text_col]), run, f"{id_col} bigint, n_bytes bigint, n_tokens bigint, over_limit boolean", lambda: once(Counter, *table.value))
