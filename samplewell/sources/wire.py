@@ -20,7 +20,13 @@ _NAMES = ["first_sample_unix_ns", "sample_interval_ns", "actual_scan_rate_hz", "
 
 
 def decode(data: bytes | None) -> tuple | None:
-    """The five fields (values as a numpy view of the bytes), or None if the bytes are no such message or a time passes the greatest BIGINT. An absent vector is None."""
+    """The five fields, or None if the bytes are no such message or a time passes the greatest BIGINT. An absent vector is None."""
+    found = _fields(data)
+    return found and (*found[:4], None if found[4] is None else found[4].tolist())
+
+
+def _fields(data: bytes | None) -> tuple | None:
+    """As decode, with the values as a numpy view of the bytes."""
     if not data:
         return None
     try:
@@ -79,7 +85,7 @@ def decode_messages(df: DataFrame, payload: str = "payload") -> DataFrame:
 
     def run(batches):
         for b in batches:
-            found = [decode(x) for x in b.column(payload).to_pylist()]
+            found = [_fields(x) for x in b.column(payload).to_pylist()]
             ok = pa.array([f is not None for f in found])
             rows = [f for f in found if f is not None]
             fields = [pa.array([r[k] for r in rows], type=t) for k, t in enumerate(_ARROW[:4])] + [_lists([r[4] for r in rows])]
