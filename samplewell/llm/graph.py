@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samplewell.llm.shared import cut
+from samplewell.llm.shared import cut, spread_join
+
+#: The links of a node with more of them are spread over tasks; such nodes are broadcast, one for so many links at most.
+HOT_DEGREE = 100_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,10 +21,11 @@ def components(edges: DataFrame) -> DataFrame:
     mark = _mark(star)
     while mark[0]:
         both = star.union(star.select("v", "u")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("size"))
+        large = spread_join(both, least, ["u"], "size", least=HOT_DEGREE).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = cut(large)
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size"))
+        small = spread_join(large, least, ["u"], "size", least=HOT_DEGREE).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).where("u <> v").distinct()
         star = cut(small)
         now = _mark(star)
         if now == mark:

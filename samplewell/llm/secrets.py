@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from samplewell.llm.shared import cut, once
+from samplewell.llm.shared import cut, keyed, mark, once, settle
 
 #: The patterns of the base kinds and their least lengths, in the order in which kinds are listed.
 BASE = (
@@ -168,10 +168,10 @@ def mask(df: DataFrame, text_col: str = "text", owner_col: str = "source", repo_
     null or repeated ids like any other. Rows without secrets and null texts are unchanged; no rows give no rows.
     """
     row = _unused(df, "row")
-    rows = cut(df.withColumn(row, F.monotonically_increasing_id()))
+    rows, since = keyed(df, row), mark()
     found = cut(candidates(rows, row, text_col, owner_col, repo_col))
     spans = judged(found, repo_col is not None).where("live").groupBy(F.col("id").alias(row)).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(_unused(df, "spans")))
-    spans = cut(spans)
+    spans = settle(spans, since)
     at = F.col(spans.columns[1])
     total = spans.agg(F.sum(F.size(at))).first()[0] or 0
     joined = rows.join(F.broadcast(spans) if total <= BROADCAST_SPANS else spans, row, "left")

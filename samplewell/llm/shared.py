@@ -76,22 +76,42 @@ def release(spark: SparkSession, since: int) -> None:
     tidy(spark)
 
 
+def settle(df: DataFrame, since: int) -> DataFrame:
+    """cut(df), after which the other tables written since mark() are deleted: for the one result that a longer computation leaves."""
+    out = cut(df)
+    last = _written.pop()
+    release(df.sparkSession, since)
+    _written.append(last)
+    return out
+
+
+def keyed(df: DataFrame, name: str) -> DataFrame:
+    """df with a key for each row. Rows that come straight from files are numbered as they are read, the same each time; others are written first."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias") and plan.deterministic():
+        plan = plan.children().head()
+    rows = df.withColumn(name, F.monotonically_increasing_id())
+    return rows if plan.nodeName() == "LogicalRelation" else cut(rows)
+
+
 def tidy(spark: SparkSession) -> None:
     """Let Spark's cleaner delete shuffle files that nothing refers to any more: it learns of them when the driver collects garbage, else every half hour."""
     gc.collect()
     spark._jvm.System.gc()
 
 
-def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], size: str, how: str = "inner") -> DataFrame:
+def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], size: str, how: str = "inner", least: int | None = None) -> DataFrame:
     """rows joined with keyed, which has each key once and, in column `size`, how many rows have it: rows of a hot key are spread over SALTS tasks.
 
-    Hot are keys of at least a HOT_KEYS-th of all rows: at most HOT_KEYS keys, which are broadcast. Null keys must not occur in rows.
+    Hot are keys of at least a HOT_KEYS-th of all rows: at most HOT_KEYS keys, which are broadcast; with `least` given, keys of so many rows. Null keys must not occur in rows.
     """
-    total = keyed.agg(F.sum(size)).first()[0] or 0
-    hot = keyed.where(F.col(size) >= max(LEAST_HOT, -(-total // HOT_KEYS))).select(*keys)
+    if least is None:
+        total = keyed.agg(F.sum(size)).first()[0] or 0
+        least = max(LEAST_HOT, -(-total // HOT_KEYS))
+    hot = keyed.where(F.col(size) >= least).select(*keys)
     rest = [c for c in rows.columns if c not in keys]
     salted = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*rest), F.lit(SALTS))).otherwise(0).cast("int")).drop("_hot")
-    copies = F.when(F.col(size) >= max(LEAST_HOT, -(-total // HOT_KEYS)), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copies = F.when(F.col(size) >= least, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     return salted.join(keyed.withColumn("_salt", F.explode(copies)), [*keys, "_salt"], how).drop("_salt")
 
 
