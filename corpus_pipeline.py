@@ -21,14 +21,9 @@ LEAST_SCORE = 0.4
 BROADCAST_ROWS = 2_000_000
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key for each row, written, so that the keys stay."""
-    return shared.cut(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")))
-
-
-def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """rows without those whose keys are listed (one column row)."""
-    gone = shared.cut(gone.distinct())
+def _without(rows: DataFrame, gone: DataFrame, since: int) -> DataFrame:
+    """rows without those whose keys are listed (one column row); what has been written for the list since mark() is deleted."""
+    gone = shared.settle(gone.distinct(), since)
     return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "row", "left_anti").select(*COLUMNS)
 
 
@@ -41,19 +36,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of linked ones (Jaccard of five-word shingles 0.8 or more): that with the least id, null ids last. Rows without words are linked with nothing and stay."""
-    rows = _keyed(docs)
+    rows, since = shared.keyed(docs.select(*COLUMNS), "row"), shared.mark()
     groups = jaccard_join.jaccard_components(rows, size=5, num=80, den=100, id_col="row").where("n_shingles > 0").join(rows.select("row", "doc_id"), "row")
     groups = shared.cut(groups.select("row", "doc_id", "component_id"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     best = groups.groupBy("component_id").agg(first.alias("first"), F.count("*").alias("size")).where("size > 1")
     best = shared.cut(best.select("component_id", F.col("first.row").alias("stays"), "size"))
-    return _without(rows, shared.spread_join(groups, best, ["component_id"], "size").where("row <> stays").select("row"))
+    return _without(rows, shared.spread_join(groups, best, ["component_id"], "size").where("row <> stays").select("row"), since)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text holds no benchmark item; null and empty texts stay."""
-    rows = _keyed(docs)
-    return _without(rows, decontaminate.leaks(rows, shared.read(spark, sf_dir, "benchmark"), id_col="row").select("row"))
+    rows, since = shared.keyed(docs.select(*COLUMNS), "row"), shared.mark()
+    return _without(rows, decontaminate.leaks(rows, shared.read(spark, sf_dir, "benchmark"), id_col="row").select("row"), since)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
