@@ -17,6 +17,23 @@ REQUIRED = (
     "paths.output_dir", "paths.parquet_dir", "paths.exporter_http_url", "labjack.name", "labjack.asset_number", "labjack.max_channels", "labjack.ip", "labjack.serial",
     "labjack.rotate_secs", "labjack.sensor_settings.scans_per_read", "labjack.sensor_settings.scan_rate_hz",
 )
+#: Fields of a device configuration and where an edge box configuration has them.
+OF_BOX = (
+    ("labjack_name", "labjack.name"), ("asset_number", "labjack.asset_number"), ("max_channels", "labjack.max_channels"), ("site_id", "site_id"), ("box_id", "box_id"), ("source_type", "source.type"),
+    ("source_id", "source.id"), ("nats_subject", "nats.root_subject"), ("nats_stream", "nats.stream_name"), ("rotate_secs", "labjack.rotate_secs"), ("sensor_settings", "labjack.sensor_settings"),
+)
+#: Settings of the streamer and of the archiver and where an edge box configuration has them; some have a default.
+STREAMER = (
+    ("NATS_SUBJECT", "nats.root_subject"), ("NATS_SERVERS", "nats.local_servers"), ("JS_DOMAIN", "nats.jetstream_domain"), ("ASSET_NUMBER", "labjack.asset_number"), ("SITE_ID", "site_id"), ("BOX_ID", "box_id"),
+    ("SOURCE_TYPE", "source.type"), ("SOURCE_ID", "source.id"), ("OUTPUT_DIR", "paths.output_dir"), ("NATS_CREDS_FILE", "paths.rust_creds_file"), ("CFG_BUCKET", "nats.kv_bucket"), ("CFG_KEY", "nats.kv_key"),
+    ("CENTRAL_NATS_CREDS_FILE", "paths.rust_creds_file"), ("CENTRAL_CFG_BUCKET", "nats.kv_bucket"), ("CENTRAL_CFG_KEY", "nats.kv_key"), ("LABJACK_IDENTIFIER", "labjack.identifier", ""), ("LABJACK_SERIAL", "labjack.serial"),
+    ("LABJACK_NAME", "labjack.name"), ("LABJACK_IP", "labjack.ip"), ("LABJACK_USB_ID", "labjack.usb_id", "ANY"), ("LABJACK_OPEN_ORDER", "labjack.open_order", "ethernet"), ("EXPORTER_HTTP_URL", "paths.exporter_http_url"),
+    ("STREAM_MAX_BYTES", "nats.stream_max_bytes"),
+)
+ARCHIVER = (
+    ("NATS_SUBJECT", "nats.root_subject"), ("NATS_SERVERS", "nats.local_servers"), ("JS_DOMAIN", "nats.jetstream_domain"), ("SITE_ID", "site_id"), ("BOX_ID", "box_id"), ("SOURCE_TYPE", "source.type"),
+    ("SOURCE_ID", "source.id"), ("NATS_CREDS_FILE", "paths.rust_creds_file"), ("CFG_BUCKET", "nats.kv_bucket"), ("CFG_KEY", "nats.kv_key"), ("PARQUET_DIR", "paths.parquet_dir"),
+)
 
 
 def parse(text: Column) -> Column:
@@ -152,3 +169,36 @@ def cascaded(df: DataFrame, defaults: str, own: str, schema: str) -> DataFrame:
     names = [f.split()[0] for f in schema.split(", ")]
     d = df.withColumn("_own", F.from_json(F.col(own), schema)).withColumn("_default", F.from_json(F.col(defaults), schema))
     return d.select(*[c for c in df.columns if c not in (defaults, own)], *[F.coalesce(F.col(f"_own.{n}"), F.col(f"_default.{n}")).alias(n) for n in names])
+
+
+def device_of_box(text: Column) -> Column:
+    """The device configuration (JSON) that an edge box configuration holds; fields that it lacks are left out."""
+    field = lambda name, path: F.when(F.get_json_object(text, f"$.{path}").isNotNull(), F.concat(F.lit(f'"{name}":'), _json_of(text, path)))
+    return F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*[field(*x) for x in OF_BOX])), ","), F.lit("}"))
+
+
+def _json_of(text: Column, path: str) -> Column:
+    """A value of JSON text as JSON: strings in quotes, the rest as it stands."""
+    value = F.get_json_object(text, f"$.{path}")
+    *outer, last = path.split(".")
+    inside = F.get_json_object(text, "$" + "".join(f".{x}" for x in outer)) if outer else text
+    quoted = F.regexp_extract(inside, rf'"{last}"\s*:\s*(")', 1) == '"'
+    return F.when(quoted, F.concat(F.lit('"'), F.regexp_replace(value, r'(["\\])', r"\\$1"), F.lit('"'))).otherwise(value)
+
+
+def environment(text: Column, names=STREAMER) -> Column:
+    """Map of setting -> text for a service of an edge box; settings that the configuration lacks and that have no default are left out."""
+    entries = [F.struct(F.lit(n).alias("key"), F.coalesce(F.get_json_object(text, f"$.{p}"), *map(F.lit, default)).alias("value")) for n, p, *default in names]
+    return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull()))
+
+
+def central_servers(text: Column) -> Column:
+    """Comma-separated client servers of the centre: as configured (text or list), else the leaf remotes with the client port."""
+    def listed(path: str) -> Column:
+        return F.filter(F.transform(F.from_json(F.get_json_object(text, path), "array<string>"), lambda x: F.trim(x)), lambda x: x != "")
+
+    own, remotes = F.get_json_object(text, "$.nats.central_servers"), listed("$.nats.leaf_remotes")
+    several = F.when(own.startswith("["), F.nullif(F.array_join(listed("$.nats.central_servers"), ","), F.lit("")))
+    one = F.when(~own.startswith("["), F.nullif(F.trim(own), F.lit("")))
+    derived = F.array_join(F.transform(remotes, lambda r: F.regexp_replace(r, ":7422$", ":4222")), ",")
+    return F.coalesce(one, several, derived, F.lit(""))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,6 +88,21 @@ def servers(text: Column) -> Column:
     return F.transform(parts, lambda s: F.regexp_replace(s, ":7422$", ":4222"))
 
 
+def websocket_servers(text: Column, secure: bool = False) -> Column:
+    """Candidates for a websocket server: http becomes ws and https wss, a closing slash goes; without a scheme that of the page first, then the other. None for blank text."""
+    t, scheme = F.trim(text), "^[A-Za-z][A-Za-z0-9+.-]*://"
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "/$", ""), "^(?i)http://", "ws://"), "^(?i)https://", "wss://")
+    both = [F.concat(F.lit(s), plain) for s in (("wss://", "ws://") if secure else ("ws://", "wss://"))]
+    return F.when(t == "", F.array().cast("array<string>")).when(t.rlike(scheme), F.array(plain)).otherwise(F.array(*both))
+
+
+def matches(subject: Column, pattern: str) -> Column:
+    """Whether a subject fits a pattern: `*` is one token, a last `>` is one or more."""
+    tokens = pattern.split(".")
+    parts = ["[^.]+" if t == "*" else ".+" if t == ">" and k == len(tokens) - 1 else re.sub(r"([^A-Za-z0-9_-])", r"\\\1", t) for k, t in enumerate(tokens)]
+    return subject.rlike("^" + r"\.".join(parts) + "$")
+
+
 def ipv4(n: Column) -> Column:
     """Dotted address of a 32-bit number, negative or not; null for 0."""
     byte = [F.shiftright(n, k).bitwiseAND(F.lit(255)).cast("string") for k in (24, 16, 8, 0)]

@@ -15,6 +15,8 @@ from samplewell.sources import folders
 
 #: Fixed value: the old layout, assetNNN/YYYY-MM-DD/chNN/part-NNNN.parquet.
 OLD_PATH = r"asset(\d+)/(\d{4}-\d{2}-\d{2})/ch(\d+)/part-(\d+)\.parquet$"
+#: Time in one file, so that no task has to write a whole day of a fast channel.
+FILE_NS = 6 * 3600 * timefmt.NS
 #: Footers that are read at once.
 FOOTER_READERS = 32
 
@@ -24,9 +26,9 @@ def with_date(samples: DataFrame, time: str = "timestamp_unix_ns") -> DataFrame:
 
 
 def write(samples: DataFrame, path: str, mode: str = "append") -> None:
-    """Partitioned by asset, date and channel; sorted by time in each file, so that row groups can be skipped by time."""
+    """Partitioned by asset, date and channel, in files of FILE_NS each; sorted by time in each file, so that row groups can be skipped by time."""
     d = with_date(samples)
-    d.repartition("asset", "date", "channel").sortWithinPartitions("asset", "date", "channel", "timestamp_unix_ns").write.mode(mode).partitionBy("asset", "date", "channel").parquet(path)
+    d.repartition("asset", "date", "channel", timefmt.floor_div(F.col("timestamp_unix_ns"), FILE_NS)).sortWithinPartitions("asset", "date", "channel", "timestamp_unix_ns").write.mode(mode).partitionBy("asset", "date", "channel").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+from collections.abc import Callable
+
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -42,6 +46,22 @@ def publish(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def subscribe(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """The messages (subject, payload) of a log whose subject fits a pattern, as a stream. A consumer's progress is its checkpoint: one of its own makes it durable, a new one begins anew."""
+    return spark.readStream.schema("subject string, payload binary").parquet(path).where(keys.matches(F.col("subject"), pattern))
+
+
+def supervised(start: Callable[[], StreamingQuery], stopped: Callable[[], bool], pause: float = 5.0, wait: Callable[[float], None] = time.sleep) -> None:
+    """Keep a query going: when it fails, it is started again after a pause, from its checkpoint, until it ends by itself or stopped() says so."""
+    while not stopped():
+        try:
+            start().awaitTermination()
+            return
+        except StreamingQueryException:
+            if not stopped():
+                wait(pause)
+
+
 def append_text(messages: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """A readable copy of messages (subject, payload): sequence, timestamp and raw value as CSV with a header, in a folder for each channel token."""
     rows = scans.expand(wire.decode_messages(messages)).select(keys.last_token(F.col("subject")).alias("channel"), "sequence", F.col("timestamp_unix_ns").alias("timestamp"), F.col("value").alias("raw_value"))

@@ -312,3 +312,42 @@ def test_clock_and_sequence_in_bins(spark):
         for k, r in enumerate(d.where(F.col("run") == run).orderBy("a").collect()):
             assert (r["sequence"], r["first_sample_unix_ns"]) == (k, at)
             at += 10 * r["n"]
+
+
+def test_box_configurations(spark):
+    box = {
+        "site_id": "s", "box_id": "b 1", "source": {"type": "t", "id": 'i"7'}, "nats": {"root_subject": "plant", "stream_name": "st", "leaf_remotes": ["x://a:7422", " ", "x://b:1"], "local_servers": "l"},
+        "labjack": {"name": "n", "asset_number": 7, "max_channels": 8, "rotate_secs": 300, "serial": 4, "sensor_settings": {"scans_per_read": 5, "channels_enabled": [1, 2]}}, "paths": {"parquet_dir": "/p"},
+    }
+    text = F.lit(json.dumps(box))
+    other = F.lit(json.dumps({"nats": {"central_servers": ["a", " b "], "leaf_remotes": ["c:7422"]}}))
+    r = spark.range(1).select(config.device_of_box(text).alias("d"), config.environment(text).alias("e"), config.environment(text, config.ARCHIVER).alias("a"), config.central_servers(text).alias("c"), config.central_servers(other).alias("o")).first()
+    assert json.loads(r["d"]) == {
+        "labjack_name": "n", "asset_number": 7, "max_channels": 8, "site_id": "s", "box_id": "b 1", "source_type": "t", "source_id": 'i"7', "nats_subject": "plant", "nats_stream": "st", "rotate_secs": 300,
+        "sensor_settings": {"scans_per_read": 5, "channels_enabled": [1, 2]},
+    }
+    assert r["e"]["LABJACK_USB_ID"] == "ANY" and r["e"]["ASSET_NUMBER"] == "7" and "STREAM_MAX_BYTES" not in r["e"] and r["a"]["PARQUET_DIR"] == "/p" and (r["c"], r["o"]) == ("x://a:4222,x://b:1", "a,b")
+
+
+def test_servers_and_subjects(spark):
+    d = spark.createDataFrame([(" host:8080/ ",), ("http://h/",), ("wss://h/x",), (" ",)], "t string")
+    assert [list(r[0]) for r in d.select(keys.websocket_servers(F.col("t"))).collect()] == [["ws://host:8080", "wss://host:8080"], ["ws://h"], ["wss://h/x"], []]
+    d = spark.createDataFrame([(x,) for x in ("a.v1.b.ch01", "a.v1.b.c.ch01", "a.v1", "a$v1.b")], "s string")
+    fits = lambda p: [r[0] for r in d.select(keys.matches(F.col("s"), p)).collect()]
+    assert fits("a.v1.*.*") == [True, False, False, False] and fits("a.v1.>") == [True, True, False, False] and fits("a$v1.*") == [False, False, False, True]
+
+
+def test_a_failed_stream_is_started_again(spark, tmp_path):
+    from samplewell.streaming import messages
+
+    spark.createDataFrame([("a.ch1", b"1"), ("b.ch1", b"2")], "subject string, payload binary").write.parquet(str(tmp_path / "log"))
+    tries, waits = [], []
+
+    def start():
+        tries.append(1)
+        s = messages.subscribe(spark, str(tmp_path / "log"), "a.*")
+        s = s.withColumn("payload", F.raise_error(F.lit("lost"))) if len(tries) < 3 else s
+        return messages.publish(s.select("subject", "payload"), str(tmp_path / "out"), str(tmp_path / "c"))
+
+    messages.supervised(start, lambda: len(tries) > 5, 1.5, waits.append)
+    assert len(tries) == 3 and waits == [1.5, 1.5] and [r["subject"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["a.ch1"]
