@@ -23,7 +23,7 @@ LINES, SURGE, WEIGHT = 3, 80, 20
 
 _MARK = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_WORD = re.compile(r"[a-z0-9]+")
+_WORD = re.compile(r"[a-z]+")
 _RAW = {n: re.compile(rf"</{n}\b[^>]*(?:>|\Z)", re.I) for n in ("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "math", "select", "canvas", "xmp")}
 _NEVER = frozenset("nav footer aside form button menu dialog head label fieldset".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,6 +40,11 @@ _BESIDE = frozenset(
     "buttons button icons icon form articles posts stories news post article user users reader readers global primary secondary mobile desktop sticky fixed small large".split()
 )
 _LANDMARK = frozenset(("article", "main"))
+#: The elements whose start ends a paragraph; the end of one, or of what holds paragraphs, does so too.
+_BLOCK = frozenset(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split()
+)
+_HOLDS = _BLOCK - {"p"} | frozenset("body html li dd dt td th tr tbody thead tfoot caption button label".split())
 _CELLS, _TABLE = frozenset("td th tr thead tbody tfoot".split()), frozenset(("table",))
 #: Elements whose end tag may be left out: the start tags that end them, and the elements whose end ends them and in which others of their kind may be nested (p: any block).
 _OPTIONAL = {
@@ -52,7 +57,9 @@ def _telling(attrs: str, in_landmark: bool) -> bool:
     """Whether a class, id or role as a whole names a part that is not article: telling words, with none but common ones beside them."""
     for m in _NAMED.finditer(attrs):
         for name in (m[1] or m[2] or m[3] or "").lower().split():
-            words = [w for w in _WORD.findall(name) if not w.isdigit()]
+            words = _WORD.findall(name)
+            if "".join(words) in _TELLING:  # side-bar, sign_up
+                return True
             said = [w in _TELLING or not in_landmark and w == "header" for w in words]
             if any(said) and all(x or w in _BESIDE for x, w in zip(said, words)):
                 return True
@@ -62,7 +69,7 @@ def _telling(attrs: str, in_landmark: bool) -> bool:
 def _ends(skip: str, name: str, close: str, nested: int) -> bool:
     """Whether a tag ends a dropped element whose own end tag was left out; nested: open lists or tables inside it."""
     if skip == "p":
-        return name not in _INLINE and (name != "p" or not close)
+        return name in (_HOLDS if close else _BLOCK)
     if skip in _OPTIONAL and not nested:
         starts, within = _OPTIONAL[skip]
         return name in within or name in starts and name != skip if close else name in starts
