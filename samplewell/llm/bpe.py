@@ -126,17 +126,17 @@ def chunks(text: str) -> list[str]:
 
 
 class Memo(dict):
-    """make(key), kept for the last CACHE to twice CACHE keys."""
+    """make(key), kept for the last `most` to twice as many keys."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int | None = None):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.old, self.most = make, {}, most or CACHE
 
     def __missing__(self, key):
         if (value := self.old.get(key)) is None:
             value = self.make(key)
         if len(key) <= 64:
-            if len(self) >= CACHE:
+            if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
             self[key] = value

@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 from collections import deque
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from samplewell.llm import shared
@@ -20,7 +21,7 @@ from samplewell.llm.bpe import Memo, Vocabulary, chunks, default_path, once, pre
 
 
 class Codec:
-    def __init__(self, raw: bytes):
+    def __init__(self, raw: bytes, cache: int | None = None):
         v = self.vocabulary = once(Vocabulary, raw)
         merged = {i: s for i, s in v.tokens.items() if i not in v.special.values() and (len(s) == 1 or i in v.rank)}
         self._build({s: i for i, s in merged.items()})
@@ -29,7 +30,7 @@ class Codec:
         for i, s in merged.items():
             self.length[i] = len(s)
         self.by_text = {str(i): s for i, s in v.tokens.items()}
-        self.words, self.chunks = Memo(self._word_text), Memo(self._chunk)
+        self.words, self.chunks = Memo(self._word_text, cache), Memo(self._chunk, cache)
 
     def _build(self, words: dict[bytes, int]) -> None:
         step, end, fail, depth = {}, [-1], [0], 1
@@ -130,15 +131,14 @@ class Codec:
         return ",".join(map(str, self.word(word.encode())))
 
     def _chunk(self, chunk: str) -> str:
-        words = pre_tokens(chunk)
-        return self.words[words[0]] if len(words) == 1 else ",".join(map(self.words.__getitem__, words))
+        words = pre_tokens(chunk)  # a chunk that is one pre-token is kept as a chunk alone
+        return self._word_text(chunk) if len(words) == 1 else ",".join(map(self.words.__getitem__, words))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.tokens.__getitem__, ids))
 
     def encode(self, text: str) -> list[int]:
-        listed = self.listed(text)
-        return list(map(int, listed.split(","))) if listed else []
+        return numbers(self.listed(text)).tolist()
 
     def listed(self, text: str) -> str:
         """The ids of a whole text, in decimal and joined by commas."""
@@ -160,6 +160,11 @@ class Codec:
         return len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
 
 
+def numbers(listed: str) -> np.ndarray:
+    """The numbers of a comma-joined list."""
+    return np.fromstring(listed, np.int64, sep=",") if listed else np.empty(0, np.int64)
+
+
 def _vocabulary(df: DataFrame, path: str | None):
     with open(path or default_path(), "rb") as f:
         return df.sparkSession.sparkContext.broadcast(f.read())
@@ -170,7 +175,7 @@ def encode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     raw = _vocabulary(df, path)
 
     def run(codec, keys, texts):
-        return [keys, [codec.encode(t or "") for t in texts]]
+        return [keys, [numbers(codec.listed(t or "")) for t in texts]]
 
     return shared.map_columns(df.select(df[id_col].cast("bigint"), df[text_col]), run, f"{id_col} bigint, ids array<bigint>", lambda: once(Codec, raw.value))
 
@@ -186,8 +191,9 @@ def decode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_c
     return shared.map_columns(df.select(df[id_col].cast("bigint"), df[ids_col]), run, f"{id_col} bigint, text string", lambda: once(Codec, raw.value))
 
 
-def digests(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """One row per input row: id, n_tokens, ids_sha256, decoded_sha256, through a real encode and decode of the whole text; with_ids adds ids.
+def digests(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cache: int | None = None) -> DataFrame:
+    """One row per input row: id, n_tokens, ids_sha256, decoded_sha256, through a real encode and decode of the whole text; with_ids adds ids; cache: entries of a worker's
+    caches, which trade memory for time.
 
     Null and empty texts have no ids. Repeated rows and null ids stay; other columns are left out.
     """
@@ -197,7 +203,7 @@ def digests(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text
         listed = [codec.listed(t or "") for t in texts]
         found = [codec.digest_of(x) for x in listed]
         out = [keys, [x[0] for x in found], [x[1] for x in found], [x[2] for x in found]]
-        return [*out, [list(map(int, x.split(","))) if x else [] for x in listed]] if with_ids else out
+        return [*out, list(map(numbers, listed))] if with_ids else out
 
     schema = f"{id_col} bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<bigint>" * with_ids
-    return shared.map_columns(df.select(df[id_col].cast("bigint"), df[text_col]), run, schema, lambda: once(Codec, raw.value))
+    return shared.map_columns(df.select(df[id_col].cast("bigint"), df[text_col]), run, schema, lambda: once(Codec, raw.value, cache))

@@ -22,7 +22,7 @@ HOT_KEYS, LEAST_HOT, SALTS = 2000, 256, 64
 #: Bytes of a Parquet row group: what a writing task holds.
 ROW_GROUP = 16 << 20
 #: Python workers take an Arrow batch in slices of about so many bytes, which bounds their memory.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
 _SPARK = {"bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType(), "binary": T.BinaryType(), "array<bigint>": T.ArrayType(T.LongType())}
