@@ -19,6 +19,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SCORE = 0.4
 #: Lists of row keys up to this length (some 16 MB) are broadcast; longer ones are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
+#: Entries of the encoder's caches in a worker (some 330 bytes each, four times): the stages before have left their share of an executor's memory.
+CACHE = 80_000
 
 
 def _without(rows: DataFrame, gone: DataFrame, since: int) -> DataFrame:
@@ -58,7 +60,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each text, with the digests of ids and decoded text; null and empty texts have no ids."""
-    return bpe_codec.digests(docs.select(*COLUMNS), with_ids=True)
+    return bpe_codec.digests(docs.select(*COLUMNS), with_ids=True, cache=CACHE)
 
 
 STAGES = [
