@@ -26,7 +26,7 @@ placed AS (SELECT doc_id, owner, kind, rank, least, v[k] AS value, length(m[k])
 kept AS (SELECT doc_id, owner, kind, rank, value, CAST(s AS BIGINT) s, CAST(s + n AS BIGINT) e FROM placed WHERE length(value) >= least
  AND (kind <> 'generic' OR (regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[0-9]')))),
 cand AS (SELECT * FROM kept a WHERE kind <> 'generic' OR NOT EXISTS (SELECT 1 FROM kept b WHERE b.doc_id = a.doc_id AND b.kind <> 'generic' AND b.s < a.e AND a.s < b.e)),
-freq AS (SELECT value, count(DISTINCT owner) <= {secrets.LIVE_OWNERS} AND count(DISTINCT (owner, doc_id)) <= {secrets.LIVE_REPOSITORIES} AS live FROM cand GROUP BY value),
+freq AS (SELECT value, count(DISTINCT owner) <= {secrets.LIVE_OWNERS} AS live FROM cand GROUP BY value),
 spans AS (SELECT DISTINCT doc_id, kind, rank, s, e, live FROM cand JOIN freq USING (value) WHERE kind <> 'generic' OR live),
 agg AS (SELECT doc_id, count(*) FILTER (kind = 'assign') n_assign, count(*) FILTER (kind = 'access') n_access, count(*) FILTER (kind = 'hex') n_hex,
  coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (kind <> 'generic'), '') base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) spans,

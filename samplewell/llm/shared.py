@@ -11,6 +11,7 @@ import zipfile
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,12 +87,19 @@ def settle(df: DataFrame, since: int) -> DataFrame:
 
 
 def keyed(df: DataFrame, name: str) -> DataFrame:
-    """df with a key for each row. Rows that come straight from files are numbered as they are read, the same each time; others are written first."""
+    """df with a key for each row, the same whenever it is read: a 64-bit hash of file and place in it for rows that come straight from Parquet files; others are numbered and written first.
+
+    Numbers given while reading would depend on how files are cut into tasks, and so on how many executors there are just then.
+    """
     plan = df._jdf.queryExecution().analyzed()
-    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias") and plan.deterministic():
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
         plan = plan.children().head()
-    rows = df.withColumn(name, F.monotonically_increasing_id())
-    return rows if plan.nodeName() == "LogicalRelation" else cut(rows)
+    if plan.nodeName() == "LogicalRelation":
+        try:
+            return df.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(name))
+        except AnalysisException:  # files of another format
+            pass
+    return cut(df.withColumn(name, F.monotonically_increasing_id()))
 
 
 def tidy(spark: SparkSession) -> None:
