@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from samplewell.llm.graph import components
-from samplewell.llm.shared import cut, map_columns, spread_join, tidy
+from samplewell.llm.shared import cut, map_columns, spread_join, table, tidy
 from samplewell.llm.textkit import WordHashes, shingles
 
 #: The pool's part of the token hash space is so many times the part of a set that its prefix takes.
@@ -89,7 +89,7 @@ def _part_of(texts: DataFrame, ids: DataFrame, size: int, edge: float) -> DataFr
         return [[_signature(s) if len(s) else None for s in sets], [s[np.searchsorted(s, least) :].view(np.int64) for s in sets]]
 
     sets = map_columns(texts.join(wanted, "id", "left_semi").select("text"), run, "sig bigint, tokens array<bigint>", WordHashes)
-    return cut(sets.where("sig is not null").groupBy("sig").agg(F.first("tokens").alias("tokens")))
+    return table(sets.where("sig is not null").groupBy("sig").agg(F.first("tokens").alias("tokens")))
 
 
 def _shared_tokens(sets: DataFrame) -> DataFrame:
@@ -164,7 +164,7 @@ def _edits(buckets: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     hub_sets = cut(sizes.join(sets.select(F.col("sig").alias("hub"), F.col("tokens").alias("h")), "hub"))
     both = spread_join(near, hub_sets, ["hub"], "members").join(sets, "sig").withColumn("added", F.array_except("tokens", "h")).withColumn("missing", F.array_except("h", "tokens"))
     w, k = num * F.size("added") + den * F.size("missing"), (den - num) * F.size("h")
-    return cut(both.select("hub", "sig", w.alias("w"), k.alias("k"), (w <= k).alias("linked"), F.concat("added", "missing").alias("edits")))
+    return table(both.select("hub", "sig", w.alias("w"), k.alias("k"), (w <= k).alias("linked"), F.concat("added", "missing").alias("edits")))
 
 
 def _edit_keys(edits: DataFrame, num: int, den: int) -> DataFrame:
@@ -199,7 +199,7 @@ def _pairs_of_edits(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     sizes = sizes.where((F.col("size") >= 2) & ((F.col("sided") == 0) | (lower > 0)))
     listed = F.when(F.col("sided") == 0, F.when(F.col("size") <= SMALL_BUCKET, -1)).when(lower <= FEW, (F.col("high") <= F.col("size") - F.col("high")).cast("int"))
     sizes = cut(sizes.select("key", "size", listed.alias("listed")))  # which side is listed; -1: all members; null: too many
-    members = cut(spread_join(keys.withColumn("side", F.coalesce("side", F.lit(-1))), sizes, ["key"], "size"))
+    members = table(spread_join(keys.withColumn("side", F.coalesce("side", F.lit(-1))), sizes, ["key"], "size"))
     lists = members.where(F.col("side") == F.col("listed")).groupBy("key", "size").agg(F.collect_list("sig").alias("sigs"))
     others = members.where(F.col("listed").isNotNull() & ((F.col("listed") == -1) | (F.col("side") != F.col("listed")))).select("key", "hub", "sig")
     pairs = spread_join(others, cut(lists), ["key"], "size").select("hub", "sig", F.explode("sigs").alias("o")).where("o <> sig")
@@ -232,10 +232,10 @@ def jaccard_components(df: DataFrame, size: int = 3, num: int = 90, den: int = 1
     edge = min(1.0, POOL * (den - num) / den)
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     texts = docs.where("id is not null")
-    listed = cut(document_sets(docs, size, edge, "id", "text"))
+    listed = table(document_sets(docs, size, edge, "id", "text"))
     named = listed.where("id is not null and sig is not null").select("id", "n", "sig")
     with_tokens = listed.where("tokens is not null").groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    reps = cut(with_tokens.select("sig", "id", "n", F.size("tokens").cast("bigint").alias("pool"), "tokens"))
+    reps = table(with_tokens.select("sig", "id", "n", F.size("tokens").cast("bigint").alias("pool"), "tokens"))
     found = prefixes(reps, texts, size, num, den, edge)
     tidy(df.sparkSession)
 

@@ -52,7 +52,16 @@ _written: list[str] = []
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a Parquet table in the shared folder: later reads take the columns they need, a lost executor costs its own tasks only, and release() can delete it."""
+    """Cut the lineage by a reliable checkpoint in the shared folder, for small results: one file a partition. Spark's cleaner deletes it where spark.cleaner.referenceTracking.cleanCheckpoints is set."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    rows = df.checkpoint()._jdf.queryExecution()
+    # A frame over the checkpoint's rows alone: the checkpointed frame keeps the constraints of its old plan, and in loops these grow until planning takes longer than the jobs.
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows.toRdd(), rows.analyzed().schema(), False), spark)
+
+
+def table(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a Parquet table in the shared folder, for large results: later reads take the columns they need, release() can delete it, and the optimizer starts anew from it."""
     folder = f"{shared_folder(df.sparkSession)}/samplewell-{uuid.uuid4().hex}"
     _written.append(folder)
     delete_at_exit(df.sparkSession, folder)
@@ -78,11 +87,9 @@ def release(spark: SparkSession, since: int) -> None:
 
 
 def settle(df: DataFrame, since: int) -> DataFrame:
-    """cut(df), after which the other tables written since mark() are deleted: for the one result that a longer computation leaves."""
+    """cut(df), after which the tables written since mark() are deleted: for the one result that a longer computation leaves."""
     out = cut(df)
-    last = _written.pop()
     release(df.sparkSession, since)
-    _written.append(last)
     return out
 
 
