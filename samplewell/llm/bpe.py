@@ -12,6 +12,8 @@ import zlib
 
 import regex
 
+from samplewell.llm.shared import kept
+
 #: The pre-token pattern of byte-level BPE (public, from the tokenizers library's ByteLevel).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -103,15 +105,12 @@ class Vocabulary:
         return [i for i in ids if i >= 0]
 
 
-_built: dict = {}
-
-
 def once(kind, raw: bytes, *more):
     """kind(raw, ...), made once for each worker process; what else it takes follows from raw."""
     key = kind.__name__, zlib.crc32(raw)
-    if key not in _built:
-        _built[key] = kind(raw, *more)
-    return _built[key]
+    if key not in kept:
+        kept[key] = kind(raw, *more)
+    return kept[key]
 
 
 def chunks(text: str) -> list[str]:

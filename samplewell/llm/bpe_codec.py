@@ -177,7 +177,7 @@ def encode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     def run(codec, keys, texts):
         return [keys, [numbers(codec.listed(t or "")) for t in texts]]
 
-    return shared.map_columns(df.select(df[id_col].cast("bigint"), df[text_col]), run, f"{id_col} bigint, ids array<bigint>", lambda: once(Codec, raw.value))
+    return shared.map_columns(df.select(df[id_col].cast("bigint"), df[text_col]), run, f"{id_col} bigint, ids array<bigint>", lambda: once(Codec, raw.value), keep=True)
 
 
 def decode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -188,7 +188,7 @@ def decode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_c
         known = codec.vocabulary.tokens
         return [keys, [codec.decode([i for i in x or [] if i in known]).decode("utf-8", "replace") for x in ids]]
 
-    return shared.map_columns(df.select(df[id_col].cast("bigint"), df[ids_col]), run, f"{id_col} bigint, text string", lambda: once(Codec, raw.value))
+    return shared.map_columns(df.select(df[id_col].cast("bigint"), df[ids_col]), run, f"{id_col} bigint, text string", lambda: once(Codec, raw.value), keep=True)
 
 
 def digests(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cache: int | None = None) -> DataFrame:
@@ -206,4 +206,4 @@ def digests(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text
         return [*out, list(map(numbers, listed))] if with_ids else out
 
     schema = f"{id_col} bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<bigint>" * with_ids
-    return shared.map_columns(df.select(df[id_col].cast("bigint"), df[text_col]), run, schema, lambda: once(Codec, raw.value, cache))
+    return shared.map_columns(df.select(df[id_col].cast("bigint"), df[text_col]), run, schema, lambda: once(Codec, raw.value, cache), keep=True)

@@ -145,10 +145,20 @@ def _returned(batches):
         return
 
 
-def map_columns(df: DataFrame, fn, schema: str, start=None) -> DataFrame:
+#: What a worker process keeps from task to task, for operators that ask for it; it goes when another operator's task begins.
+kept: dict = {}
+
+
+def forget() -> None:
+    """Empty `kept`, in the worker's own module: a function that is shipped by value has a copy of what it names."""
+    kept.clear()
+
+
+def map_columns(df: DataFrame, fn, schema: str, start=None, keep: bool = False) -> DataFrame:
     """Arrow map: fn(state, *columns as Python lists) -> list of output columns.
 
-    schema: "name type, ..." with the types of _ARROW. start() makes a worker's state, once a task.
+    schema: "name type, ..." with the types of _ARROW. start() makes a worker's state, once a task;
+    keep: it may use `kept`, which other operators' tasks clear.
     Input batches are cut into slices of about SLICE_BYTES, so memory does not depend on the batch's row count.
     """
     ship(df.sparkSession)
@@ -157,6 +167,8 @@ def map_columns(df: DataFrame, fn, schema: str, start=None) -> DataFrame:
     spark_schema = T.StructType([T.StructField(n, _SPARK[k]) for n, k in cols])
 
     def run(batches):
+        if not keep:
+            forget()
         state = start() if start else None
         for batch in batches:
             if not batch.num_rows:
@@ -176,6 +188,7 @@ def filter_rows(df: DataFrame, fn, column: str, start=None) -> DataFrame:
     at = df.columns.index(column)
 
     def run(batches):
+        forget()
         state = start() if start else None
         for batch in batches:
             if not batch.num_rows:

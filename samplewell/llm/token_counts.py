@@ -61,4 +61,4 @@ def token_counts(df: DataFrame, path: str | None = None, limit: int = 1024, id_c
         n = [counter.count(t) if t else 0 for t in texts]
         return [keys, [len(t.encode()) if t else 0 for t in texts], n, [x > limit for x in n]]
 
-    return shared.map_columns(df.select(df[id_col].cast("bigint"), df[text_col]), run, f"{id_col} bigint, n_bytes bigint, n_tokens bigint, over_limit boolean", lambda: once(Counter, *table.value))
+    return shared.map_columns(df.select(df[id_col].cast("bigint"), df[text_col]), run, f"{id_col} bigint, n_bytes bigint, n_tokens bigint, over_limit boolean", lambda: once(Counter, *table.value), keep=True)
