@@ -20,7 +20,7 @@ LEAST_SCORE = 0.4
 #: Lists of row keys up to this length (some 16 MB) are broadcast; longer ones are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 #: Entries of the encoder's caches in a worker (some 330 bytes each, four times): the stages before have left their share of an executor's memory.
-CACHE = 80_000
+CACHE = 30_000
 
 
 def _without(rows: DataFrame, gone: DataFrame, since: int) -> DataFrame:
