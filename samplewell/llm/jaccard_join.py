@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from samplewell.llm.graph import components
-from samplewell.llm.shared import cut, map_columns, spread_join, table, tidy
+from samplewell.llm.shared import cut, map_columns, mark, release, spread_join, table, tidy
 from samplewell.llm.textkit import WordHashes, shingles
 
 #: The pool's part of the token hash space is so many times the part of a set that its prefix takes.
@@ -232,10 +232,12 @@ def jaccard_components(df: DataFrame, size: int = 3, num: int = 90, den: int = 1
     edge = min(1.0, POOL * (den - num) / den)
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     texts = docs.where("id is not null")
-    listed = table(document_sets(docs, size, edge, "id", "text"))
-    named = listed.where("id is not null and sig is not null").select("id", "n", "sig")
-    with_tokens = listed.where("tokens is not null").groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    since, read = mark(), table(document_sets(docs, size, edge, "id", "text"))
+    with_tokens = read.where("tokens is not null").groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     reps = table(with_tokens.select("sig", "id", "n", F.size("tokens").cast("bigint").alias("pool"), "tokens"))
+    listed = table(read.select("id", "n", "sig"))
+    release(df.sparkSession, since, 1)  # the tokens of all rows
+    named = listed.where("id is not null and sig is not null")
     found = prefixes(reps, texts, size, num, den, edge)
     tidy(df.sparkSession)
 

@@ -79,10 +79,12 @@ def mark() -> int:
     return len(_written)
 
 
-def release(spark: SparkSession, since: int) -> None:
-    """Delete the tables written since mark(), whose results have been written elsewhere, and the shuffle files of the jobs that are over."""
-    while len(_written) > since:
-        delete(spark, _written.pop())
+def release(spark: SparkSession, since: int, most: int | None = None) -> None:
+    """Delete the tables written since mark() (the first `most` of them), whose results have been written elsewhere, and the shuffle files of the jobs that are over."""
+    gone = _written[since:][:most]
+    del _written[since : since + len(gone)]
+    for folder in gone:
+        delete(spark, folder)
     tidy(spark)
 
 
