@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from samplewell.llm.graph import components
-from samplewell.llm.shared import cut, map_columns, mark, release, spread_join, table, tidy
+from samplewell.llm.shared import map_columns, mark, release, spread_join, table, tidy
 from samplewell.llm.textkit import WordHashes, shingles
 
 #: The pool's part of the token hash space is so many times the part of a set that its prefix takes.
@@ -95,7 +95,7 @@ def _part_of(texts: DataFrame, ids: DataFrame, size: int, edge: float) -> DataFr
 def _shared_tokens(sets: DataFrame) -> DataFrame:
     """(sig, f): for each set (sig, tokens) that has any, its tokens that other sets have as well, as (df, token)."""
     rows = sets.select("sig", F.explode("tokens").alias("token"))
-    counts = cut(rows.groupBy("token").agg(F.count("*").alias("df")).where("df >= 2"))
+    counts = table(rows.groupBy("token").agg(F.count("*").alias("df")).where("df >= 2"))
     return spread_join(rows, counts, ["token"], "df").groupBy("sig").agg(F.collect_list(F.struct("df", "token")).alias("f"))
 
 
@@ -120,7 +120,7 @@ def prefixes(reps: DataFrame, texts: DataFrame, size: int, num: int, den: int, e
     rows = rows.withColumn("left", p - F.col("pool") + F.size("f"))
     rows = rows.where("left > 0")  # else tokens of frequency 1 fill the prefix
     rows = rows.withColumn("rare", F.filter("f", lambda x: x["df"] < HOT_DF)).withColumn("hot", F.filter("f", lambda x: x["df"] >= HOT_DF)).drop("f")
-    rows = cut(rows)
+    rows = table(rows)
     enough = F.col("left") <= F.size("rare")
     names = ["first", "second", "third"]
     plain = rows.where(enough).select("sig", "id", "n", *[_first(_in_order("rare", s), F.col("left")).alias(c) for s, c in zip(SEEDS, names)])
@@ -130,7 +130,7 @@ def prefixes(reps: DataFrame, texts: DataFrame, size: int, num: int, den: int, e
     full = full.withColumn("left", F.col("left") - F.size("rare") - (F.col("n") - F.col("pool") - F.size("f")))  # what rare pool tokens and those that no other such set has leave
     order = lambda s: F.concat(_in_order("rare", s), _first(_in_order("f", s), F.col("left")), _first(_in_order("hot", s), F.col("left") - F.size("f")))
     full = full.select("sig", "id", "n", *[order(s).alias(c) for s, c in zip(SEEDS, names)])
-    return cut(plain.union(full).where("size(first) > 0"))
+    return table(plain.union(full).where("size(first) > 0"))
 
 
 def _filtered(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -158,10 +158,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 def _edits(buckets: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(hub, sig, w, k, linked, edits) for each member of the buckets (key, sig, size) and the hub of its bucket: the member that is in most buckets."""
     popular = buckets.join(buckets.groupBy("sig").agg(F.count("*").alias("in")), "sig")
-    hubs = cut(popular.groupBy("key").agg(F.max(F.struct("in", "sig")).alias("m"), F.first("size").alias("size")).select("key", F.col("m.sig").alias("hub"), "size"))
-    near = cut(spread_join(buckets.drop("size"), hubs, ["key"], "size").where("hub <> sig").select("hub", "sig").distinct())
+    hubs = table(popular.groupBy("key").agg(F.max(F.struct("in", "sig")).alias("m"), F.first("size").alias("size")).select("key", F.col("m.sig").alias("hub"), "size"))
+    near = table(spread_join(buckets.drop("size"), hubs, ["key"], "size").where("hub <> sig").select("hub", "sig").distinct())
     sizes = near.groupBy("hub").agg(F.count("*").alias("members"))
-    hub_sets = cut(sizes.join(sets.select(F.col("sig").alias("hub"), F.col("tokens").alias("h")), "hub"))
+    hub_sets = table(sizes.join(sets.select(F.col("sig").alias("hub"), F.col("tokens").alias("h")), "hub"))
     both = spread_join(near, hub_sets, ["hub"], "members").join(sets, "sig").withColumn("added", F.array_except("tokens", "h")).withColumn("missing", F.array_except("h", "tokens"))
     w, k = num * F.size("added") + den * F.size("missing"), (den - num) * F.size("h")
     return table(both.select("hub", "sig", w.alias("w"), k.alias("k"), (w <= k).alias("linked"), F.concat("added", "missing").alias("edits")))
@@ -173,7 +173,7 @@ def _edit_keys(edits: DataFrame, num: int, den: int) -> DataFrame:
     Classes 0 to 3 cut the W of members that link with the hub, 0 to K, those from 4 on what is beyond, in steps of K / 4.
     """
     rows = edits.select("hub", "sig", F.explode("edits").alias("token"))
-    counts = cut(rows.groupBy("hub", "token").agg(F.count("*").alias("df")).where("df >= 2"))
+    counts = table(rows.groupBy("hub", "token").agg(F.count("*").alias("df")).where("df >= 2"))
     shared = spread_join(rows, counts, ["hub", "token"], "df").groupBy("hub", "sig").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("f"))
     own = edits.select("hub", "sig", "w", "k", F.size("edits").alias("e")).join(shared, ["hub", "sig"])
     both = num + den
@@ -198,11 +198,11 @@ def _pairs_of_edits(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     lower = F.least("high", F.col("size") - F.col("high"))
     sizes = sizes.where((F.col("size") >= 2) & ((F.col("sided") == 0) | (lower > 0)))
     listed = F.when(F.col("sided") == 0, F.when(F.col("size") <= SMALL_BUCKET, -1)).when(lower <= FEW, (F.col("high") <= F.col("size") - F.col("high")).cast("int"))
-    sizes = cut(sizes.select("key", "size", listed.alias("listed")))  # which side is listed; -1: all members; null: too many
+    sizes = table(sizes.select("key", "size", listed.alias("listed")))  # which side is listed; -1: all members; null: too many
     members = table(spread_join(keys.withColumn("side", F.coalesce("side", F.lit(-1))), sizes, ["key"], "size"))
     lists = members.where(F.col("side") == F.col("listed")).groupBy("key", "size").agg(F.collect_list("sig").alias("sigs"))
     others = members.where(F.col("listed").isNotNull() & ((F.col("listed") == -1) | (F.col("side") != F.col("listed")))).select("key", "hub", "sig")
-    pairs = spread_join(others, cut(lists), ["key"], "size").select("hub", "sig", F.explode("sigs").alias("o")).where("o <> sig")
+    pairs = spread_join(others, table(lists), ["key"], "size").select("hub", "sig", F.explode("sigs").alias("o")).where("o <> sig")
     pairs = pairs.select("hub", F.least("sig", "o").alias("a"), F.greatest("sig", "o").alias("b")).distinct()
     return pairs, members.where("listed is null").select("key", "sig", "size").distinct()
 
@@ -242,28 +242,28 @@ def jaccard_components(df: DataFrame, size: int = 3, num: int = 90, den: int = 1
     tidy(df.sparkSession)
 
     postings = found.select("sig", "n", F.explode("first").alias("token"))
-    sizes = cut(postings.groupBy("token").agg(F.count("*").alias("size")).where("size >= 2"))
-    members = cut(spread_join(postings, sizes, ["token"], "size"))
-    pairs = cut(_filtered(_pairs_of_small(members.where(F.col("size") <= SMALL_BUCKET), num, den), found))
+    sizes = table(postings.groupBy("token").agg(F.count("*").alias("size")).where("size >= 2"))
+    members = table(spread_join(postings, sizes, ["token"], "size"))
+    pairs = table(_filtered(_pairs_of_small(members.where(F.col("size") <= SMALL_BUCKET), num, den), found))
     large = members.where(F.col("size") > SMALL_BUCKET).select(F.col("token").alias("key"), "sig", "size")
     needed = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(large.select("sig")).distinct()
-    sets = _part_of(texts, cut(found.join(needed, "sig", "left_semi").select("id")), size, 0.0)
-    links = cut(_verified(pairs, sets, num, den))
-    roots = cut(components(links))
+    sets = _part_of(texts, table(found.join(needed, "sig", "left_semi").select("id")), size, 0.0)
+    links = table(_verified(pairs, sets, num, den))
+    roots = table(components(links))
     while not large.isEmpty():  # a bucket loses its hub at least, and hardly ever is one of edits still large
         edits = _edits(large, sets, num, den)
         joined = edits.where("linked").select(F.col("hub").alias("a"), F.col("sig").alias("b"))
-        roots = cut(components(_chain(roots).union(joined)))
+        roots = table(components(_chain(roots).union(joined)))
         pairs, large = _pairs_of_edits(_edit_keys(edits, num, den))
-        more = cut(_verified_edits(_filtered(_across(pairs, roots), found), edits, num, den))
+        more = table(_verified_edits(_filtered(_across(pairs, roots), found), edits, num, den))
         if not more.isEmpty():
-            roots = cut(components(_chain(roots).union(more)))
+            roots = table(components(_chain(roots).union(more)))
 
     # Classes of equal sets, then components of classes.
     classes = named.groupBy("sig").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
-    classes = cut(classes.join(roots.toDF("sig", "root"), "sig", "left").where("copies > 1 or root is not null").select("sig", F.coalesce("root", "sig").alias("root"), "least", "copies"))
+    classes = table(classes.join(roots.toDF("sig", "root"), "sig", "left").where("copies > 1 or root is not null").select("sig", F.coalesce("root", "sig").alias("root"), "least", "copies"))
     least = classes.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("size"))
-    named_as = cut(spread_join(classes, least, ["root"], "size").select("sig", "component", "copies"))
+    named_as = table(spread_join(classes, least, ["root"], "size").select("sig", "component", "copies"))
     out = spread_join(listed.where("sig is not null").select("id", "n", "sig"), named_as, ["sig"], "copies", "left").select("id", "n", "component")
     out = out.union(listed.where("sig is null").select("id", "n", F.lit(None).cast("bigint")))
     return out.select(
